@@ -8,13 +8,12 @@ vector length.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudgauge.operators import blocks
 from cloudgauge.operators.ranks import running_counts
@@ -70,21 +69,25 @@ def distances_to_cloud(
     left_id: str,
     right_id: str,
     exclude_self: bool = False,
+    carry: Sequence[str] = (),
     left_rows: int = blocks.LEFT_ROWS,
     right_rows: int = blocks.RIGHT_ROWS,
 ) -> DataFrame:
     """Each left row against the whole right cloud of its key.
 
-    One row per left row: (on, left_id, n_pairs, sum_dist, min_dist, max_dist). With
-    `exclude_self` a right row with the same id is left out.
+    One row per left row: (on, left_id, carried left columns, n_pairs, sum_dist, min_dist,
+    max_dist). With `exclude_self` a right row with the same id is left out.
     """
-    l = _renamed(left, on, left_id, "vec", "lid")
+    carry = list(carry)
+    l = _renamed(left, on, left_id, "vec", "lid", *carry)
     r = _renamed(right, on, right_id, "vec", "rid")
-    out_schema = f"{_ddl(left, on)}, lid {left.schema[left_id].dataType.simpleString()}, n long, s double, lo double, hi double"
+    id_type = left.schema[left_id].dataType.simpleString()
+    extra = f", {_ddl(left, carry)}" if carry else ""
+    out_schema = f"{_ddl(left, on)}, lid {id_type}{extra}, n long, s double, lo double, hi double"
 
     def reduce(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
-            return _empty(a, b, on, ["n", "s", "lo", "hi"])
+            return _empty(a, b, on, ["n", "s", "lo", "hi"], carry)
         d = blocks.rms_distances(blocks.matrix(a, "vec"), blocks.matrix(b, "vec"))
         lo, hi, n = d.copy(), d.copy(), np.full(len(d), d.shape[1], dtype=np.int64)
         if exclude_self:
@@ -95,7 +98,7 @@ def distances_to_cloud(
             hi[rows, at[rows]] = -np.inf
             n[rows] -= 1
         keep = n > 0
-        kept = a.filter(pa.array(keep)).select([*on, "lid"])
+        kept = a.filter(pa.array(keep)).select([*on, "lid", *carry])
         return (
             kept.append_column("n", pa.array(n[keep]))
             .append_column("s", pa.array(d.sum(axis=1)[keep]))
@@ -104,7 +107,7 @@ def distances_to_cloud(
         )
 
     parts = blocks.block_product(l, r, on, "lid", "rid", reduce, out_schema, left_rows, right_rows)
-    return parts.groupBy(*on, F.col("lid").alias(left_id)).agg(
+    return parts.groupBy(*on, F.col("lid").alias(left_id), *carry).agg(
         F.sum("n").alias("n_pairs"),
         F.sum("s").alias("sum_dist"),
         F.min("lo").alias("min_dist"),
@@ -112,10 +115,11 @@ def distances_to_cloud(
     )
 
 
-def _empty(a: pa.Table, b: pa.Table, on: list[str], measures: list[str]) -> pa.Table:
+def _empty(a: pa.Table, b: pa.Table, on: list[str], measures: list[str], carry: Sequence[str] = ()) -> pa.Table:
     kinds = {"n": pa.int64()}
     cols = {k: (a if k in a.column_names else b)[k].slice(0, 0) for k in on}
-    cols["lid"] = a["lid"].slice(0, 0)
+    for c in ("lid", *carry):
+        cols[c] = a[c].slice(0, 0)
     cols.update({m: pa.array([], kinds.get(m, pa.float64())) for m in measures})
     return pa.table(cols)
 
