@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SERIES_TERMS = 80
 _FRACTION_DEPTH = 60
@@ -101,7 +102,7 @@ def _t_two_sided(t: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student tail; runs once per test row, not per data row."""
     return pd.Series([_t_two_sided(a, b) for a, b in zip(t.astype(float), df.astype(float))])

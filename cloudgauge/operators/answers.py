@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudgauge.functions.params import ANSWER_BOUNDS, PARAM_NAMES, kind
 
 FENCE = "```"
+MAX_LITERAL_PASSAGES = 256
 
 
 def answer_text(col: Column | str) -> Column:
@@ -184,14 +185,38 @@ def fill_template(
 # --- probes -------------------------------------------------------------------------------
 
 
-def probe_verbatim(responses: DataFrame, text: str, passages: Sequence[str], width: int = 60) -> DataFrame:
-    """Does the response hold the first `width` characters of one of the reference rows?
-    A handful of passages, given as literals."""
-    heads = [p[:width] for p in passages if p.strip()]
-    hit = F.lit(False)
-    for h in heads:
-        hit = hit | F.contains(F.col(text), F.lit(h))
-    return responses.withColumn("verbatim", _verdict(hit, text, "verbatim_recall"))
+def probe_verbatim(responses: DataFrame, id_col: str, text: str, passages: DataFrame, passage: str, width: int = 60) -> DataFrame:
+    """Does the response hold the first `width` characters of one of the passages?
+
+    A short passage list is tested in place. A longer one is matched by an equi-join on
+    the windows of `width` characters that start a response's own text positions.
+    """
+    heads = (
+        passages.filter(F.trim(passage) != "").select(F.substring(passage, 1, width).alias("__head")).distinct()
+    )
+    few = heads.limit(MAX_LITERAL_PASSAGES + 1).collect()
+    if len(few) <= MAX_LITERAL_PASSAGES:
+        hit = F.lit(False)
+        if few:
+            hit = F.exists(F.array(*[F.lit(r[0]) for r in few]), lambda h: F.contains(F.col(text), h))
+        return responses.withColumn("verbatim", _verdict(hit, text, "verbatim_recall"))
+    sized = heads.withColumn("__len", F.length("__head"))
+    # short passages keep their own length, so one set of windows per length
+    lengths = [r[0] for r in sized.select("__len").distinct().collect()]
+    at = F.col("__at")
+    windows = responses.select(id_col, text, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("__len")).filter(
+        F.length(text) >= F.col("__len")
+    )
+    windows = windows.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__len") + 1)))
+    found = (
+        windows.select(id_col, F.substring(F.col(text), at, F.col("__len")).alias("__head"))
+        .join(heads, "__head", "left_semi")
+        .select(id_col)
+        .distinct()
+        .withColumn("__hit", F.lit(True))
+    )
+    hit = F.coalesce("__hit", F.lit(False))
+    return responses.join(found, id_col, "left").withColumn("verbatim", _verdict(hit, text, "verbatim_recall")).drop("__hit")
 
 
 def probe_statistic(responses: DataFrame, text: str, truths: Sequence[Column], tolerance: float = 1.0, first: int = 4) -> DataFrame:
@@ -201,7 +226,7 @@ def probe_statistic(responses: DataFrame, text: str, truths: Sequence[Column], t
     )
     hit = F.lit(True)
     for t in truths:
-        hit = hit & F.exists("__numbers", lambda x, t=t: F.abs(x - t) <= tolerance)
+        hit = hit & F.exists("__numbers", _near(t, tolerance))
     return (
         responses.withColumn("__numbers", numbers)
         .withColumn("statistical", _verdict(hit, text, "statistical_recall"))
@@ -209,6 +234,10 @@ def probe_statistic(responses: DataFrame, text: str, truths: Sequence[Column], t
     )
 
 
+def _near(truth: Column, tolerance: float):
+    return lambda x: F.abs(x - truth) <= tolerance
+
+
 def _verdict(hit: Column, text: str, name: str) -> Column:
     declined = F.contains(F.upper(text), F.lit("CANNOT RECALL"))
     return F.when(hit, name).when(declined, "declined").otherwise("no_match")

@@ -17,8 +17,15 @@ COUNT_BUCKETS = [(20, ">=20"), (10, "10-19"), (5, "5-9"), (2, "2-4"), (1, "singl
 
 
 def parse_numeric_block(df: DataFrame, cols: Sequence[str], ok: str = "parse_ok") -> DataFrame:
-    """Text columns to doubles in place, with a flag that all of them parsed."""
-    parsed = df.withColumns({c: text.to_number(c) for c in cols})
+    """Text columns to doubles in place, with a flag that all of them parsed.
+
+    The block is unfolded from one struct: the parse runs once per row, and filters on its
+    results stay above it. As plain aliases every rule would repeat the parse, and the
+    optimizer's constraint inference would try all combinations of the aliases.
+    """
+    block = F.struct(*[text.to_number(c).alias(c) for c in cols])
+    rest = [c for c in df.columns if c not in cols]
+    parsed = df.select(*rest, F.inline(F.array(block)))
     good = F.lit(True)
     for c in cols:
         good = good & F.col(c).isNotNull()
@@ -72,13 +79,12 @@ def failure_reason(rules: Sequence[Rule]) -> Column:
 def drop_exact_duplicates(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every key. Only one candidate per key and map task is
     shuffled, so a key that repeats in a third of the table costs no more than others."""
-    named = {f"__k{i}": k for i, k in enumerate(key)}
-    first = Window.partitionBy(*named).orderBy(*order)
+    first = Window.partitionBy("__key").orderBy(*order)
     return (
-        df.withColumns(named)
+        df.withColumn("__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
         .withColumn("__rn", F.row_number().over(first))
         .filter("__rn = 1")
-        .drop("__rn", *named)
+        .drop("__rn", "__key")
     )
 
 
@@ -174,7 +180,8 @@ def per_param_summary(df: DataFrame, label: str, params: Sequence[str] = PARAM_N
 
 def duplicate_report(df: DataFrame, key: Sequence[Column]) -> DataFrame:
     """One row: duplicate groups, redundant rows, and their share of all rows in percent."""
-    groups = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("c"))
+    packed = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)])
+    groups = df.groupBy(packed.alias("__key")).agg(F.count(F.lit(1)).alias("c"))
     return groups.agg(
         F.count_if(F.col("c") > 1).alias("n_groups"),
         F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n_redundant"),

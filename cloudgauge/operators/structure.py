@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudgauge.functions.hashing import hash_index, hash_key
 from cloudgauge.operators import moments
@@ -64,7 +65,7 @@ def pca_curves(
     return sums.groupBy(*names).applyInArrow(solve, schema)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _project(vec: pd.Series, mean: pd.Series, components: pd.Series) -> pd.Series:
     out = []
     for v, m, c in zip(vec, mean, components):

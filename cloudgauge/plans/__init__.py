@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from cloudgauge.plans import rows, scans  # noqa: F401
+from cloudgauge.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

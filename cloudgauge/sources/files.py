@@ -39,8 +39,8 @@ def scan_positional_csv(spark: SparkSession, path: str, columns: list[str] = RAW
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
-        .option("nullValue", None)
-        .option("emptyValue", "")
+        # the width of a row is only seen when all its columns are read
+        .option("columnPruning", "false")
         .csv(path)
     )
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]
@@ -56,12 +56,18 @@ def scan_feature_csv(spark: SparkSession, path: str, width: int = FEATURE_WIDTH)
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", "false")
         .csv(path)
-        .select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
-    )
-    return feature_rows(
-        raw.filter(F.col(CORRUPT).isNull()), F.array(*names), F.struct("__file", "__pos")
+        .select(
+            "*",
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias("__place"),
+        )
     )
+    return feature_rows(raw.filter(F.col(CORRUPT).isNull()), F.array(*names), F.col("__place"))
 
 
 def feature_rows(df: DataFrame, texts: Column, position: Column) -> DataFrame:
@@ -111,16 +117,18 @@ def scan_tolerant_log(
 ) -> tuple[DataFrame, DataFrame]:
     """(readable rows, corrupt lines) of an append-only JSON log."""
     with_bad = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    lines = T.StructType([T.StructField("value", T.StringType())])
 
     def read() -> DataFrame:
-        return (
-            spark.read.schema(with_bad)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .json(path)
-        )
-
-    rows = _empty_if_absent(spark, with_bad, read) if missing_ok else read()
+        return spark.read.text(path)
+
+    text = _empty_if_absent(spark, lines, read) if missing_ok else read()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = (
+        text.filter(F.trim("value") != "")
+        .select(F.from_json("value", with_bad, options).alias("r"))
+        .select("r.*")
+    )
     good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
     return good, bad
