@@ -165,17 +165,27 @@ def bin_regions(spark: SparkSession, regions=REGIONS_HZ, points: int = 256) -> D
     return grid.select("bin", name.alias("region")).filter(F.col("region").isNotNull())
 
 
-def region_signed_error(
+def region_unit_error(
     answers: DataFrame, centre: DataFrame, regions: DataFrame, label: str, unit: list[str], pos: str = "bin", value: str = "db"
 ) -> DataFrame:
-    """Mean signed difference to the label's mean curve per region: within every unit
-    first, then over units. Long-form inputs; `centre` has (label, bin, mean)."""
-    diff = (
+    """Mean signed difference `e` to the label's mean curve per unit and region.
+
+    Long-form inputs; `centre` has (label, bin, mean). The region table has one row per
+    grid point.
+    """
+    return (
         answers.join(F.broadcast(regions), pos)
         .join(centre.select(label, pos, "mean"), [label, pos])
         .groupBy(label, *unit, "region")
         .agg(F.avg(F.col(value) - F.col("mean")).alias("e"))
     )
+
+
+def region_signed_error(
+    answers: DataFrame, centre: DataFrame, regions: DataFrame, label: str, unit: list[str], pos: str = "bin", value: str = "db"
+) -> DataFrame:
+    """`region_unit_error`, averaged over units (models and prompts)."""
+    diff = region_unit_error(answers, centre, regions, label, unit, pos, value)
     return diff.groupBy(label, "region").agg(F.count(F.lit(1)).alias("n_units"), F.avg("e").alias("signed_error"))
 
 
