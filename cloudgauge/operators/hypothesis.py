@@ -25,6 +25,7 @@ from cloudgauge.operators.ranks import (
     value_frequencies,
     value_slices,
 )
+from cloudgauge.session import ensure_checkpoint_dir
 
 
 def _cube_ties(n: str = "n") -> Column:
@@ -287,4 +288,6 @@ def consolidate_tests(tables: dict[str, DataFrame], p: str = "p_value", alpha: f
     for source, t in tables.items():
         part = t.select(F.lit(source).alias("source"), "test", "unit", p)
         union = part if union is None else union.unionByName(part)
-    return bh_fdr(union, p, alpha)
+    # every part is the end of a long plan, and the correction reads it several times
+    ensure_checkpoint_dir(union.sparkSession)
+    return bh_fdr(union.checkpoint(), p, alpha)

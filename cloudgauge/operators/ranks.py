@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VALUE_SLICES = 256
+SLICES_PER_OCTAVE = 1 << 14
+FINE_SLICES = 256
 
 
 def _slice_offsets(df: DataFrame, by: list[str], slice_col: str, sums: dict[str, Column]) -> DataFrame:
@@ -42,41 +43,49 @@ def ordered_row_number(
     return out.drop("__slice", "__off_n", "__all_n")
 
 
-def value_slices(freq: DataFrame, by: list[str], value: str, levels: int = 2) -> DataFrame:
+def value_slice(value: Column) -> Column:
+    """A whole number that never falls as the value rises: sign, exponent and the leading
+    bits of the mantissa. A plain expression, so cutting a table needs no extra pass."""
+    v = value.cast("double")
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    # should log2 round across a power of two, both readings give the same code
+    code = (exponent + 1100) * SLICES_PER_OCTAVE + F.floor(
+        size / F.pow(F.lit(2.0), exponent) * SLICES_PER_OCTAVE - SLICES_PER_OCTAVE
+    )
+    code = F.when(size == float("inf"), F.lit(5000 * SLICES_PER_OCTAVE)).otherwise(code)
+    return F.when(v == 0, F.lit(0)).when(v > 0, code).otherwise(-code).cast("long")
+
+
+def value_slices(freq: DataFrame, by: list[str], value: str, refine: bool = False) -> DataFrame:
     """Add `__slice`, rising with the value inside each group.
 
-    Equal-width cuts between the exact minimum and maximum, then again inside each cut:
-    no sampling, so a task that is run again makes the same cuts. The second level keeps
-    long-tailed values apart.
+    `refine` cuts every slice again into equal widths between its own minimum and
+    maximum, for huge groups whose values share their leading digits. The cuts depend on
+    values only, so a task that is run again makes the same ones.
     """
-    keys = list(by)
-    out = freq
-    parts = []
-    for level in range(levels):
-        edges = out.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        width = (F.col("__hi") - F.col("__lo")) / F.lit(float(VALUE_SLICES))
-        step = F.floor((F.col(value) - F.col("__lo")) / F.nullif(width, F.lit(0.0)))
-        part = f"__p{level}"
-        # without a group key the edges are a single row, attached by broadcast
-        joined = out.join(edges, keys) if keys else out.join(F.broadcast(edges))
-        out = joined.withColumn(
-            part, F.least(F.coalesce(step, F.lit(0)), F.lit(VALUE_SLICES - 1)).cast("int")
-        ).drop("__lo", "__hi")
-        keys.append(part)
-        parts.append(part)
-    code = F.lit(0)
-    for p in parts:
-        code = code * VALUE_SLICES + F.col(p)
-    return out.withColumn("__slice", code).drop(*parts)
-
-
-def running_counts(freq: DataFrame, by: list[str], value: str, counts: list[str], levels: int = 2) -> DataFrame:
+    out = freq.withColumn("__slice", value_slice(F.col(value)))
+    if not refine:
+        return out
+    keys = [*by, "__slice"]
+    edges = out.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(FINE_SLICES))
+    step = F.floor((F.col(value) - F.col("__lo")) / F.nullif(width, F.lit(0.0)))
+    fine = F.least(F.coalesce(step, F.lit(0)), F.lit(FINE_SLICES - 1))
+    return (
+        out.join(edges, keys)
+        .withColumn("__slice", F.col("__slice") * FINE_SLICES + fine)
+        .drop("__lo", "__hi")
+    )
+
+
+def running_counts(freq: DataFrame, by: list[str], value: str, counts: list[str], refine: bool = False) -> DataFrame:
     """For a table with one row per (group, value): how many lie strictly below.
 
     Adds `<count>_below` (values strictly smaller) and `<count>_total` (whole group) for
     each count column.
     """
-    cut = value_slices(freq, by, value, levels)
+    cut = value_slices(freq, by, value, refine)
     offsets = _slice_offsets(cut, by, "__slice", {c: F.sum(c) for c in counts})
     inside = Window.partitionBy(*by, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = cut.join(offsets, [*by, "__slice"])
