@@ -61,12 +61,17 @@ def answer_reason(col: str, params: Sequence[str] = PARAM_NAMES, bounds: dict =
 def validate_answer(df: DataFrame, col: str, params: Sequence[str] = PARAM_NAMES, bounds: dict = ANSWER_BOUNDS) -> DataFrame:
     """Extract and check: adds `status` (ok/invalid), `reason` and the parsed `answer`
     (null unless ok)."""
-    checked = extract_answer_json(df, col, params).withColumn("reason", answer_reason(col, params, bounds))
+    checked = extract_answer_json(df, col, params)
+    verdict = F.struct(answer_reason(col, params, bounds).alias("reason"), F.col("answer").alias("__answer"))
+    # unfolding the verdict keeps filters on it from being rewritten in terms of every
+    # single field, which the optimizer's constraint inference cannot cope with
+    checked = checked.select(*df.columns, F.inline(F.array(verdict)))
     ok = F.col("reason").isNull()
-    return (
-        checked.withColumn("answer_status", F.when(ok, "ok").otherwise("invalid"))
-        .withColumn("answer", F.when(ok, F.col("answer")))
-        .drop("answer_keys")
+    return checked.select(
+        *df.columns,
+        "reason",
+        F.when(ok, "ok").otherwise("invalid").alias("answer_status"),
+        F.when(ok, F.col("__answer")).alias("answer"),
     )
 
 
