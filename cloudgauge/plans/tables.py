@@ -163,7 +163,7 @@ _CONTENT = (
 )
 _RECEIPTS = {
     "seq": "event_id",
-    "ts": "ts",
+    "ts": "CAST(ts AS TIMESTAMP)",
     "cell_id": "concat(CAST(user_id AS STRING), ':', CAST(event_id % 7 AS STRING))",
     "model": "concat('model-', CAST(user_id % 6 AS STRING))",
     "sample_idx": "event_id % 7",

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cloudgauge.operators.answers import compile_first_ok
+from cloudgauge.operators.retrieval import first_of
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
@@ -25,7 +26,7 @@ def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: s
 def _earlier(spark: SparkSession, out: str, batch_id: int, schema: T.StructType) -> DataFrame:
     """What older batches wrote; a rerun batch does not see its own first attempt."""
     try:
-        return spark.read.parquet(out).filter(F.col("batch") < batch_id)
+        return spark.read.parquet(out).filter(F.col("batch") < batch_id).select(*schema.names)
     except AnalysisException as e:
         # no folder yet, or only an empty first batch
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
@@ -43,19 +44,23 @@ def stream_compile_receipts(
     content: str = "response_content",
     keep: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Insert-if-absent by cell: a cell keeps the first valid answer that arrived.
+    """Insert-if-absent by cell: a cell keeps its first valid answer in log order.
 
-    Within a batch the log order decides, between batches the earlier batch. `fold`
-    replaces the default per-batch compilation.
+    A batch inserts the cells that have no earlier answer yet. Should files arrive out of
+    log order, the earlier row is inserted too and `read_compiled` prefers it, so the
+    result does not depend on arrival. `fold` replaces the per-batch compilation.
     """
-    compile_batch = fold or (lambda df: compile_first_ok(df, cell, order, content, list(keep)))
+    columns = [order, *[k for k in keep if k != order]]
+    compile_batch = fold or (lambda df: compile_first_ok(df, cell, order, content, columns))
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         firsts = compile_batch(batch)
-        done = _earlier(spark, out, batch_id, T.StructType([T.StructField(cell, firsts.schema[cell].dataType)]))
-        fresh = firsts.join(done.select(cell), cell, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        key = T.StructType([firsts.schema[cell], firsts.schema[order]])
+        done = _earlier(batch.sparkSession, out, batch_id, key).groupBy(cell).agg(F.min(order).alias("__done"))
+        fresh = firsts.join(done, cell, "left").filter(
+            F.col("__done").isNull() | (F.col("__done") > F.col(order))
+        )
+        fresh.drop("__done").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         log.writeStream.foreachBatch(insert)
@@ -65,6 +70,10 @@ def stream_compile_receipts(
     )
 
 
+def read_compiled(spark: SparkSession, out: str, cell: str, order: str) -> DataFrame:
+    return first_of(spark.read.parquet(out), [cell], [F.asc(order)]).drop("batch")
+
+
 def stream_cost(
     log: DataFrame,
     out: str,
