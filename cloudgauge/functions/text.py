@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 # Everything Python's str.split() treats as white space.
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
-# Decimal numbers, exponents and infinities; hex floats and the Java suffixes
-# "d" and "f" are not numbers here.
-_NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 
 
 def normalize_label(col: Column | str) -> Column:
@@ -21,10 +18,17 @@ def normalize_label(col: Column | str) -> Column:
 
 
 def to_number(col: Column | str) -> Column:
-    """String to double; null for whatever is not a finite-or-infinite number (NaN too)."""
+    """String to double; null for whatever is not a number (NaN too).
+
+    Spark's cast also takes hex floats and the suffixes "d" and "f"; these are no numbers
+    here. Digit groups joined by underscores are.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    plain = F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")
-    return F.when(plain.rlike(_NUMBER), F.trim(plain).try_cast("double"))
+    plain = F.trim(F.when(c.contains("_"), F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")).otherwise(c))
+    value = plain.try_cast("double")
+    low = F.lower(plain)
+    odd = low.endswith("d") | (low.endswith("f") & ~low.endswith("inf")) | low.contains("x")
+    return F.when(~F.isnan(value) & ~odd, value)
 
 
 def extract_first_number(col: Column | str) -> Column:

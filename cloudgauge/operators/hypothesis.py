@@ -176,7 +176,7 @@ def chi_square_gof(
 
 
 def bootstrap_ci_median(
-    df: DataFrame, by: list[str], value: str, b: int = 10_000, seed: int = 42, draw_limit: int = 2_000, min_n: int = 3
+    df: DataFrame, by: list[str], value: str, b: int = 10_000, seed: int = 42, draw_limit: int = 1_000, min_n: int = 3
 ) -> DataFrame:
     """Median with a 95 % bootstrap interval from the order statistics at 2.5 and 97.5 %.
 
@@ -272,11 +272,12 @@ def bh_fdr(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, by: Sequen
     ranked = running_counts(freq, by, p, ["c"])
     raw = ranked.select(*by, p, (F.col(p) * F.col("c_total") / (F.col("c_below") + F.col("c"))).alias("__raw"))
     cut = value_slices(raw, by, p)
-    later = Window.partitionBy(*by).orderBy("__slice").rowsBetween(1, Window.unboundedFollowing)
+    # falling order: a frame that grows is cheap, one that shrinks is redone for every row
+    later = Window.partitionBy(*by).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
     floors = cut.groupBy(*by, "__slice").agg(F.min("__raw").alias("__m")).select(
         *by, "__slice", F.min("__m").over(later).alias("__floor")
     )
-    inside = Window.partitionBy(*by, "__slice").orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = Window.partitionBy(*by, "__slice").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     q = F.least(F.min("__raw").over(inside), F.coalesce("__floor", F.lit(1.0)), F.lit(1.0))
     per_p = cut.join(floors, [*by, "__slice"]).select(*by, p, q.alias("q_value"))
     return tests.join(per_p, [*by, p], "left").withColumn("survives", F.coalesce(F.col("q_value") <= alpha, F.lit(False)))

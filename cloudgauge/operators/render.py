@@ -15,9 +15,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudgauge.functions.params import BANDS, Band
 
@@ -28,6 +29,7 @@ GRID_POINTS = 256
 GRID_LOW_HZ = 20.0
 GRID_HIGH_HZ = 20000.0
 
+_RENDER_ROWS = 256
 COEFFICIENTS = ["b0", "b1", "b2", "a0", "a1", "a2"]
 
 
@@ -144,19 +146,27 @@ def curve_vector(
     phi = np.asarray(grid_phi(points, fs))
     plan = [(b.shape, b.q is not None) for b in bands]
 
-    @F.pandas_udf("array<double>")
-    def render(settings: pd.DataFrame) -> pd.Series:
-        cols = [settings.iloc[:, i].to_numpy(dtype=float)[:, None] for i in range(settings.shape[1])]
-        at, out = 0, np.zeros((len(settings), points))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def render(settings: pa.Array) -> pa.Array:
+        cols = [c.to_numpy(zero_copy_only=False).astype(float)[:, None] for c in settings.flatten()]
+        rows = len(settings)
+        out = np.empty((rows, points))
+        at, chain = 0, []
         for shape, has_q in plan:
-            gain, freq = cols[at], cols[at + 1]
             q = cols[at + 2] if has_q else shelf_q
+            co = filter_coefficients(shape, cols[at], cols[at + 1], q, fs, np.sin, np.cos, np.sqrt)
+            chain.append((_quadratic(co["b0"], co["b1"], co["b2"]), _quadratic(co["a0"], co["a1"], co["a2"])))
             at += 3 if has_q else 2
-            co = filter_coefficients(shape, gain, freq, q, fs, np.sin, np.cos, np.sqrt)
-            n = _quadratic(co["b0"], co["b1"], co["b2"])
-            d = _quadratic(co["a0"], co["a1"], co["a2"])
-            out += 10.0 * np.log10((n[0] + phi * (n[1] + phi * n[2])) / (d[0] + phi * (d[1] + phi * d[2])))
-        return pd.Series(list(out))
+        # a few hundred rows at a time stay in cache
+        for start in range(0, rows, _RENDER_ROWS):
+            part = slice(start, start + _RENDER_ROWS)
+            gain = np.ones((min(_RENDER_ROWS, rows - start), points))
+            for n, d in chain:
+                gain *= n[0][part] + phi * (n[1][part] + phi * n[2][part])
+                gain /= d[0][part] + phi * (d[1][part] + phi * d[2][part])
+            out[part] = 10.0 * np.log10(gain)
+        offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * points)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
     names = [c for b in bands for c in ((b.gain, b.freq, b.q) if b.q else (b.gain, b.freq))]
     return render(F.struct(*names))

@@ -55,7 +55,7 @@ def usable_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalize_label", f"SELECT doc_id, md5({norm_sql('text')}) AS label_md5 FROM documents")
 def normalize_label(spark, sf_dir):
-    return t.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_label("text")).alias("label_md5"))
+    return t.heavy(spark, sf_dir, "documents", "doc_id").select("doc_id", F.md5(text.normalize_label("text")).alias("label_md5"))
 
 
 @query(
@@ -118,7 +118,7 @@ def drop_exact_duplicates(spark, sf_dir):
 WHERE NOT regexp_matches(label, '\pL') OR length(label) <= 2""",
 )
 def surface_suspicious(spark, sf_dir):
-    docs, part = t.table(spark, sf_dir, "documents"), t.table(spark, sf_dir, "part")
+    docs, part = t.heavy(spark, sf_dir, "documents", "doc_id"), t.table(spark, sf_dir, "part")
     labels = (
         docs.selectExpr("lang AS label")
         .unionByName(docs.selectExpr("source AS label"))
@@ -134,7 +134,7 @@ def surface_suspicious(spark, sf_dir):
     r"""SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '\d+\.?\d*', 0), '') AS DOUBLE) AS first_number FROM documents""",
 )
 def extract_first_number(spark, sf_dir):
-    return t.table(spark, sf_dir, "documents").select("doc_id", text.extract_first_number("text").alias("first_number"))
+    return t.heavy(spark, sf_dir, "documents", "doc_id").select("doc_id", text.extract_first_number("text").alias("first_number"))
 
 
 _CONTEXT_SQL = "CASE WHEN contains(lower(instrument), 'guitar') THEN 'guitar' WHEN regexp_full_match(lower(instrument), '[a-z]+[0-9]') THEN 'mix_stimulus' END"
@@ -270,7 +270,7 @@ def build_cell_id(spark, sf_dir):
 
 @query("prompt_digest", "SELECT doc_id, substr(sha256(text), 1, 8) AS prompt_sha8 FROM documents")
 def prompt_digest(spark, sf_dir):
-    return t.table(spark, sf_dir, "documents").select("doc_id", text.digest8("text").alias("prompt_sha8"))
+    return t.heavy(spark, sf_dir, "documents", "doc_id").select("doc_id", text.digest8("text").alias("prompt_sha8"))
 
 
 TEMPLATES = [
@@ -316,7 +316,7 @@ def fill_template(spark, sf_dir):
   WHEN contains(upper(text), 'CANNOT RECALL') THEN 'declined' ELSE 'no_match' END AS verbatim FROM documents d""",
 )
 def probe_verbatim(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = t.heavy(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     got = answers.probe_verbatim(docs, "doc_id", "text", t.table(spark, sf_dir, "benchmark"), "text")
     return got.select("doc_id", "verbatim")
 
@@ -348,7 +348,7 @@ def probe_statistic(spark, sf_dir):
 
 @query("probe_keyword", "SELECT doc_id, contains(text, '25') OR contains(lower(text), 'columns') AS aware FROM documents")
 def probe_keyword(spark, sf_dir):
-    return t.table(spark, sf_dir, "documents").select("doc_id", answers.probe_keyword("text").alias("aware"))
+    return t.heavy(spark, sf_dir, "documents", "doc_id").select("doc_id", answers.probe_keyword("text").alias("aware"))
 
 
 @query(

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import PARAM_NAMES
+from cloudgauge.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows cost much work each; see `spread`."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def _select(cols: dict[str, str]) -> str:
     return ",\n  ".join(f"{e} AS {n}" for n, e in cols.items())
 
@@ -45,7 +51,7 @@ SETTINGS_SQL = f"settings AS (SELECT\n  {_select(_SETTINGS)}\nFROM lineitem JOIN
 
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "lineitem").join(
+    joined = heavy(spark, sf_dir, "lineitem", "l_orderkey").join(
         table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.expr("l_partkey = p_partkey")
     )
     return joined.selectExpr(*[f"{e} AS {n}" for n, e in _SETTINGS.items()])
@@ -111,7 +117,7 @@ ENTRIES_SQL = f"entries AS (SELECT\n  {_select(_ENTRIES)}\nFROM orders)"
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _ENTRIES.items()])
+    return heavy(spark, sf_dir, "orders", "o_orderkey").selectExpr(*[f"{e} AS {n}" for n, e in _ENTRIES.items()])
 
 
 # --- receipts: the call log -------------------------------------------------------------------
@@ -179,7 +185,7 @@ RECEIPTS_SQL = f"receipts AS (SELECT\n  {_select(_RECEIPTS)}\nFROM events)"
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in _RECEIPTS.items()])
+    return heavy(spark, sf_dir, "events", "event_id").selectExpr(*[f"{e} AS {n}" for n, e in _RECEIPTS.items()])
 
 
 # --- scored units: one metric per answer, from the event values ---------------------------------

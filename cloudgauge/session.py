@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_FALLBACK: list[str] = []
@@ -64,3 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table of few files enough partitions for work that is heavy per row.
+
+    A table with at least as many files as cores is left as it is: its scan is parallel
+    already, and only small inputs pay for the shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
