@@ -23,9 +23,10 @@ def parse_numeric_block(df: DataFrame, cols: Sequence[str], ok: str = "parse_ok"
     results stay above it. As plain aliases every rule would repeat the parse, and the
     optimizer's constraint inference would try all combinations of the aliases.
     """
-    block = F.struct(*[text.to_number(c).alias(c) for c in cols])
     rest = [c for c in df.columns if c not in cols]
-    parsed = df.select(*rest, F.inline(F.array(block)))
+    numbers = df.select(*rest, F.transform(F.array(*cols), text.to_number).alias("__n"))
+    block = F.struct(*[F.get("__n", F.lit(i)).alias(c) for i, c in enumerate(cols)])
+    parsed = numbers.select(*rest, F.inline(F.array(block)))
     good = F.lit(True)
     for c in cols:
         good = good & F.col(c).isNotNull()
