@@ -39,16 +39,24 @@ def block_product(
 ) -> DataFrame:
     """Run `fn(left_block, right_block)` for every pair of blocks of the same cloud.
 
-    Ids must be unique within a cloud. With `same_cloud` both sides are one table cut the
+    Ids must be unique within a cloud; an empty `on` makes the table one cloud. With `same_cloud` both sides are one table cut the
     same way and only block pairs (i <= j) run; `fn` then sees the columns `__l`, `__r`.
     """
     if same_cloud:
         right_rows = left_rows
 
-    def count_blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    def blocks_in(rows: int) -> Column:
+        return F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int")
 
-    shape = count_blocks(left, left_rows, "__nl").join(count_blocks(right, right_rows, "__nr"), on)
+    if on:
+        shape = left.groupBy(*on).agg(blocks_in(left_rows).alias("__nl")).join(
+            right.groupBy(*on).agg(blocks_in(right_rows).alias("__nr")), on
+        )
+    else:
+        # one cloud for the whole table: its shape is one row
+        shape = left.agg(blocks_in(left_rows).alias("__nl")).join(
+            F.broadcast(right.agg(blocks_in(right_rows).alias("__nr")))
+        )
 
     def block_of(id_col: str, n: str) -> Column:
         return F.pmod(F.xxhash64(F.col(id_col)), F.col(n)).cast("int")
@@ -56,7 +64,7 @@ def block_product(
     def spread(df: DataFrame, id_col: str, own: str, own_n: str, other: str, others: Column) -> DataFrame:
         # re-aliasing keeps the two sides apart when both come from one table
         return (
-            df.join(shape, on)
+            (df.join(shape, on) if on else df.join(F.broadcast(shape)))
             .withColumn(own, block_of(id_col, own_n))
             .withColumn(other, F.explode(others))
             .select(*[F.col(c).alias(c) for c in [*df.columns, "__l", "__r"]])

@@ -71,8 +71,8 @@ def cosine_anchor_join(
     never written.
     """
     has = [p for p in params if p in anchors.columns]
-    l = labels.select(F.lit(0).alias("__all"), F.col(label).alias("lid"), F.col(vec).alias("vec"))
-    r = anchors.select(F.lit(0).alias("__all"), F.col(anchor).alias("rid"), F.col(vec).alias("vec"), *has)
+    l = labels.select(F.col(label).alias("lid"), F.col(vec).alias("vec"))
+    r = anchors.select(F.col(anchor).alias("rid"), F.col(vec).alias("vec"), *has)
     schema = "lid {}, rid {}, n long, s double, top double, {}".format(
         labels.schema[label].dataType.simpleString(),
         anchors.schema[anchor].dataType.simpleString(),
@@ -107,7 +107,7 @@ def cosine_anchor_join(
             table["__none"] = pa.array(np.zeros(len(w)))
         return pa.table(table)
 
-    parts = blocks.block_product(l, r, ["__all"], "lid", "rid", weigh, schema, label_rows, anchor_rows)
+    parts = blocks.block_product(l, r, [], "lid", "rid", weigh, schema, label_rows, anchor_rows)
     best = F.min(F.struct((-F.col("top")).alias("t"), F.col("rid").alias("r")))
     return (
         parts.groupBy(F.col("lid").alias(label))

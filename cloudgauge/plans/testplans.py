@@ -151,16 +151,18 @@ gof AS (SELECT *, {chi2_p_sql('chi2', '(k - 1)')} AS p FROM chi)"""
 def gof(spark, sf_dir):
     orders = t.table(spark, sf_dir, "orders")
     counts = orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("observed"))
-    total = orders.agg(F.count(F.lit(1)).alias("__n"))
-    shares = (
-        orders.groupBy("o_orderpriority")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .join(F.broadcast(total))
-        .select("o_orderpriority", (F.col("c") / F.col("__n")).alias("share"))
+    # the shares of the priority codes as one array row, unfolded for every status
+    priorities = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("c"))
+    shares = priorities.agg(F.collect_list(F.struct("o_orderpriority", "c")).alias("__p"), F.sum("c").alias("__n"))
+    cells = (
+        orders.select("o_orderstatus")
+        .distinct()
+        .join(F.broadcast(shares))
+        .select("o_orderstatus", "__n", F.inline("__p"))
+        .withColumn("share", F.col("c") / F.col("__n"))
+        .join(counts, ["o_orderstatus", "o_orderpriority"], "left")
+        .fillna(0, subset=["observed"])
     )
-    # statuses and priorities are code lists
-    dims = orders.select("o_orderstatus").distinct().join(F.broadcast(shares))
-    cells = dims.join(counts, ["o_orderstatus", "o_orderpriority"], "left").fillna(0, subset=["observed"])
     return hypothesis.chi_square_gof(cells, ["o_orderstatus"], "observed", "share")
 
 

@@ -242,14 +242,20 @@ def test_components_match_numpy(spark, cloud):
     assert np.allclose(s.mean(axis=0), 0, atol=1e-9)
 
 
-def test_mixture_finds_two_groups(spark):
+MIXTURE_BIC = {}
+
+
+@pytest.mark.parametrize("local_rows", [20_000, 10])
+def test_mixture_finds_two_groups(spark, local_rows):
     rng = np.random.default_rng(9)
     rows = [(i, "a", [float(x) for x in rng.normal(size=2) + (8 if i % 4 == 0 else 0)]) for i in range(200)]
     rows += [(1000 + i, "b", [float(x) for x in rng.normal(size=2)]) for i in range(150)]
     df = frame(spark, rows)
-    bic, comps = structure.gmm_select_by_bic(df, ["label"], "id", "vec", ks=(1, 2), starts=2, max_iter=40)
+    bic, comps = structure.gmm_select_by_bic(df, ["label"], "id", "vec", ks=(1, 2), starts=2, max_iter=40, local_rows=local_rows)
     best = {r["label"]: r["k"] for r in bic.collect() if r["best"]}
     assert best == {"a": 2, "b": 1}
+    # both ways take the same steps from the same starts
+    assert {r["label"]: round(r["bic"], 3) for r in bic.collect() if r["k"] == 2} == pytest.approx(MIXTURE_BIC.setdefault("k2", {r["label"]: round(r["bic"], 3) for r in bic.collect() if r["k"] == 2}), rel=1e-5)
     modes = structure.assign_modes(df, comps, ["label"], "vec")
     shares = {(r["label"], r["mode"]): r["share"] for r in structure.mode_shares(modes, ["label"]).collect()}
     assert shares["a", 0] == pytest.approx(0.75, abs=0.02)
