@@ -29,7 +29,7 @@ def _select(cols: dict[str, str]) -> str:
 # --- settings: one 13-value block per line item, labelled by part name ------------------
 
 _SETTINGS = {
-    "id": "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(l_linenumber AS STRING))",
+    "id": "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(l_linenumber AS STRING), CAST(CAST(l_quantity AS INT) AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING))",
     "orderkey": "l_orderkey",
     "source": "l_returnflag",
     "descriptor": "p_name",
