@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudgauge.session import attach, settle
+
 LEFT_ROWS = 1024
 RIGHT_ROWS = 4096
 _TILE_BYTES = 8 << 20
@@ -49,8 +51,10 @@ def block_product(
         return F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int")
 
     if on:
-        shape = left.groupBy(*on).agg(blocks_in(left_rows).alias("__nl")).join(
-            right.groupBy(*on).agg(blocks_in(right_rows).alias("__nr")), on
+        shape, small = settle(
+            left.groupBy(*on)
+            .agg(blocks_in(left_rows).alias("__nl"))
+            .join(right.groupBy(*on).agg(blocks_in(right_rows).alias("__nr")), on)
         )
     else:
         # one cloud for the whole table: its shape is one row
@@ -64,7 +68,7 @@ def block_product(
     def spread(df: DataFrame, id_col: str, own: str, own_n: str, other: str, others: Column) -> DataFrame:
         # re-aliasing keeps the two sides apart when both come from one table
         return (
-            (df.join(shape, on) if on else df.join(F.broadcast(shape)))
+            (attach(df, shape, small, on) if on else df.join(F.broadcast(shape)))
             .withColumn(own, block_of(id_col, own_n))
             .withColumn(other, F.explode(others))
             .select(*[F.col(c).alias(c) for c in [*df.columns, "__l", "__r"]])

@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 
 from cloudgauge.functions.hashing import hash_index, hash_key, hash_slice
 from cloudgauge.operators.ranks import _slice_offsets, ordered_row_number
+from cloudgauge.session import attach, settle
 
 
 def hash_cut(
-    df: DataFrame, by: list[str], id_col: str, take: Callable[[Column], Column], seed: int | str, flag: str
+    df: DataFrame,
+    by: list[str],
+    id_col: str,
+    take: Callable[[Column], Column],
+    seed: int | str,
+    flag: str,
+    size: str | None = None,
 ) -> DataFrame:
     """Flag the first `take(n)` rows of each group in hash order, n being its size.
 
-    Only counts per hash slice and the one slice that holds the cut are shuffled; the
-    rows themselves are flagged in place against one threshold per group.
+    Only counts per hash slice and the rows of the one slice that holds the cut move; the
+    table itself is flagged in place against one threshold per group. `size` also adds n.
     """
     key = hash_key(seed, id_col)
     keyed = df.select(*by, F.col(id_col).alias("__id"), key.alias("__h"), hash_slice(key).alias("__slice"))
@@ -29,20 +36,25 @@ def hash_cut(
         "__k", take(F.col("__all_n"))
     )
     here = Window.partitionBy(*by).orderBy("__slice")
-    cutting = (
+    holds_cut = (F.col("__off_n") < F.col("__k")) & (F.col("__k") <= F.col("__next"))
+    cut_at = F.struct(F.col("__slice"), (F.col("__k") - F.col("__off_n")).alias("__nth"))
+    limits, small = settle(
         offsets.withColumn("__next", F.coalesce(F.lead("__off_n").over(here), F.col("__all_n")))
-        .filter((F.col("__off_n") < F.col("__k")) & (F.col("__k") <= F.col("__next")))
-        .select(*by, "__slice", (F.col("__k") - F.col("__off_n")).alias("__nth"))
+        .groupBy(*by)
+        .agg(F.max("__all_n").alias("__size"), F.max(F.when(holds_cut, cut_at)).alias("__cut"))
     )
+    cutting = limits.filter(F.col("__cut").isNotNull()).select(*by, "__cut.__slice", "__cut.__nth")
     nth = Window.partitionBy(*by).orderBy("__h", "__id")
     edge = (
-        keyed.join(cutting, [*by, "__slice"])
+        attach(keyed, cutting, small, [*by, "__slice"])
         .withColumn("__rn", F.row_number().over(nth))
         .filter("__rn = __nth")
         .select(*by, F.struct("__h", "__id").alias("__edge"))
     )
+    per_group = limits.select(*by, "__size").join(edge, by, "left")
     mine = F.struct(key.alias("__h"), F.col(id_col).alias("__id"))
-    return df.join(edge, by, "left").withColumn(flag, F.coalesce(mine <= F.col("__edge"), F.lit(False))).drop("__edge")
+    out = attach(df, per_group, small, by, "left").withColumn(flag, F.coalesce(mine <= F.col("__edge"), F.lit(False)))
+    return (out.withColumnRenamed("__size", size) if size else out.drop("__size")).drop("__edge")
 
 
 def share_of(fraction: float) -> Callable[[Column], Column]:
@@ -54,12 +66,11 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, eval_fraction: float = 0.2, floor: int = 20, seed: int = 42, out: str = "split"
 ) -> DataFrame:
     """`eval`/`train` inside labels with at least `floor` rows, `tail_eval` for the rest."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
-    cut = hash_cut(df, [label], id_col, share_of(eval_fraction), seed, "__eval").join(sizes, label)
+    cut = hash_cut(df, [label], id_col, share_of(eval_fraction), seed, "__eval", "__rows")
     side = (
-        F.when(F.col("__size") < floor, "tail_eval").when(F.col("__eval"), "eval").otherwise("train")
+        F.when(F.coalesce("__rows", F.lit(0)) < floor, "tail_eval").when(F.col("__eval"), "eval").otherwise("train")
     )
-    return cut.withColumn(out, side).drop("__eval", "__size")
+    return cut.withColumn(out, side).drop("__eval", "__rows")
 
 
 def dev_slice(df: DataFrame, label: str, id_col: str, fraction: float = 0.1, seed: int | str = "42:dev") -> DataFrame:

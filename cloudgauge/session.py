@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_FALLBACK: list[str] = []
@@ -74,3 +75,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def settle(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Write a per-label side table once and count it: (table, small enough to broadcast).
+
+    The optimizer sizes an aggregate by its input, so it would plan a shuffle of the big
+    side for a table of a few rows. Beyond the limit the join stays a shuffle join.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return kept, kept.limit(limit + 1).count() <= limit
+
+
+def attach(df: DataFrame, side: DataFrame, small: bool, on: list[str], how: str = "inner") -> DataFrame:
+    return df.join(F.broadcast(side) if small else side, on, how)
