@@ -302,3 +302,16 @@ def test_block_shape_is_bounded(spark, cloud):
     got = blocks.block_product(df, right, ["label"], "lid", "rid", sizes, "l long, r long", 20, 20).collect()
     assert max(max(r["l"], r["r"]) for r in got) <= 40
     assert sum(r["l"] * r["r"] for r in got) == 170**2 + 60**2
+
+
+def test_regressor_recovers_a_linear_map(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 3))
+    y = x @ np.array([[1.0, 0.0], [2.0, -1.0], [0.0, 0.5]]) + [3.0, -2.0]
+    rows = [(i, x[i].tolist(), y[i].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<double>")
+    got = structure.embedding_regressor(df, df.select("id", "x"), "id", "x", "y", alpha=1e-6).collect()
+    assert len(got) == 400
+    for r in got:
+        assert np.allclose(r["prediction"], y[r["id"]], atol=1e-4)
+        assert r["seed_spread"] < 1e-4
