@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, packing
+from cloudgauge.llm import bpe, credentials, divergence, packing, privacy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,50 @@ def op10_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+def span_list(spans: Column) -> Column:
+    """kind:start:end, comma-joined in the order given."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the divergence rules."""
+    judged = divergence.divergence_rules(receipts(spark, sf_dir, F.col("lang").alias("profile")))
+    return judged.withColumnRenamed("cell_id", "doc_id")
+
+
+@query
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: strict spans and what the boosted trees add."""
+    found = privacy.pii_spans(receipts(spark, sf_dir))
+    base = F.filter("pii_spans", lambda s: s["kind_no"] < len(privacy.BASE))
+    return found.select(
+        F.col("cell_id").alias("doc_id"),
+        *[of_kind(F.col("pii_spans"), kind).alias(f"n_{kind}") for kind in privacy.BASE],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("pii_spans")).alias("spans"),
+    )
+
+
+@query
+def op7_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a source owns its documents, and each of its languages
+    is a repository."""
+    owned = receipts(
+        spark, sf_dir, F.col("source").alias("model"), F.concat_ws("/", "source", F.coalesce("lang", F.lit(""))).alias("arm")
+    )
+    found = credentials.secret_spans(owned)
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        F.col("cell_id").alias("doc_id"),
+        *[of_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in credentials.KINDS[:3]],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
