@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, credentials, divergence, packing, privacy
+from cloudgauge.llm import bpe, credentials, divergence, packing, privacy, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,14 @@ def op7_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
     )
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    groups = simhash.near_duplicate_groups(receipts(spark, sf_dir), shingle_words=4, max_bits=4)
+    return groups.select(
+        F.col("cell_id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )

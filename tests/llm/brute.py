@@ -71,3 +71,34 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def sha(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def simhash(text: str | None, k: int) -> int:
+    import xxhash
+
+    words = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(prints: dict[int, int], max_bits: int) -> dict[int, int]:
+    """Smallest id reachable over fingerprints within max_bits, by comparing all."""
+    import numpy as np
+
+    ids = sorted(prints)
+    values = np.array([prints[i] for i in ids], np.uint64)
+    root = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= max_bits).tolist():
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {d: ids[find(i)] for i, d in enumerate(ids)}
