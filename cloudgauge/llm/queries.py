@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, credentials, divergence, packing, privacy, simhash
+from cloudgauge.llm import bpe, credentials, divergence, packing, privacy, repeats, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op6_induced_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that occur elsewhere."""
+    cleared = repeats.remove_repeats(receipts(spark, sf_dir), min_bytes=400)
+    return cleared.select(
+        F.col("cell_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -102,3 +102,19 @@ def groups(prints: dict[int, int], max_bits: int) -> dict[int, int]:
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     return {d: ids[find(i)] for i, d in enumerate(ids)}
+
+
+def without_repeats(texts: dict, min_bytes: int) -> dict:
+    """(n_bytes, n_removed, n_spans, kept) of each text, by looking every window up."""
+    raw = {k: (t or "").encode() for k, t in texts.items()}
+    seen = Counter(b[i : i + min_bytes] for b in raw.values() for i in range(len(b) - min_bytes + 1))
+    out = {}
+    for k, b in raw.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - min_bytes + 1):
+            if seen[b[i : i + min_bytes]] > 1:
+                gone[i : i + min_bytes] = b"\x01" * min_bytes
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out[k] = (len(b), sum(gone), spans, kept)
+    return out
