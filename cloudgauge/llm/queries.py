@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, credentials, divergence, packing, privacy, repeats, simhash
+from cloudgauge.llm import bpe, credentials, divergence, neighbours, packing, privacy, quality, repeats, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,3 +127,51 @@ def op6_induced_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleared.select(
         F.col("cell_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op8_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding, among all."""
+    curves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
+    )
+    found = neighbours.nearest_curves(curves, F.col("id") % 20 == 0, k=20)
+    return found.select(
+        F.col("query_id").cast("long"), "rank", F.col("id").cast("long").alias("vec_id"), "score"
+    )
+
+
+def remainder(doc_id: Column, divisor: int) -> Column:
+    return F.crc32(doc_id.cast("string")) % divisor
+
+
+def training_labels(spark: SparkSession, sf_dir: str, known: Column) -> DataFrame:
+    """The labels that may be learned from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(known)
+    return labels.withColumnRenamed("doc_id", "cell_id")
+
+
+@query
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out fifth."""
+    docs = receipts(spark, sf_dir)
+    model = quality.fit_attention_model(docs, training_labels(spark, sf_dir, remainder(F.col("doc_id"), 5) != 0), threshold=0.3)
+    return quality.quality_scores(docs, model).select(
+        F.col("cell_id").alias("doc_id"),
+        (remainder(F.col("cell_id"), 5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_ratio_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out third."""
+    docs = receipts(spark, sf_dir)
+    model = toxicity.fit_ratio_model(docs, training_labels(spark, sf_dir, remainder(F.col("doc_id"), 3) != 1), threshold=0.7)
+    return toxicity.toxicity_scores(docs, model).select(
+        F.col("cell_id").alias("doc_id"),
+        (remainder(F.col("cell_id"), 3) == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+    )
