@@ -21,6 +21,7 @@ from cloudgauge.llm.common import CELL_ID, RESPONSE, text_or_empty
 from cloudgauge.llm.labelled import Adam, best_logit, held_rows, labelled_sample, sigmoid
 
 PASSAGE_WORDS = 64
+FEW_WORDS = 10
 KINDS = 10  # lower, upper, digit, blank, line end, stop, symbol, other mark, first byte of a letter beyond ASCII, its rest
 
 
@@ -103,7 +104,9 @@ class AttentionModel:
     def forward(self, x: np.ndarray, starts: np.ndarray) -> dict:
         """Logits of bags whose passages are the rows from each start on."""
         sizes = np.diff(np.append(starts, len(x)))
-        u = np.clip((x - self.mean) / self.scale, -8, 8)
+        # a passage of few words says little: its features are drawn to the mean
+        words = np.expm1(x[:, -1] * np.log1p(PASSAGE_WORDS))[:, None]
+        u = np.clip((x - self.mean) / self.scale, -8, 8) * words / (words + FEW_WORDS)
         h = np.tanh(u @ self.encode + self.encode_bias)
         t, s = np.tanh(h @ self.gate_tanh), sigmoid(h @ self.gate_sigmoid)
         e = (t * s) @ self.attend

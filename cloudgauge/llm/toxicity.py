@@ -77,8 +77,9 @@ def fit_ratio_model(
     labels: DataFrame,
     label: str = "toxic",
     threshold: float = 0.7,
-    per_class: int = 3000,
+    per_class: int = 6000,
     features: int = 20_000,
+    evidence: float = 16.0,
     smoothing: float = 1.0,
     l2: float = 1e-3,
     steps: int = 300,
@@ -87,8 +88,8 @@ def fit_ratio_model(
 ) -> RatioModel:
     """Fits to at most `per_class` labelled answers of each class (by hash of the id).
 
-    Of the buckets the `features` with the largest ratios, weighed by how many texts hold
-    them, are kept. The bias puts the best cut of a held-out quarter at `threshold`.
+    Of the buckets those are kept whose likelihood ratio statistic against being spread
+    like the classes reaches `evidence`, at most `features`. The bias puts the best cut of a held-out quarter at `threshold`.
     Without answers of both classes every score is one half.
     """
     sample = labelled_sample(receipts, labels, label, per_class, cell_id, response_content)
@@ -98,9 +99,11 @@ def fit_ratio_model(
         return RatioModel(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
     rate = (counts[:, :-1] + smoothing) / (texts[:, None] + 2 * smoothing)
     ratio = np.log(rate[1] / rate[0])
-    spread = np.abs(ratio) * np.sqrt(counts[:, :-1].sum(axis=0))
-    kept = np.sort(np.argsort(-spread, kind="stable")[:features])
-    kept = kept[spread[kept] > 0]
+    seen = counts[:, :-1].astype(np.float64)
+    expected = seen.sum(axis=0) * (texts / texts.sum())[:, None]
+    surprise = 2 * (seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=0)
+    kept = np.sort(np.argsort(-surprise, kind="stable")[:features])
+    kept = kept[surprise[kept] >= evidence]
     place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
