@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -326,3 +326,12 @@ def remove_repeats(
     joined = rows.join(spans, "text_id", "left")
     result = joined.withColumn("_result", arrow_udf(without_spans, CLEARED)("text", "spans", F.lit(min_bytes)))
     return result.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], "_result.*")
+
+
+def whole_letters(kept: Column) -> Column:
+    """The text of bytes; letters that a cut has left incomplete are dropped."""
+
+    def text_of(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+
+    return arrow_udf(text_of, "string")(kept)
