@@ -68,9 +68,9 @@ def repeated_windows(words: Column, n: Column) -> Column:
         return bound_once(marked, places)
 
     def any_twice(hashes: Column) -> Column:
-        # most texts repeat no window: settled by a plain sort of numbers
-        twice = bound_once(F.sort_array(hashes), lambda s: F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: s[i] == s[i - 1]))
-        return F.when(F.size(hashes) < 2, F.lit(0).cast("long")).when(twice, covered(hashes)).otherwise(F.lit(0).cast("long"))
+        # most texts repeat no window, which a set of numbers tells
+        once = F.size(F.array_distinct(hashes)) == F.size(hashes)
+        return F.when(once, F.lit(0).cast("long")).otherwise(covered(hashes))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     windows = bound_once(
