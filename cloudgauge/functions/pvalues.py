@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,26 +43,42 @@ def normal_two_sided(z: Column) -> Column:
     return erfc(F.abs(z) / F.lit(math.sqrt(2.0)))
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0, by Stirling's series ten places up."""
+    up = x + 10.0
+    shift = F.log(x) + sum((F.log(x + float(i)) for i in range(1, 10)), F.lit(0.0))
+    inverse = 1.0 / (up * up)
+    series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - inverse / 1680.0) * inverse) * inverse) / up
+    return (up - 0.5) * F.log(up) - up + F.lit(0.5 * math.log(2 * math.pi)) + series - shift
+
+
 def chi2_sf(x: Column, df: Column) -> Column:
-    """Upper tail of chi-square for whole-number degrees of freedom."""
-    h = x / 2.0
-    # even df: exp(-h) * sum_{i < df/2} h^i / i!
-    even = F.exp(-h) * F.aggregate(
-        F.sequence((df / 2 - 1).cast("int"), F.lit(0), F.lit(-1)),
-        F.lit(0.0),
-        lambda acc, i: F.lit(1.0) + acc * h / (i + 1.0),
-    )
-    # odd df: erfc(sqrt h) + exp(-h) * sum_{i=1}^{(df-1)/2} h^(i-1/2) / Gamma(i+1/2)
-    m = ((df - 1) / 2).cast("int")
-    nested = F.aggregate(
-        F.when(m >= 1, F.sequence(m, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0),
-        lambda acc, i: F.lit(1.0) + acc * h / (i + 0.5),
-    )
-    odd = erfc(F.sqrt(h)) + F.when(
-        m >= 1, F.exp(-h) * F.sqrt(h) * nested / F.lit(math.sqrt(math.pi) / 2.0)
-    ).otherwise(0.0)
-    return F.when(x <= 0, F.lit(1.0)).when(df % 2 == 0, even).otherwise(odd)
+    """Upper tail of chi-square, for any number of degrees of freedom.
+
+    The incomplete gamma function with its leading factor taken as a logarithm: a series
+    for the lower part where x is below df, a continued fraction for the tail above. The
+    depth of both grows with the root of df.
+    """
+    h, a = x / 2.0, df / 2.0
+    front = F.exp(a * F.log(h) - h - log_gamma(a))
+    # the depth is bound once, as a one-element array
+    depth = F.array((F.lit(60) + F.ceil(12 * F.sqrt(a))).cast("int"))
+    lower = F.transform(
+        depth,
+        lambda n: F.aggregate(
+            F.sequence(n, F.lit(1), F.lit(-1)), F.lit(1.0), lambda acc, i: F.lit(1.0) + acc * h / (a + i)
+        ),
+    )[0]
+    upper = F.transform(
+        depth,
+        lambda n: F.aggregate(
+            F.sequence(n, F.lit(1), F.lit(-1)),
+            h + 2.0 * n + 1.0 - a,
+            lambda acc, i: h + 2.0 * i - 1.0 - a - i * (i - a) / acc,
+        ),
+    )[0]
+    tail = F.when(h < a + 1.0, 1.0 - front / a * lower).otherwise(front / upper)
+    return F.when(x <= 0, F.lit(1.0)).when(df > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -85,6 +102,34 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return h
 
 
+def incomplete_beta(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularized incomplete beta function of many x at once, from 0 to 1."""
+    x = np.asarray(x, np.float64)
+    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(log_front + a * np.log(inside) + b * np.log1p(-inside))
+    swap = inside >= (a + 1.0) / (a + b + 2.0)
+    first, second, at = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1.0 - inside, inside)
+    tiny = 1e-300
+    keep = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c = np.ones_like(at)
+    d = 1.0 / keep(1.0 - (first + second) * at / (first + 1.0))
+    h = d.copy()
+    for m in range(1, 100 + int(4 * math.sqrt(max(a, b)))):
+        for num in (
+            m * (second - m) * at / ((first + 2 * m - 1) * (first + 2 * m)),
+            -(first + m) * (first + second + m) * at / ((first + 2 * m) * (first + 2 * m + 1)),
+        ):
+            d = 1.0 / keep(1.0 + num * d)
+            c = keep(1.0 + num / c)
+            h = h * d * c
+        if (np.abs(d * c - 1.0) < 1e-15).all():
+            break
+    value = front * h / first
+    value = np.where(swap, 1.0 - value, value)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.clip(value, 0.0, 1.0)))
+
+
 def _t_two_sided(t: float, df: float) -> float:
     if not (df > 0) or math.isnan(t):
         return math.nan

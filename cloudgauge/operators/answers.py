@@ -59,7 +59,7 @@ def answer_reason(col: str, params: Sequence[str] = PARAM_NAMES, bounds: dict =
 
 
 def validate_answer(df: DataFrame, col: str, params: Sequence[str] = PARAM_NAMES, bounds: dict = ANSWER_BOUNDS) -> DataFrame:
-    """Extract and check: adds `status` (ok/invalid), `reason` and the parsed `answer`
+    """Extract and check: adds `answer_status` (ok/invalid), `reason` and the parsed `answer`
     (null unless ok)."""
     checked = extract_answer_json(df, col, params)
     verdict = F.struct(answer_reason(col, params, bounds).alias("reason"), F.col("answer").alias("__answer"))

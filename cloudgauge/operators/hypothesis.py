@@ -9,6 +9,7 @@ one job. P-values are asymptotic; n is always shown.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudgauge.functions import pvalues
-from cloudgauge.functions.hashing import hash_index, hash_key
 from cloudgauge.operators.ranks import (
     average_ranks,
     median_by,
@@ -176,26 +176,23 @@ def chi_square_gof(
 
 
 def bootstrap_ci_median(
-    df: DataFrame, by: list[str], value: str, b: int = 10_000, seed: int = 42, draw_limit: int = 1_000, min_n: int = 3
+    df: DataFrame, by: list[str], value: str, b: int = 10_000, seed: int = 42, min_n: int = 3
 ) -> DataFrame:
     """Median with a 95 % bootstrap interval from the order statistics at 2.5 and 97.5 %.
 
-    Groups up to `draw_limit` rows draw every resample from row hashes. For larger groups
-    n draws per resample would be n*b rows; there the two middle order statistics of a
-    resample are drawn directly: the k-th smallest of n uniform picks is floor(n*U) with
-    U ~ Beta(k, n-k+1), which is the same distribution from two numbers per resample.
+    A resample's median needs no resample: the places of its middle values among the n
+    sorted ones have a known distribution, which is inverted at numbers drawn from the
+    hash of (seed, group, resample). One way for groups of every size, two numbers per
+    resample.
     """
     freq = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
     placed = running_counts(freq, by, value, ["c"]).select(
         *by, F.col(value).alias("__v"), "c", F.col("c_below").alias("__at"), F.col("c_total").alias("n")
     )
-    placed = placed.filter(F.col("n") >= min_n)
-    small = _drawn_medians(placed.filter(F.col("n") <= draw_limit), by, b, seed)
-    large = _order_medians(placed.filter(F.col("n") > draw_limit), by, b, seed)
+    medians = _resampled_medians(placed.filter(F.col("n") >= min_n), by, b, seed)
     by_resample = Window.partitionBy(*by).orderBy("__m")
     ends = (
-        small.unionByName(large)
-        .withColumn("__i", F.row_number().over(by_resample) - 1)
+        medians.withColumn("__i", F.row_number().over(by_resample) - 1)
         .groupBy(*by)
         .agg(
             F.max(F.when(F.col("__i") == int(0.025 * b), F.col("__m"))).alias("ci_low"),
@@ -205,45 +202,51 @@ def bootstrap_ci_median(
     return median_by(df, by, value).join(ends, by)
 
 
-def _drawn_medians(placed: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
-    one = placed.select(*by, "__v", "n", F.explode(F.sequence(F.col("__at"), F.col("__at") + F.col("c") - 1)).alias("__i"))
-    sizes = placed.groupBy(*by).agg(F.max("n").alias("n"))
-    draws = (
-        sizes.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-        .withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-        .select(*by, "__b", hash_index(hash_key(seed, "__b", "__k"), F.col("n")).alias("__i"))
-    )
-    return (
-        draws.join(one, [*by, "__i"])
-        .groupBy(*by, "__b")
-        .agg(F.percentile("__v", 0.5).alias("__m"))
-        .drop("__b")
-    )
+def middle_places(n: int, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (from 1) of the two middle values of resamples of n sorted values.
 
-
-def _order_medians(placed: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
-    sizes = placed.groupBy(*by).agg(F.max("n").alias("n"))
+    The k-th smallest of n picks is at most j when k or more picks are: a binomial tail
+    in j/n, inverted at u by halving. For even n the next one lies beyond j2 when exactly
+    k picks are at most j2, the largest of them at j: (1 - j2/n)^(n-k) up to a factor, so
+    it is inverted at w directly.
+    """
+    k = (n + 1) // 2
+    tail = lambda j: pvalues.incomplete_beta(k, n - k + 1, j / n)
+    low, high = np.zeros(len(u), np.int64), np.full(len(u), n, np.int64)
+    while (high - low > 1).any():
+        middle = (low + high) // 2
+        reached = tail(middle) >= u
+        high, low = np.where(reached, middle, high), np.where(reached, low, middle)
+    first = high
+    if n % 2 or k == n:
+        return first, first
+    mass = tail(first) - tail(first - 1)
+    pairs = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    weight = pairs + k * np.log(first / n) + np.log1p(-np.power((first - 1) / first, k))
+    second = np.ceil(n * -np.expm1((np.log(w) + np.log(mass) - weight) / (n - k)))
+    return first, np.clip(second, first, n).astype(np.int64)
+
+
+def _resampled_medians(placed: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
     names = list(by)
+    labels = [F.col(c).cast("string") for c in by]
+    sizes = placed.groupBy(*by).agg(F.max("n").alias("n")).withColumn("__label", F.concat_ws(":", *labels))
 
     def draw(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                keys, n = row[:-1], int(row[-1])
-                text = ":".join([str(seed), *map(str, keys)])
-                rng = np.random.default_rng(int(hashlib.md5(text.encode()).hexdigest()[:16], 16))
-                k1, k2 = (n - 1) // 2 + 1, n // 2 + 1
-                u1 = rng.beta(k1, n - k1 + 1, b)
-                # given the k-th smallest, the next one is the smallest of n-k uniforms above it
-                u2 = u1 + (1.0 - u1) * rng.beta(1, n - k1, b) if k2 > k1 else u1
+                keys, n, label = row[:-2], int(row[-2]), row[-1]
+                digests = [hashlib.md5(f"{seed}:{label}:{i}".encode()).hexdigest()[:16] for i in range(b)]
+                u, w = (np.array([(int(d[a : a + 8], 16) + 0.5) / 2**32 for d in digests]) for a in (0, 8))
+                first, second = middle_places(n, u, w)
                 out = pd.DataFrame({"__b": np.arange(b)})
                 for name, key in zip(names, keys):
                     out[name] = key
-                out["__i1"] = np.minimum((u1 * n).astype(np.int64), n - 1)
-                out["__i2"] = np.minimum((u2 * n).astype(np.int64), n - 1)
+                out["__i1"], out["__i2"] = first - 1, second - 1
                 yield out[[*names, "__b", "__i1", "__i2"]]
 
     key_ddl = "".join(f"`{c}` {placed.schema[c].dataType.simpleString()}, " for c in by)
-    drawn = sizes.select(*by, "n").mapInPandas(draw, f"{key_ddl}__b int, __i1 long, __i2 long")
+    drawn = sizes.mapInPandas(draw, f"{key_ddl}__b int, __i1 long, __i2 long")
     wanted = drawn.select(*by, "__b", F.explode(F.array("__i1", "__i2")).alias("__at"))
     reach = wanted.groupBy(*by).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
     # only the values around the median can be hit: about 8 sqrt(n) of n places
@@ -264,11 +267,12 @@ def _order_medians(placed: DataFrame, by: list[str], b: int, seed: int) -> DataF
 def bh_fdr(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
     """Add `q_value` and `survives`: p * m / rank, made monotone from the top, at most 1.
 
-    Equal p-values share the q of the largest rank among them, so the pass runs over
+    Null and NaN p-values are not tests: they count nowhere and get no q. Equal p-values
+    share the q of the largest rank among them, so the pass runs over
     distinct p-values and its running minimum is taken slice by slice.
     """
     by = list(by)
-    freq = tests.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("c"))
+    freq = tests.filter(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*by, p).agg(F.count(F.lit(1)).alias("c"))
     ranked = running_counts(freq, by, p, ["c"])
     raw = ranked.select(*by, p, (F.col(p) * F.col("c_total") / (F.col("c_below") + F.col("c"))).alias("__raw"))
     cut = value_slices(raw, by, p)

@@ -126,7 +126,10 @@ def raft_examples(
     other labels, in hash order and without their labels: (id, label, examples array).
 
     The pool gets one global numbering, label by label in hash order; picks are numbers,
-    fetched by one equi-join. Needs more than `n_same` pool rows in the label.
+    fetched by one equi-join. A row starts at a place of its own and goes on by a stride
+    of its own, so picks are distinct and rarely neighbours. Where there are fewer pool
+    rows than asked for, all of them are picked, and none twice. Every row must have a
+    label of the pool.
     """
     order_seed = f"{seed}:raft"
     ranked = hash_rank(pool.select(label, id_col, payload), [label], id_col, order_seed)
@@ -146,27 +149,33 @@ def raft_examples(
     )
     own = F.col("__n") - F.when(F.col("pos").isNull(), 0).otherwise(1)
     others = F.col("__all") - F.col("__n")
-    draw_same = hash_index(hash_key(f"{order_seed}:same", id_col), own)
-    draw_other = hash_index(hash_key(f"{order_seed}:other", id_col), others)
 
-    def same(i: int) -> Column:
-        step = F.pmod(draw_same + i, own)
+    def places(kind: str, available: Column, wanted: int) -> list[Column]:
+        """Distinct numbers below `available`; null beyond it."""
+        stride = 1 + hash_index(
+            hash_key(f"{order_seed}:{kind}-stride", id_col), F.greatest(F.floor((available - 1) / max(wanted - 1, 1)), F.lit(1))
+        )
+        start = hash_index(hash_key(f"{order_seed}:{kind}", id_col), F.greatest(available, F.lit(1)))
+        return [F.when(available > i, F.pmod(start + i * stride, F.greatest(available, F.lit(1)))) for i in range(wanted)]
+
+    def same(step: Column) -> Column:
         # a pool row counts on from its own place, which it therefore never reaches
         place = F.when(F.col("pos").isNull(), step).otherwise(F.pmod(F.col("pos") + 1 + step, F.col("__n")))
         return F.col("__at") + place
 
-    def other(i: int) -> Column:
-        v = F.pmod(draw_other + i, others)
+    def other(v: Column) -> Column:
         return F.when(v < F.col("__at"), v).otherwise(v + F.col("__n"))
 
-    picks = F.array(*[same(i) for i in range(n_same)], *[other(i) for i in range(n_other)])
-    wanted = me.select(label, id_col, F.explode(picks).alias("__g"))
+    picks = F.array_compact(
+        F.array(*[same(v) for v in places("same", own, n_same)], *[other(v) for v in places("other", others, n_other)])
+    )
+    wanted = me.select(label, id_col, F.explode_outer(picks).alias("__g"))
     shuffled = hash_key(f"{order_seed}:order", id_col, "__pick_id")
     entry = F.struct(shuffled.alias("o"), F.col("__pick_id").alias("id"), F.col("__payload").alias("payload"))
     return (
-        wanted.join(numbered, "__g")
+        wanted.join(numbered, "__g", "left")
         .groupBy(label, id_col)
-        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["payload"]).alias("examples"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("__pick_id").isNotNull(), entry))), lambda e: e["payload"]).alias("examples"))
     )
 
 

@@ -43,10 +43,13 @@ def join_paired_arms(a: DataFrame, b: DataFrame, keys: list[str], value: str, or
     return x.join(y, keys)
 
 
-def greedy_baseline_join(answers: DataFrame, base: DataFrame, keys: list[str], value: str, sample: str = "sample_idx") -> DataFrame:
-    """Every answer next to the base arm's sample 0 of the same keys."""
-    greedy = base.filter(F.col(sample) == 0).select(*keys, F.col(value).alias("base_value"))
-    return answers.join(greedy, keys)
+def greedy_baseline_join(
+    answers: DataFrame, base: DataFrame, keys: list[str], value: str, order: str, sample: str = "sample_idx"
+) -> DataFrame:
+    """Every answer next to the base arm's sample 0 of the same keys; of base rows with
+    the same keys the last in `order` counts."""
+    greedy = first_of(base.filter(F.col(sample) == 0), keys, [F.desc(order)])
+    return answers.join(greedy.select(*keys, F.col(value).alias("base_value")), keys)
 
 
 def union_units(arms: dict[str, DataFrame], columns: Sequence[str], defaults: dict[str, object]) -> DataFrame:
@@ -95,9 +98,9 @@ def win_matrix(values: DataFrame, arm: str, key: str, value: str, arms: Sequence
     """Percent of common keys where the row arm is strictly below the column arm.
 
     Arms are few and become columns of one row per key, so no arm-by-arm self-join is
-    needed.
+    needed. Should an arm have a key twice, its smallest value counts.
     """
-    wide = values.groupBy(key).pivot(arm, list(arms)).agg(F.first(value))
+    wide = values.groupBy(key).pivot(arm, list(arms)).agg(F.min(value))
     complete = wide.dropna(subset=list(arms))
     aggs = []
     for a in arms:

@@ -220,13 +220,15 @@ def nearest_anchor(spark, sf_dir):
 @query(
     "greedy_baseline_join",
     t.with_views(t.SCORED_SQL)
-    + """SELECT c.seq, c.metric, b.metric AS base_value FROM scored c JOIN scored b ON c.model = b.model AND c.prompt = b.prompt AND c.descriptor = b.descriptor
-WHERE c.arm = 'C' AND b.arm = 'B' AND b.sample_idx = 0""",
+    + """SELECT c.seq, c.metric, b.metric AS base_value FROM scored c JOIN
+  (SELECT * FROM scored WHERE arm = 'B' AND sample_idx = 0 QUALIFY row_number() OVER (PARTITION BY model, prompt, descriptor ORDER BY seq DESC) = 1) b
+  ON c.model = b.model AND c.prompt = b.prompt AND c.descriptor = b.descriptor
+WHERE c.arm = 'C'""",
 )
 def greedy_baseline_join(spark, sf_dir):
     df = t.scored(spark, sf_dir)
     got = selection.greedy_baseline_join(
-        df.filter("arm = 'C'"), df.filter("arm = 'B'"), ["model", "prompt", "descriptor"], "metric"
+        df.filter("arm = 'C'"), df.filter("arm = 'B'"), ["model", "prompt", "descriptor"], "metric", "seq"
     )
     return got.select("seq", "metric", "base_value")
 
@@ -304,10 +306,15 @@ _RAFT_SQL = (
     "starts AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off0, sum(n) OVER () AS total FROM sizes)",
     "numbered AS (SELECT off0 + pos AS g, vec_id AS pick FROM pool JOIN starts USING (label))",
     """me AS (SELECT d.label, d.vec_id, pos, n, off0, total, n - CASE WHEN pos IS NULL THEN 0 ELSE 1 END AS own FROM dev d LEFT JOIN pool p USING (label, vec_id) JOIN starts s USING (label))""",
-    """draws AS (SELECT *, CAST('0x' || substr(md5('42:raft:same:' || CAST(vec_id AS STRING)), 1, 8) AS BIGINT) % own AS ds,
-  CAST('0x' || substr(md5('42:raft:other:' || CAST(vec_id AS STRING)), 1, 8) AS BIGINT) % (total - n) AS dd FROM me)""",
-    """wanted AS (SELECT label, vec_id, off0 + CASE WHEN pos IS NULL THEN (ds + i) % own ELSE (pos + 1 + (ds + i) % own) % n END AS g FROM draws, range(3) r(i)
-  UNION ALL SELECT label, vec_id, CASE WHEN (dd + i) % (total - n) < off0 THEN (dd + i) % (total - n) ELSE (dd + i) % (total - n) + n END FROM draws, range(2) r(i))""",
+    """draws AS (SELECT *, total - n AS rest,
+  CAST('0x' || substr(md5('42:raft:same:' || CAST(vec_id AS STRING)), 1, 8) AS BIGINT) AS hs,
+  CAST('0x' || substr(md5('42:raft:same-stride:' || CAST(vec_id AS STRING)), 1, 8) AS BIGINT) AS hss,
+  CAST('0x' || substr(md5('42:raft:other:' || CAST(vec_id AS STRING)), 1, 8) AS BIGINT) AS ho,
+  CAST('0x' || substr(md5('42:raft:other-stride:' || CAST(vec_id AS STRING)), 1, 8) AS BIGINT) AS hos FROM me)""",
+    """steps AS (SELECT *, (hs + i * (1 + hss % greatest((own - 1) // 2, 1))) % own AS step FROM draws, range(3) r(i) WHERE i < own),
+outs AS (SELECT *, (ho + i * (1 + hos % greatest((rest - 1) // 1, 1))) % rest AS v FROM draws, range(2) r(i) WHERE i < rest)""",
+    """wanted AS (SELECT label, vec_id, off0 + CASE WHEN pos IS NULL THEN step ELSE (pos + 1 + step) % n END AS g FROM steps
+  UNION ALL SELECT label, vec_id, CASE WHEN v < off0 THEN v ELSE v + n END FROM outs)""",
 )
 
 

@@ -176,16 +176,59 @@ def chi_square_gof(spark, sf_dir):
     return _p_cols(got).withColumn("min_expected", F.round("min_expected", 6)).withColumn("chi2", F.round("chi2", 6))
 
 
-_B = 400
+def chi2_p_log_sql(x: str, df: str, terms: int) -> str:
+    """Upper tail by the lower series, every term from its logarithm."""
+    return (
+        f"(SELECT 1 - sum(exp(({df} / 2E0 + r.i) * ln({x} / 2E0) - {x} / 2E0 - lgamma({df} / 2E0 + r.i + 1))) FROM range({terms}) r(i))"
+    )
+
+
+@query(
+    "chi_square_gof_many",
+    f"""WITH lines AS (SELECT l_returnflag, l_partkey * 2 + CASE WHEN l_linenumber > 2 THEN 1 ELSE 0 END AS cell FROM lineitem),
+shares AS (SELECT cell, count(*) / (SELECT count(*) + 0E0 FROM lines) AS share FROM lines GROUP BY cell),
+obs AS (SELECT l_returnflag, cell, count(*) AS c FROM lines GROUP BY ALL),
+cells AS (SELECT s.l_returnflag, h.cell, share, coalesce(c, 0) AS c FROM (SELECT DISTINCT l_returnflag FROM lines) s CROSS JOIN shares h LEFT JOIN obs o ON o.l_returnflag = s.l_returnflag AND o.cell = h.cell),
+exps AS (SELECT *, share * sum(c) OVER (PARTITION BY l_returnflag) AS e FROM cells),
+chi AS (SELECT l_returnflag, CAST(sum(c) AS BIGINT) AS n, count(*) AS k, sum((c - e) * (c - e) / e) AS chi2 FROM exps GROUP BY l_returnflag)
+SELECT l_returnflag, n, k, round(chi2, 6) AS chi2, round({chi2_p_log_sql('chi2', '(k - 1)', 6000)}, 6) AS p_value FROM chi""",
+)
+def chi_square_gof_many(spark, sf_dir):
+    """Thousands of categories: parts, each split by early and late line numbers."""
+    lines = t.table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", F.expr("l_partkey * 2 + CASE WHEN l_linenumber > 2 THEN 1 ELSE 0 END").alias("cell")
+    )
+    counts = lines.groupBy("l_returnflag", "cell").agg(F.count(F.lit(1)).alias("observed"))
+    per_cell = counts.groupBy("cell").agg(F.sum("observed").alias("c"), F.map_from_entries(F.collect_list(F.struct("l_returnflag", "observed"))).alias("by_flag"))
+    # a return flag is one of a few letters; the cells are never put into one row
+    flags = counts.groupBy("l_returnflag").agg(F.sum("observed").alias("flag_n"))
+    known = flags.agg(F.collect_set("l_returnflag").alias("flags"), F.sum("flag_n").alias("all"))
+    cells = per_cell.join(F.broadcast(known)).select(
+        F.explode("flags").alias("l_returnflag"), "by_flag", (F.col("c") / F.col("all")).alias("share")
+    )
+    cells = cells.withColumn("observed", F.coalesce(F.expr("by_flag[l_returnflag]"), F.lit(0)))
+    got = hypothesis.chi_square_gof(cells, ["l_returnflag"], "observed", "share", min_expected=0.0)
+    return _p_cols(got).select("l_returnflag", "n", "k", F.round("chi2", 6).alias("chi2"), "p_value")
+
+
+_B = 10_000
 
 
 @query(
     "bootstrap_ci_median",
     f"""WITH vals AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY ALL),
-placed AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM vals),
-draws AS (SELECT g.event_type, b, CAST('0x' || substr(md5('42:' || CAST(b AS STRING) || ':' || CAST(k AS STRING)), 1, 8) AS BIGINT) % n AS i
-  FROM (SELECT DISTINCT event_type, n FROM placed) g, range({_B}) bb(b), LATERAL (SELECT unnest(range(n)) AS k)),
-meds AS (SELECT d.event_type, b, median(v) AS m FROM draws d JOIN placed p ON p.event_type = d.event_type AND p.i = d.i GROUP BY d.event_type, b),
+placed AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY v) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM vals),
+sizes AS (SELECT DISTINCT event_type, n, (n + 1) // 2 AS k FROM placed WHERE n >= 3),
+terms AS (SELECT event_type, n, k, j, x, lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(j / (n + 0E0)) + CASE WHEN x = n THEN 0 ELSE (n - x) * ln(1 - j / (n + 0E0)) END AS l
+  FROM sizes, LATERAL (SELECT unnest(range(1, n)) AS j), LATERAL (SELECT unnest(range(k, n + 1)) AS x)),
+tails AS (SELECT event_type, j, sum(exp(l)) AS tail FROM terms GROUP BY event_type, j UNION ALL SELECT event_type, n, 1E0 FROM sizes),
+steps AS (SELECT event_type, j, tail, coalesce(lag(tail) OVER (PARTITION BY event_type ORDER BY j), 0E0) AS below FROM tails),
+draws AS (SELECT event_type, n, k, b, (CAST('0x' || substr(md5('42:' || event_type || ':' || CAST(b AS STRING)), 1, 8) AS BIGINT) + 0.5E0) / 4294967296E0 AS u,
+  (CAST('0x' || substr(md5('42:' || event_type || ':' || CAST(b AS STRING)), 9, 8) AS BIGINT) + 0.5E0) / 4294967296E0 AS w FROM sizes, range({_B}) r(b)),
+firsts AS (SELECT d.*, j, tail - below AS mass FROM draws d JOIN steps s ON s.event_type = d.event_type AND s.below < u AND u <= s.tail),
+seconds AS (SELECT *, CASE WHEN n % 2 = 1 OR k = n THEN j ELSE
+  least(n, greatest(j, CAST(ceil(n * (1 - exp((ln(w) + ln(mass) - (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(j / (n + 0E0)) + ln(1 - pow((j - 1) / (j + 0E0), k)))) / (n - k)))) AS BIGINT))) END AS j2 FROM firsts),
+meds AS (SELECT s.event_type, b, (p.v + q.v) / 2 AS m FROM seconds s JOIN placed p ON p.event_type = s.event_type AND p.i = s.j JOIN placed q ON q.event_type = s.event_type AND q.i = s.j2),
 sorted AS (SELECT event_type, m, row_number() OVER (PARTITION BY event_type ORDER BY m) - 1 AS i FROM meds)
 SELECT s.event_type, (SELECT count(*) FROM vals WHERE event_type = s.event_type) AS n, (SELECT round(median(v), 6) FROM vals WHERE event_type = s.event_type) AS median,
   round(max(m) FILTER (WHERE i = {int(0.025 * _B)}), 6) AS ci_low, round(max(m) FILTER (WHERE i = {int(0.975 * _B)}), 6) AS ci_high FROM sorted s GROUP BY s.event_type""",
@@ -198,9 +241,9 @@ def bootstrap_ci_median(spark, sf_dir):
 
 @query("bootstrap_ci_median_large")
 def bootstrap_ci_median_large(spark, sf_dir):
-    """The order-statistic way on every event value; checked against draws in the tests."""
+    """Every event value: groups of thousands; held against plain resampling in the tests."""
     events = t.table(spark, sf_dir, "events").select("event_type", "value")
-    return hypothesis.bootstrap_ci_median(events, ["event_type"], "value", b=10_000, draw_limit=0)
+    return hypothesis.bootstrap_ci_median(events, ["event_type"], "value", b=_B)
 
 
 @query(

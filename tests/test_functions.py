@@ -26,6 +26,13 @@ def test_chi2_tail_known_points(spark):
     points = [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05), (18.307038053275146, 10, 0.05)]
     got = column(spark, [(x, k) for x, k, _ in points], pvalues.chi2_sf(F.col("x"), F.col("k")), "x double, k int")
     assert got == pytest.approx([p for *_, p in points], rel=1e-9)
+    many = [(2000.0, 2000), (1500.0, 1600), (3000.0, 3001), (190.0, 200), (20_200.0, 20_000), (19_000.0, 20_000), (2.0, 200)]
+    got = column(spark, many, pvalues.chi2_sf(F.col("x"), F.col("k")), "x double, k int")
+    for (x, k), p in zip(many, got):
+        # the lower series in logarithms, term by term
+        lower = math.fsum(math.exp((k / 2 + i) * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + i + 1)) for i in range(6000))
+        assert p == pytest.approx(1 - lower, abs=1e-9), (x, k)
+    assert 0 < column(spark, [(25_000.0, 20_000)], pvalues.chi2_sf(F.col("x"), F.col("k")), "x double, k int")[0] < 1e-100
     tiny = column(spark, [(300.0, 2)], pvalues.chi2_sf(F.col("x"), F.col("k")), "x double, k int")[0]
     assert tiny == pytest.approx(math.exp(-150.0), rel=1e-9)
 

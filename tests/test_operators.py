@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import PARAM_NAMES
-from cloudgauge.operators import blocks, cleaning, clouds, dispersion, hypothesis, ranks, render, retrieval, sampling, structure
+from cloudgauge.operators import blocks, cleaning, clouds, dispersion, hypothesis, ranks, render, retrieval, sampling, selection, structure
 from cloudgauge.plans import tables
 
 
@@ -171,17 +171,50 @@ def test_rank_tests_on_hand_cases(spark):
     assert m["cliffs_delta"] == pytest.approx(d)
 
 
-def test_bootstrap_ways_agree(spark):
-    """The direct draw of the middle order statistics has the distribution of resampling."""
+@pytest.mark.parametrize("n", [3, 4, 24, 301, 400])
+def test_bootstrap_has_the_distribution_of_resampling(spark, n):
     rng = np.random.default_rng(7)
-    for n in (301, 400):
-        values = np.sort(rng.exponential(size=n))
-        df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
-        direct = hypothesis.bootstrap_ci_median(df, ["g"], "v", b=20_000, draw_limit=0).first()
-        meds = np.sort(np.median(values[rng.integers(0, n, (20_000, n))], axis=1))
-        for got, at in ((direct["ci_low"], 500), (direct["ci_high"], 19_500)):
-            near = np.searchsorted(meds, [got])[0]
-            assert abs(near - at) < 500, (n, got, meds[at])
+    values = np.sort(rng.exponential(size=n))
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    got = hypothesis.bootstrap_ci_median(df, ["g"], "v", b=20_000).first()
+    meds = np.sort(np.median(values[rng.integers(0, n, (20_000, n))], axis=1))
+    for end, at in ((got["ci_low"], 500), (got["ci_high"], 19_500)):
+        low, high = np.searchsorted(meds, [end - 1e-12]), np.searchsorted(meds, [end + 1e-12], "right")
+        assert low[0] - 500 <= at <= high[0] + 500, (n, end, meds[at])
+
+
+def test_middle_places_follow_their_distribution():
+    u, w = (np.random.default_rng(i).random(200_000) for i in (1, 2))
+    n, picks = 10, np.sort(np.random.default_rng(3).integers(1, 11, (200_000, 10)), axis=1)
+    first, second = hypothesis.middle_places(n, u, w)
+    for mine, theirs in ((first, picks[:, 4]), (second, picks[:, 5]), (second - first, picks[:, 5] - picks[:, 4])):
+        assert np.abs(np.bincount(mine, minlength=11) - np.bincount(theirs, minlength=11)).max() < 1_500
+
+
+def test_baseline_takes_the_last_of_repeated_keys(spark):
+    answers = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double")
+    base = spark.createDataFrame([("a", 5.0, 0, 1), ("a", 6.0, 0, 2), ("a", 9.0, 1, 3), ("b", 7.0, 1, 4)], "k string, v double, sample_idx int, seq int")
+    got = selection.greedy_baseline_join(answers, base, ["k"], "v", "seq").collect()
+    assert sorted((r["k"], r["v"], r["base_value"]) for r in got) == [("a", 1.0, 6.0), ("a", 2.0, 6.0)]
+
+
+def test_examples_of_small_pools(spark):
+    """Labels of one, two, three and many pool rows: no row twice, never itself."""
+    pool = [(label, i, str(i)) for label, ids in (("one", [1]), ("two", [2, 3]), ("three", [4, 5, 6]), ("many", range(10, 40))) for i in ids]
+    df = spark.createDataFrame(pool, "label string, id int, payload string")
+    label_of = {str(i): label for label, i, _ in pool}
+    for r in sampling.raft_examples(df, df, "label", "id", "payload").collect():
+        own = [e for e in r["examples"] if label_of[e] == r["label"]]
+        assert len(set(r["examples"])) == len(r["examples"]) and str(r["id"]) not in own
+        assert len(own) == {"one": 0, "two": 1, "three": 2, "many": 3}[r["label"]] and len(r["examples"]) == len(own) + 2
+    alone = df.filter("label = 'one'")
+    assert [r["examples"] for r in sampling.raft_examples(alone, alone, "label", "id", "payload").collect()] == [[]]
+
+
+def test_nan_p_values_are_no_tests(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, float("nan")), (3, None), (4, 0.04)], "id int, p_value double")
+    got = {r["id"]: r["q_value"] for r in hypothesis.bh_fdr(df).collect()}
+    assert got == {1: pytest.approx(0.02), 2: None, 3: None, 4: pytest.approx(0.04)}
 
 
 def test_draws_do_not_depend_on_partitions(spark, sf_dir):
