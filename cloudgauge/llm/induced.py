@@ -18,7 +18,6 @@ import numpy as np
 SEPARATOR = 0xFF  # no byte of UTF-8
 DOUBLING_LIMIT = 1 << 23
 BATCH = 1 << 20
-STEP = 32  # bytes compared at once
 
 
 class Work:
@@ -52,85 +51,109 @@ def rising(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def name_substrings(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+class Words:
+    """The eight bytes from any place of a text as one number, the first byte highest."""
+
+    def __init__(self, text: np.ndarray, work: Work):
+        self.n = len(text)
+        padded = work.array(self.n + 8, np.uint8)
+        padded[: self.n] = text
+        padded[self.n :] = SEPARATOR
+        self.view = np.ndarray((self.n + 1,), ">u8", buffer=padded, strides=(1,))
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.view[np.minimum(places, self.n)].astype(np.uint64)
+
+
+def name_substrings(words: Words, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Ranks of text[start:stop]; of two where one begins the other, the longer is smaller
     (its next byte falls), so shorter ones are filled up with the largest byte."""
     names = np.zeros(len(starts), np.int64)
     rows = np.arange(len(starts))
     skip = 0
-    padded = np.concatenate([text, np.full(8, SEPARATOR, np.uint8)]) if not isinstance(text, np.memmap) else None
     while len(rows):
-        at = starts[rows, None] + skip + np.arange(8)
-        inside = at < stops[rows, None]
-        taken = padded[np.minimum(at, len(padded) - 1)] if padded is not None else text[np.minimum(at, len(text) - 1)]
-        word = np.where(inside, taken, SEPARATOR).astype(np.uint8).view(">u8").ravel().astype(np.uint64)
-        order = np.lexsort((word, names[rows]))
+        beyond = 8 * np.clip(8 - (stops[rows] - starts[rows] - skip), 0, 8).astype(np.uint64)
+        fill = np.where(beyond == 64, ~np.uint64(0), (np.uint64(1) << (beyond % 64)) - np.uint64(1))
+        word = words.at(starts[rows] + skip) | fill
+        order = np.lexsort((word, names[rows])) if skip else np.argsort(word)
         n_, w_ = names[rows][order], word[order]
-        new = np.concatenate([[False], (n_[1:] != n_[:-1]) | (w_[1:] != w_[:-1])])
         first = np.concatenate([[True], n_[1:] != n_[:-1]])
-        place = np.arange(len(rows))
+        change = first | np.concatenate([[True], w_[1:] != w_[:-1]])
         # a row's name: that of its group, plus the rows of the group that are smaller
-        group = np.maximum.accumulate(np.where(first, place, 0))
-        run = np.maximum.accumulate(np.where(new | first, place, 0))
-        names[rows[order]] = n_ + run - group
+        place = np.arange(len(rows))
+        names[rows[order]] = n_ + np.maximum.accumulate(np.where(change, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
         skip += 8
-        tied = np.zeros(len(rows), bool)
-        same = ~(new | first)
-        tied[order] = same | np.append(same[1:], False)
-        # whoever goes on is compared further, with all it is tied with
+        # whoever is tied and goes on is compared further, with all it is tied with
+        alone = change & np.append(change[1:], True)
+        tied = np.ones(len(rows), bool)
+        tied[order] = ~alone
         rows = rows[tied]
-        if len(rows):
-            longest = np.zeros(len(starts), bool)
-            longest[names[rows[stops[rows] > starts[rows] + skip]]] = True
-            rows = rows[longest[names[rows]]]
+        goes_on = np.zeros(len(starts), bool)
+        goes_on[names[rows[stops[rows] > starts[rows] + skip]]] = True
+        rows = rows[goes_on[names[rows]]]
     return names
 
 
-def order_by_doubling(symbols: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of a string of whole numbers; the end is smallest."""
+def order_by_doubling(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes of a string of whole numbers in order of their first `depth` symbols or
+    more, common prefix of each with the one before, at most `depth`); the end is smallest.
+
+    After each round the classes of equal beginnings of 1, 2, 4... symbols are kept, and
+    from the largest down they tell how far two neighbours agree.
+    """
     n = len(symbols)
     order = np.argsort(symbols, kind="stable")
     value = symbols[order]
     rank = np.zeros(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] != value[:-1]]), np.arange(n), 0))
-    counts = np.bincount(rank, minlength=n)
-    open_ = np.flatnonzero(counts[rank] > 1)
+    kind = np.int32 if n < 2**31 else np.int64
+    classes = [rank.astype(kind)]
+    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
     step = 1
-    while len(open_):
+    while len(open_) and step < depth:
         ahead = open_ + step
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        first = rank[open_]
-        by = np.lexsort((second, first))
-        f, s = first[by], second[by]
+        by = np.lexsort((second, rank[open_])) if n >= 2**31 else np.argsort(rank[open_] * (n + 1) + second)
+        f, s = rank[open_][by], second[by]
         place = np.arange(len(by))
         start = np.concatenate([[True], f[1:] != f[:-1]])
         change = start | np.concatenate([[True], s[1:] != s[:-1]])
-        group = np.maximum.accumulate(np.where(start, place, 0))
-        run = np.maximum.accumulate(np.where(change, place, 0))
-        rank[open_[by]] = f + run - group
-        alone = change & np.append(change[1:], True)
+        rank[open_[by]] = f + np.maximum.accumulate(np.where(change, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
         keep = np.ones(len(open_), bool)
-        keep[by] = ~alone
+        keep[by] = ~(change & np.append(change[1:], True))
         open_ = open_[keep]
         step *= 2
-    return rank
+        classes.append(rank.astype(kind))
+    order = np.argsort(rank, kind="stable")
+    shared = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(len(a), np.int64)
+    for level in range(len(classes) - 1, -1, -1):
+        same = (a < n) & (b < n)
+        same[same] = classes[level][a[same]] == classes[level][b[same]]
+        common += same << level
+        a += same << level
+        b += same << level
+    shared[1:] = common
+    return order, np.minimum(shared, depth)
 
 
-def prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+def prefix(text: np.ndarray, words: Words | None, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b, at most `cap`."""
-    n = len(text)
-    out = np.zeros(len(a), np.int32)
-    for low in range(0, len(a), BATCH // 4):
-        rows = np.arange(low, min(len(a), low + BATCH // 4))
-        done = 0
-        while len(rows) and done < cap:
-            x, y = a[rows, None] + done + np.arange(STEP), b[rows, None] + done + np.arange(STEP)
-            differs = (text[np.minimum(x, n - 1)] != text[np.minimum(y, n - 1)]) | (x >= n) | (y >= n)
-            hit = differs.any(axis=1)
-            out[rows] += np.where(hit, differs.argmax(axis=1), STEP).astype(np.int32)
-            rows = rows[~hit]
-            done += STEP
-    return np.minimum(out, cap)
+    n, rows, done = len(text), np.arange(len(a)), 0
+    out = np.zeros(len(a), np.int64)
+    while len(rows) and done < cap:
+        x, y = a[rows] + done, b[rows] + done
+        if words is None:
+            equal = ((x < n) & (y < n) & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)])).astype(np.int64)
+            size = 1
+        else:
+            apart, size = words.at(x) ^ words.at(y), 8
+            equal = sum((apart < np.uint64(1 << bits)).astype(np.int64) for bits in range(56, -1, -8))
+        out[rows] += equal
+        rows = rows[equal == size]
+        done += size
+    return np.minimum(np.minimum(out, n - np.maximum(a, b)), cap)
 
 
 def with_last(text: np.ndarray, star: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -203,25 +226,29 @@ class Pass:
 
 
 def suffix_order(text: np.ndarray, cap: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, common prefix of each with the one before, at most `cap`) of a
-    string of whole numbers from 0."""
+    """(suffixes in order of their first `cap` symbols, common prefix of each with the one
+    before, at most `cap`) of a string of whole numbers from 0."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    words = Words(text, work) if text.dtype == np.uint8 else None
     up = rising(text)
     star = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     # 1. order of the S* suffixes
     if len(star):
-        naming = name_substrings if text.dtype == np.uint8 else name_numbers
-        names = with_last(text, star, naming(text, star[:-1], star[1:] + 1))
+        names = with_last(text, star, name_substrings(words, star[:-1], star[1:] + 1) if words else name_numbers(text, star[:-1], star[1:] + 1))
         if len(star) <= DOUBLING_LIMIT:
-            rank = order_by_doubling(names)
-            sorted_ = star[np.argsort(rank, kind="stable")]
+            inner, agree = order_by_doubling(names, cap)
         else:
-            _, dense = np.unique(names, return_inverse=True)
-            inner, _ = suffix_order(dense, 1, work)
-            sorted_ = star[inner]
-        near = np.concatenate([[0], prefix(text, sorted_[:-1], sorted_[1:], cap)]).astype(np.int64)
+            inner, agree = suffix_order(np.unique(names, return_inverse=True)[1], cap, work)
+        inner = inner.astype(np.int64)
+        sorted_ = star[inner]
+        # so many substrings agree; the rest is compared where the next ones begin
+        near = np.zeros(len(star), np.int64)
+        agree = agree[1:].astype(np.int64)
+        ends = np.append(star, n)
+        reach = ends[np.minimum(inner[1:] + agree, len(star))] - sorted_[1:]
+        near[1:] = np.minimum(cap, reach + prefix(text, words, sorted_[:-1] + reach, sorted_[1:] + reach, cap))
     else:
         sorted_, near = star, np.zeros(0, np.int64)
     # 2. queues: for each symbol first the falling, then the rising suffixes
@@ -248,7 +275,7 @@ def suffix_order(text: np.ndarray, cap: int, work: Work) -> tuple[np.ndarray, np
         for low in range(s0, s1, BATCH):
             at, common = sorted_[low : min(s1, low + BATCH)], near[low : min(s1, low + BATCH)].copy()
             if low == s0:
-                common[0] = prefix(text, order[read - 1 : read].astype(np.int64), at[:1], cap)[0] if read > start[c] else 0
+                common[0] = prefix(text, words, order[read - 1 : read].astype(np.int64), at[:1], cap)[0] if read > start[c] else 0
             left.take(at, common)
     # 4. rising suffixes, largest first; `shared` of an entry is here with the one after it
     right = Pass(text, up, order, shared, end, cap, down=True)
@@ -261,7 +288,7 @@ def suffix_order(text: np.ndarray, cap: int, work: Work) -> tuple[np.ndarray, np
             read = stop
         if falling_n[c]:
             top = int(middle[c])
-            edge[c] = int(prefix(text, order[top - 1 : top].astype(np.int64), order[top : top + 1].astype(np.int64), cap)[0]) if end[c] > top else 0
+            edge[c] = int(prefix(text, words, order[top - 1 : top].astype(np.int64), order[top : top + 1].astype(np.int64), cap)[0]) if end[c] > top else 0
             for high in range(top, int(start[c]), -BATCH):
                 low = max(int(start[c]), high - BATCH)
                 common = shared[low + 1 : high + 1][::-1].astype(np.int64) if high < top else np.append(edge[c], shared[low + 1 : high][::-1].astype(np.int64))
