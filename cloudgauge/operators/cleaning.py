@@ -99,21 +99,27 @@ def cleaning_funnel(
     dedup_key: Sequence[Column] | None = None,
     order: Sequence[Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(survivors, counts). Counts list every rule, in order, zeros included."""
+    """(survivors, counts). Counts list every rule, in order, zeros included.
+
+    Counting folds the rows to (rule, key of a usable row): how many rows a rule took and
+    how many keys are left come from the same pass.
+    """
     spark = df.sparkSession
     marked = df.withColumn("__reason", failure_reason(rules))
     usable = marked.filter(F.col("__reason").isNull()).drop("__reason")
     names = [n for n, _ in rules]
-    per_reason = marked.groupBy(F.coalesce("__reason", F.lit("usable")).alias("rule")).agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
+    rule = F.coalesce("__reason", F.lit("usable")).alias("rule")
     clean = usable
     if dedup_key is not None:
         clean = drop_exact_duplicates(usable, dedup_key, order)
-        kept = clean.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("kept").alias("rule"), "n_rows")
-        per_reason = per_reason.unionByName(kept)
+        key = F.when(F.col("__reason").isNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(dedup_key)]))
+        folded = marked.groupBy(rule, key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        per_reason = folded.groupBy("rule").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+        kept = F.when(F.col("rule") == "usable", F.struct(F.lit("kept").alias("rule"), F.col("n_keys").alias("n_rows")))
+        per_reason = per_reason.select(F.inline(F.array_compact(F.array(F.struct("rule", "n_rows"), kept))))
         names += ["usable", "kept"]
     else:
+        per_reason = marked.groupBy(rule).agg(F.count(F.lit(1)).alias("n_rows"))
         names += ["usable"]
     steps = spark.createDataFrame(list(enumerate(names)), "step int, rule string")
     counts = steps.join(F.broadcast(per_reason), "rule", "left").select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cloudgauge.operators import blocks
 from cloudgauge.operators.ranks import running_counts
+from cloudgauge.session import settled
 
 # Half-width, in standard errors of a sample quantile, of the bracket around the median.
 _BRACKET_SE = 4.0
@@ -365,8 +366,10 @@ def human_relative_percentile(
     """100 * share of the label's reference values strictly below the prediction's.
 
     References and predictions are folded to one row per (label, value) first, so equal
-    predictions cost one row; labels without references are left out.
+    predictions cost one row; labels without references are left out. The predictions are
+    written once, as they are ranked and then matched again.
     """
+    pred = settled(pred)
     both = ref.select(*on, value, F.lit(True).alias("__ref")).unionByName(
         pred.select(*on, value, F.lit(False).alias("__ref"))
     )

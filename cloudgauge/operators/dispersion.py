@@ -12,6 +12,7 @@ from cloudgauge.operators import clouds
 from cloudgauge.operators.blocks import cloud_sizes
 from cloudgauge.operators.ranks import median_by
 from cloudgauge.operators.render import frequency_grid
+from cloudgauge.session import attach, settle
 
 # Upper frequency bounds of the signed-error regions.
 REGIONS_HZ = [("low", 20.0, 150.0), ("lowmid", 150.0, 600.0), ("mid", 600.0, 2000.0), ("highmid", 2000.0, 6000.0), ("high", 6000.0, 20000.1)]
@@ -64,11 +65,10 @@ def split_half_reference(halves: DataFrame, label: str, id_col: str, half: str =
 
 def dispersion_to_centroid(df: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
     """Mean distance of the rows to their group's mean curve."""
-    centre = clouds.mean_curve(df, by, vec)
+    centre, small = settle(clouds.mean_curve(df, by, vec).select(*by, "mean_vec"))
     d = clouds.lsd_distance(F.col(vec), F.col("mean_vec"))
     return (
-        df.select(*by, vec)
-        .join(centre.select(*by, "mean_vec"), by)
+        attach(df.select(*by, vec), centre, small, by)
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("dispersion"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cloudgauge.functions.params import FLAT_SETTINGS, GAINS, PARAM_NAMES, kind
 from cloudgauge.functions.text import clamp
 from cloudgauge.operators import blocks
+from cloudgauge.session import attach, settle
 
 
 def centroid(df: DataFrame, by: list[str], params: Sequence[str] = PARAM_NAMES) -> DataFrame:
@@ -24,21 +25,22 @@ def reject_outliers_nsd(
     """Drop rows with any |z| above the limit, per group and sample SD.
 
     Groups under `min_n` rows, and groups where nothing would be left, keep all rows. The
-    statistics are one row per group and are joined back, so no group is sorted.
+    statistics are one row per group, measured and joined back, so no group is sorted and
+    rows of a large group stay where they are.
     """
-    stats = df.groupBy(*by).agg(
+    stats, small = settle(df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.avg(c).alias(f"__m_{c}") for c in cols],
         *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols],
-    )
+    ))
     within = F.lit(True)
     for c in cols:
         dev = F.abs(F.col(c) - F.col(f"__m_{c}"))
         within = within & ((F.col(f"__s_{c}") == 0) | (dev / F.nullif(F.col(f"__s_{c}"), F.lit(0.0)) <= z))
-    marked = df.join(stats, by).withColumn("__in", (F.col("__n") < min_n) | F.coalesce(within, F.lit(False)))
-    left = marked.groupBy(*by).agg(F.bool_or("__in").alias("__any"))
+    marked = attach(df, stats, small, by).withColumn("__in", (F.col("__n") < min_n) | F.coalesce(within, F.lit(False)))
+    left, few = settle(marked.groupBy(*by).agg(F.bool_or("__in").alias("__any")))
     extra = [c for c in marked.columns if c.startswith("__")]
-    return marked.join(left, by).filter(F.col("__in") | ~F.col("__any")).drop(*extra, "__any")
+    return attach(marked, left, few, by).filter(F.col("__in") | ~F.col("__any")).drop(*extra, "__any")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloudgauge.functions.hashing import hash_index, hash_key, hash_slice
 from cloudgauge.operators.ranks import _slice_offsets, ordered_row_number
-from cloudgauge.session import attach, settle
+from cloudgauge.session import attach, settle, settled
 
 
 def hash_cut(
@@ -31,7 +31,8 @@ def hash_cut(
     table itself is flagged in place against one threshold per group. `size` also adds n.
     """
     key = hash_key(seed, id_col)
-    keyed = df.select(*by, F.col(id_col).alias("__id"), key.alias("__h"), hash_slice(key).alias("__slice"))
+    # three narrow columns, written once: the input is computed for them and for the flag
+    keyed = settled(df.select(*by, F.col(id_col).alias("__id"), key.alias("__h"), hash_slice(key).alias("__slice")))
     offsets = _slice_offsets(keyed, by, "__slice", {"n": F.count(F.lit(1))}).withColumn(
         "__k", take(F.col("__all_n"))
     )

@@ -153,8 +153,8 @@ def cosine_blend(spark, sf_dir):
 # profiles are colours, their words the part names that hold the colour, plus the colour
 _VOCAB_SQL = f"""{t.SETTINGS_SQL},
 labels_in AS (SELECT DISTINCT p_name AS descriptor FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT 'nothing known'),
-vocab AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS profile, p_name AS word FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) FROM part),
-profiles AS (SELECT DISTINCT split_part(descriptor, ' ', 1) AS profile FROM settings WHERE split_part(descriptor, ' ', 1) NOT IN ('small')),
+vocab AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS profile, p_name AS word FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) FROM part UNION SELECT 'unused', 'nothing known'),
+profiles AS (SELECT DISTINCT split_part(descriptor, ' ', 1) AS profile FROM settings),
 kw AS (SELECT descriptor, profile, (CASE WHEN EXISTS (SELECT 1 FROM vocab v WHERE v.profile = p.profile AND v.word = l.descriptor) THEN 1E0 ELSE 0E0 END)
   + (CASE WHEN p.profile = l.descriptor THEN 3E0 ELSE 0E0 END) AS weight FROM labels_in l, profiles p),
 kws AS (SELECT * FROM kw WHERE weight > 0)"""
@@ -172,7 +172,9 @@ def _keyword_inputs(spark, sf_dir):
     vocab = part.select(colour.alias("profile"), F.col("p_name").alias("word")).unionByName(
         part.select(colour.alias("profile"), colour.alias("word"))
     )
-    rows = t.settings(spark, sf_dir).withColumn("profile", F.split("descriptor", " ")[0]).filter("profile <> 'small'")
+    # a profile of the vocabulary without rows, which must not get weight
+    vocab = vocab.unionByName(spark.createDataFrame([("unused", "nothing known")], "profile string, word string"))
+    rows = t.settings(spark, sf_dir).withColumn("profile", F.split("descriptor", " ")[0])
     return labels, vocab, rows
 
 

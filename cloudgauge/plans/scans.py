@@ -131,31 +131,73 @@ def scan_tolerant_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_model.unionByName(corrupt)
 
 
-_LOCKED = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
-_DIGEST = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS STRING), '\\N')" for c in _LOCKED) + "))"
+# every column of orders, as text that both engines write the same way; in order of name
+_LOCKED = {
+    "o_custkey": "o_custkey",
+    "o_orderdate": "CAST(o_orderdate AS DATE)",
+    "o_orderkey": "o_orderkey",
+    "o_orderpriority": "o_orderpriority",
+    "o_orderstatus": "o_orderstatus",
+    "o_totalcents": "CAST(round(o_totalprice * 100) AS BIGINT)",
+}
+_DIGEST = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS STRING), '\\N')" for c in _LOCKED.values()) + "))"
 _FINGERPRINT = f"""count(*) AS n_rows,
   CAST(sum(CAST(('0x' || substr({_DIGEST}, 1, 8)) AS BIGINT)) AS STRING) AS digest_a,
   CAST(sum(CAST(('0x' || substr({_DIGEST}, 9, 8)) AS BIGINT)) AS STRING) AS digest_b"""
 
 
+def _locked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _LOCKED.items()])
+
+
 @query(
     "verify_fingerprint",
-    f"SELECT name, 'ok' AS verdict, n_rows, digest_a, digest_b FROM (SELECT 'orders' AS name, {_FINGERPRINT} FROM orders)",
+    f"""WITH here AS (SELECT {_FINGERPRINT} FROM orders)
+SELECT name, verdict, n_rows, digest_a, digest_b FROM here, (VALUES ('orders', 'ok'), ('orders-changed', 'mismatch'), ('orders-gone', 'missing')) v(name, verdict)""",
 )
 def verify_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order-free table digest, held against the digest of a reordered copy."""
-    orders = t.table(spark, sf_dir, "orders")
-    here = locks.table_fingerprint(orders, _LOCKED).select(F.lit("orders").alias("name"), "*")
-    moved = locks.table_fingerprint(orders.repartition(5, "o_custkey"), _LOCKED).select(F.lit("orders").alias("name"), "*")
-    verdict = locks.verify_fingerprint(moved, here, "name", "digest_a")
-    return verdict.join(here, "name")
+    """A manifest of three copies of orders: one is only in another order, one has a
+    single order's price off by a cent, one is not there."""
+    orders = _locked_orders(spark, sf_dir)
+    cols = list(_LOCKED)
+    first = orders.agg(F.min("o_orderkey").alias("first"))
+    off = F.when(F.col("o_orderkey") == F.col("first"), 1).otherwise(0)
+    changed = orders.join(F.broadcast(first)).withColumn("o_totalcents", F.col("o_totalcents") + off)
+    copies = {"orders": orders.repartition(5, "o_custkey"), "orders-changed": changed}
+    actual = [locks.table_fingerprint(df, cols).select(F.lit(name).alias("name"), "*") for name, df in copies.items()]
+    names = F.explode(F.array(*[F.lit(n) for n in (*copies, "orders-gone")])).alias("name")
+    manifest = locks.table_fingerprint(orders, cols).select(names, "*")
+    verdict = locks.verify_fingerprint(actual[0].unionByName(actual[1]), manifest, "name", "digest_a")
+    return verdict.join(manifest, "name")
+
+
+@query(
+    "file_gate",
+    """SELECT CASE batch % 3 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'missing' ELSE 'ok' END AS verdict, count(*) AS n_files
+FROM (SELECT DISTINCT c_custkey // 300 AS batch FROM customer) GROUP BY ALL""",
+)
+def file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 of files against a manifest: customers are written in files of 300 keys,
+    then once more without every third file and with a blank more in every other third."""
+    customers = t.table(spark, sf_dir, "customer")
+    path = scratch_path(spark, "gated-files")
+    lines = customers.select(
+        F.expr("c_custkey div 300").alias("batch"), F.to_json(F.struct(*sorted(customers.columns))).alias("value")
+    )
+    blank = F.when(F.col("batch") % 3 == 0, F.concat("value", F.lit(" "))).otherwise(F.col("value"))
+    later = lines.filter(F.col("batch") % 3 != 1).withColumn("value", blank)
+    for when, rows in (("then", lines), ("now", later)):
+        # a batch is in one task, so it becomes one file in the folder of its number
+        rows.repartition("batch").sortWithinPartitions("batch", "value").write.partitionBy("batch").text(f"{path}/{when}")
+    then, now = (locks.file_fingerprints(spark, f"{path}/{when}/*/part-*", folders=True) for when in ("then", "now"))
+    verdicts = locks.verify_fingerprint(now, then, "name", "sha256")
+    return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query("sink_locked_table", f"SELECT 'orders-lock' AS name, {_FINGERPRINT} FROM orders")
 def sink_locked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "locked")
-    orders = t.table(spark, sf_dir, "orders").select(*_LOCKED)
-    return locks.sink_locked_table(orders, f"{path}/data", f"{path}/manifest", "orders-lock")
+    return locks.sink_locked_table(_locked_orders(spark, sf_dir), f"{path}/data", f"{path}/manifest", "orders-lock")
 
 
 @query(

@@ -78,17 +78,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def settle(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Write a per-label side table once and count it: (table, small enough to broadcast).
+def settle(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Write a per-label side table once and measure it: (table, small enough to broadcast).
 
     The optimizer sizes an aggregate by its input, so it would plan a shuffle of the big
-    side for a table of a few rows. Beyond the limit the join stays a shuffle join.
+    side for a table of a few rows. Beyond `limit` rows or `most_bytes` bytes (of the rows
+    as JSON) the join stays a shuffle join. The table is computed here, while the query
+    that asks for it is still being put together.
     """
+    kept = settled(df)
+    size = kept.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return kept, size["n"] <= limit and (size["bytes"] or 0) <= most_bytes
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table computed and written now, for plans that would compute it again."""
     ensure_checkpoint_dir(df.sparkSession)
-    kept = df.checkpoint()
-    return kept, kept.limit(limit + 1).count() <= limit
+    return df.checkpoint()
 
 
 def attach(df: DataFrame, side: DataFrame, small: bool, on: list[str], how: str = "inner") -> DataFrame:

@@ -28,13 +28,14 @@ def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file. For files that fit one row; lock big data as tables."""
+def file_fingerprints(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """SHA-256 of each file by its name, or by its folder's. For files that fit one row;
+    lock big data as tables."""
     return (
         spark.read.format("binaryFile")
         .load(path)
         .select(
-            F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.element_at(F.split("path", "/"), -2 if folders else -1).alias("name"),
             F.upper(F.sha2("content", 256)).alias("sha256"),
         )
     )
