@@ -209,10 +209,15 @@ def context_pull(
 ) -> DataFrame:
     """Projection of (answer - base) on (target - base), 1 meaning full deference.
 
-    `base` is keyed by `on` and has `base_vec`, `target` by label and has `target_vec`;
-    answers without a base, or whose base equals the target, are left out.
+    `base` is keyed by `on` (model, prompt and label, say) and has `base_vec`; `target` has
+    `target_vec`, one or more rows per label, and whatever tells them apart: its columns
+    may be named in `keep`. Answers without a base, or whose base equals the target, are
+    left out. Both sides are per label and measured before they are joined, so the answers
+    of a large label stay where they are.
     """
-    joined = answers.join(base.select(*on, "base_vec"), on).join(target.select(label, "target_vec"), label)
+    bases, few = settle(base.select(*on, "base_vec"))
+    targets, small = settle(target)
+    joined = attach(attach(answers, bases, few, on), targets, small, [label])
     step = F.zip_with("target_vec", "base_vec", lambda t, b: t - b)
     move = F.zip_with(vec, "base_vec", lambda a, b: a - b)
 

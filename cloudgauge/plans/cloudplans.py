@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cloudgauge.operators import clouds, dispersion, sampling
@@ -216,23 +217,34 @@ def centroid_shift(spark, sf_dir):
 
 
 _PULL_SQL = (
-    "base AS (SELECT label, arm, vec AS base_vec FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM units WHERE arm = 'B') WHERE rn = 1)",
-    "target AS (SELECT label, list(m ORDER BY i) AS target_vec FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM gold) GROUP BY label, i) GROUP BY label)",
-    """pulls AS (SELECT vec_id, model, list_sum(list_transform(range(1, len(u.vec) + 1), lambda i: (u.vec[i] - base_vec[i]) * (target_vec[i] - base_vec[i])))
+    "base AS (SELECT model, prompt, label, vec AS base_vec FROM units WHERE arm = 'B' QUALIFY row_number() OVER (PARTITION BY model, prompt, label ORDER BY vec_id DESC) = 1)",
+    "shown AS (SELECT * FROM gold QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5)",
+    """items AS (SELECT 'centroid' AS target, label, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM gold
+  UNION ALL SELECT 'exemplars', label, unnest(range(len(vec))), unnest(vec) FROM shown)""",
+    "target AS (SELECT label, target, list(m ORDER BY i) AS target_vec FROM (SELECT label, target, i, avg(x) AS m FROM items GROUP BY ALL) GROUP BY label, target)",
+    """pulls AS (SELECT vec_id, model, prompt, target, list_sum(list_transform(range(1, len(u.vec) + 1), lambda i: (u.vec[i] - base_vec[i]) * (target_vec[i] - base_vec[i])))
     / list_sum(list_transform(range(1, len(u.vec) + 1), lambda i: (target_vec[i] - base_vec[i]) * (target_vec[i] - base_vec[i]))) AS pull
-  FROM units u JOIN base USING (label) JOIN target USING (label) WHERE u.arm = 'C')""",
+  FROM units u JOIN base USING (model, prompt, label) JOIN target USING (label) WHERE u.arm = 'C')""",
 )
 
 
 @query(
     "context_pull",
-    t.with_views(t.UNITS_SQL, *_PULL_SQL) + "SELECT model, count(*) AS n, round(median(pull), 6) AS median_pull FROM pulls GROUP BY model",
+    t.with_views(t.UNITS_SQL, *_PULL_SQL)
+    + "SELECT model, prompt, target, count(*) AS n, round(median(pull), 6) AS median_pull FROM pulls GROUP BY model, prompt, target",
 )
 def context_pull(spark, sf_dir):
-    units = t.answer_units(spark, sf_dir)
-    first = F.min_by("vec", "vec_id").alias("base_vec")
-    base = units.filter("arm = 'B'").groupBy("label").agg(first)
-    target = clouds.mean_curve(t.gold_cloud(spark, sf_dir), ["label"]).select("label", F.col("mean_vec").alias("target_vec"))
-    pulls = dispersion.context_pull(units.filter("arm = 'C'"), base, target, ["label"], "label", ["vec_id", "model"])
-    got = dispersion.context_pull_by_model(pulls, ["model"])
+    """Both targets of an answer: the centroid of its label, and the mean of the five
+    curves that it was shown."""
+    units, gold = t.answer_units(spark, sf_dir), t.gold_cloud(spark, sf_dir)
+    keys = ["model", "prompt", "label"]
+    base = units.filter("arm = 'B'").groupBy(*keys).agg(F.max_by("vec", "vec_id").alias("base_vec"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    shown = gold.withColumn("nth", nth).filter("nth <= 5").drop("nth")
+    target = None
+    for name, curves in (("centroid", gold), ("exemplars", shown)):
+        one = clouds.mean_curve(curves, ["label"]).select("label", F.lit(name).alias("target"), F.col("mean_vec").alias("target_vec"))
+        target = one if target is None else target.unionByName(one)
+    pulls = dispersion.context_pull(units.filter("arm = 'C'"), base, target, keys, "label", ["vec_id", "model", "prompt", "target"])
+    got = dispersion.context_pull_by_model(pulls, ["model", "prompt", "target"])
     return got.withColumn("median_pull", F.round("median_pull", 6))

@@ -26,14 +26,14 @@ def pca_curves_95(spark, sf_dir):
     return got.select("label", "n", F.size("ratio").alias("n_components"))
 
 
-def _scores(spark, sf_dir, k=4):
+def _scores(spark, sf_dir, k=10):
     df = t.curves(spark, sf_dir)
     model = structure.pca_curves(df, ["label"], k=k)
     return structure.project(df, model, ["label"])
 
 
 def _mixture(spark, sf_dir):
-    return structure.gmm_select_by_bic(_scores(spark, sf_dir), ["label"], "vec_id", ks=(1, 2, 3), starts=2, max_iter=12)
+    return structure.gmm_select_by_bic(_scores(spark, sf_dir), ["label"], "vec_id")
 
 
 @query("gmm_select_by_bic")
@@ -44,7 +44,7 @@ def gmm_select_by_bic(spark, sf_dir):
 @query("assign_modes")
 def assign_modes(spark, sf_dir):
     scores = _scores(spark, sf_dir)
-    comps = structure.gmm_select_by_bic(scores, ["label"], "vec_id", ks=(1, 2, 3), starts=2, max_iter=12)[1]
+    comps = structure.gmm_select_by_bic(scores, ["label"], "vec_id")[1]
     modes = structure.assign_modes(scores, comps, ["label"])
     return structure.mode_table(modes.withColumn("arm", F.col("vec_id") % 3), ["label"], ["arm"])
 
@@ -121,14 +121,14 @@ def embedding_regressor(spark, sf_dir):
     got = structure.embedding_regressor(
         df.filter("vec_id % 7 >= 3"), df.filter("vec_id % 7 < 3").select("vec_id", "label", "x"), "vec_id", "x", "y"
     )
-    return got.select("vec_id", "label", F.size("prediction").alias("n_targets"), "seed_spread")
+    return got.select("vec_id", "label", "prediction", F.size("prediction").alias("n_targets"), "seed_spread")
 
 
 @query("mode_gof")
 def mode_gof(spark, sf_dir):
     """Goodness of fit of every arm's mode counts against the shares of the whole cloud."""
     scores = _scores(spark, sf_dir)
-    comps = structure.gmm_select_by_bic(scores, ["label"], "vec_id", ks=(1, 2, 3), starts=2, max_iter=12)[1]
+    comps = structure.gmm_select_by_bic(scores, ["label"], "vec_id")[1]
     modes = structure.assign_modes(scores, comps, ["label"]).withColumn("arm", F.col("vec_id") % 3)
     shares = structure.mode_shares(modes, ["label"]).select("label", "mode", "share")
     cells = structure.mode_table(modes, ["label"], ["arm"]).join(shares, ["label", "mode"])
