@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import ANSWER_BOUNDS, PARAM_NAMES, kind
+from cloudgauge.session import settled
 
 FENCE = "```"
-MAX_LITERAL_PASSAGES = 256
 
 
 def answer_text(col: Column | str) -> Column:
@@ -190,32 +193,71 @@ def fill_template(
 # --- probes -------------------------------------------------------------------------------
 
 
+BITMAP_BITS = 24
+BITMAP_TASKS = 16
+
+
+def window_hashes(text: str, lengths: Sequence[int]) -> np.ndarray:
+    """64-bit hashes of all windows of the given lengths (in characters) of a text."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n, base = len(points), 0x9E3779B97F4A7C15
+    powers = np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
+    inverse = np.cumprod(np.concatenate([[1], np.full(max(n - 1, 0), pow(base, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * inverse[:n], dtype=np.uint64)])
+    out = []
+    for size in lengths:
+        if size <= n:
+            value = (sums[size:] - sums[:-size]) * powers[size - 1 : n]
+            value = (value ^ (value >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size)
+            out.append(value ^ (value >> np.uint64(32)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def probe_verbatim(responses: DataFrame, id_col: str, text: str, passages: DataFrame, passage: str, width: int = 60) -> DataFrame:
     """Does the response hold the first `width` characters of one of the passages?
 
-    A short passage list is tested in place. A longer one is matched by an equi-join on
-    the windows of `width` characters that start a response's own text positions.
+    Windows of a response are hashed where it lies and looked up in a bitmap of the
+    passages' hashes, two megabytes whatever their number; only windows that pass are
+    joined with the passages, and the text is compared in the end. Blank passages count
+    for nothing, shorter ones with their whole text.
     """
     heads = (
         passages.filter(F.trim(passage) != "").select(F.substring(passage, 1, width).alias("__head")).distinct()
     )
-    few = heads.limit(MAX_LITERAL_PASSAGES + 1).collect()
-    if len(few) <= MAX_LITERAL_PASSAGES:
-        hit = F.lit(False)
-        if few:
-            hit = F.exists(F.array(*[F.lit(r[0]) for r in few]), lambda h: F.contains(F.col(text), h))
-        return responses.withColumn("verbatim", _verdict(hit, text, "verbatim_recall"))
-    sized = heads.withColumn("__len", F.length("__head"))
-    # short passages keep their own length, so one set of windows per length
-    lengths = [r[0] for r in sized.select("__len").distinct().collect()]
-    at = F.col("__at")
-    windows = responses.select(id_col, text, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("__len")).filter(
-        F.length(text) >= F.col("__len")
-    )
-    windows = windows.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__len") + 1)))
+
+    @F.pandas_udf("long")
+    def own_hash(column: pd.Series) -> pd.Series:
+        return pd.Series([int(window_hashes(t, [len(t)]).view(np.int64)[0]) for t in column], dtype="int64")
+
+    heads = settled(heads.select("__head", F.length("__head").alias("__len"), own_hash("__head").alias("__hash")))
+    # no more lengths than `width`
+    lengths = sorted(r[0] for r in heads.select("__len").distinct().collect())
+
+    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            bits[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    packed = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    for row in heads.select("__hash").repartition(BITMAP_TASKS, "__hash").mapInArrow(bitmap, "bits binary").toLocalIterator():
+        packed |= np.frombuffer(row["bits"], np.uint8)
+    shared = responses.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("array<long>")
+    def passing(column: pd.Series) -> pd.Series:
+        bits, out = shared.value, []
+        for t in column:
+            value = window_hashes(t or "", lengths)
+            at = value >> np.uint64(64 - BITMAP_BITS)
+            held = (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+            out.append(np.unique(value[held.astype(bool)]).view(np.int64))
+        return pd.Series(out)
+
+    windows = responses.select(id_col, text, F.explode(passing(F.col(text))).alias("__hash"))
     found = (
-        windows.select(id_col, F.substring(F.col(text), at, F.col("__len")).alias("__head"))
-        .join(heads, "__head", "left_semi")
+        windows.join(heads, "__hash")
+        .filter(F.contains(F.col(text), F.col("__head")))
         .select(id_col)
         .distinct()
         .withColumn("__hit", F.lit(True))
