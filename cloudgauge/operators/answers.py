@@ -144,6 +144,16 @@ def grid_cross_join(base: DataFrame, dims: dict[str, Sequence], n_samples: int,
     )
 
 
+def grid_union(sets: Sequence[tuple[DataFrame, dict[str, Sequence], int]], greedy_temp: float, cloud_temp: float) -> DataFrame:
+    """All cells that are to be asked: several sets, each (base rows, dimensions, sampled
+    cells per greedy one), as one table. A cell of two sets is asked once."""
+    union = None
+    for base, dims, n_samples in sets:
+        cells = grid_cross_join(base, dims, n_samples, greedy_temp, cloud_temp)
+        union = cells if union is None else union.unionByName(cells)
+    return union.distinct()
+
+
 def resume_anti_join(cells: DataFrame, log: DataFrame, cell: str) -> DataFrame:
     """Cells without an ok row in the log."""
     return cells.join(log.filter(F.col("status") == "ok").select(cell).distinct(), cell, "left_anti")

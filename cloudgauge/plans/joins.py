@@ -47,18 +47,33 @@ def _values(xs) -> str:
     return ", ".join(f"('{x}')" for x in xs)
 
 
-GRID_SQL = f"""cells AS (SELECT DISTINCT p_name AS descriptor, model, arm, prompt, CAST(s AS INTEGER) AS sample_idx, CASE WHEN s = 0 THEN 0.0E0 ELSE 0.7E0 END AS temperature
-FROM part, (VALUES {_values(_MODELS)}) m(model), (VALUES {_values(_ARMS)}) a(arm), (VALUES {_values(_PROMPTS)}) p(prompt), range(11) r(s))"""
+_ANCHORS = ["m1", "m-anchor"]
 
 
 @query(
     "grid_cross_join",
-    t.with_views(GRID_SQL)
-    + "SELECT concat_ws('|', model, arm, prompt, descriptor, CAST(sample_idx AS STRING)) AS cell_id, temperature FROM cells",
+    f"""WITH labels AS (SELECT p_name AS descriptor, count(*) >= 30 AS evaluated FROM part GROUP BY p_name),
+sets AS (SELECT descriptor, model, arm, prompt, s FROM labels, (VALUES {_values(_MODELS)}) m(model), (VALUES {_values(_ARMS)}) a(arm), (VALUES {_values(_PROMPTS)}) p(prompt), range(11) r(s) WHERE evaluated
+UNION SELECT descriptor, model, arm, 'p1', 0 FROM labels, (VALUES {_values(_MODELS)}) m(model), (VALUES {_values(_ARMS)}) a(arm) WHERE NOT evaluated
+UNION SELECT descriptor, model, 'C_AGG', 'p1', s FROM labels, (VALUES {_values(_MODELS)}) m(model), range(11) r(s) WHERE evaluated
+UNION SELECT descriptor, model, 'B', prompt, s FROM labels, (VALUES {_values(_ANCHORS)}) m(model), (VALUES {_values(_PROMPTS)}) p(prompt), range(11) r(s) WHERE evaluated)
+SELECT concat_ws('|', model, arm, prompt, descriptor, CAST(s AS STRING)) AS cell_id, CASE WHEN s = 0 THEN 0.0E0 ELSE 0.7E0 END AS temperature FROM sets""",
 )
 def grid_cross_join(spark, sf_dir):
-    labels = t.table(spark, sf_dir, "part").select(F.col("p_name").alias("descriptor")).distinct()
-    cells = answers.grid_cross_join(labels, {"model": _MODELS, "arm": _ARMS, "prompt": _PROMPTS}, 10, 0.0, 0.7)
+    """Evaluated labels under every variant, tail labels once under the minimal prompt,
+    the centroid as context, and the anchor models, which partly are the others."""
+    labels = t.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("descriptor")).agg(F.count(F.lit(1)).alias("n"))
+    evaluated, tail = (labels.filter(c).select("descriptor") for c in ("n >= 30", "n < 30"))
+    cells = answers.grid_union(
+        [
+            (evaluated, {"model": _MODELS, "arm": _ARMS, "prompt": _PROMPTS}, 10),
+            (tail, {"model": _MODELS, "arm": _ARMS, "prompt": _PROMPTS[:1]}, 0),
+            (evaluated, {"model": _MODELS, "arm": ["C_AGG"], "prompt": _PROMPTS[:1]}, 10),
+            (evaluated, {"model": _ANCHORS, "arm": ["B"], "prompt": _PROMPTS}, 10),
+        ],
+        0.0,
+        0.7,
+    )
     return cells.select(build_cell_id("model", "arm", "prompt", "descriptor", "sample_idx").alias("cell_id"), "temperature")
 
 

@@ -60,6 +60,21 @@ def mode_shares(spark, sf_dir):
     return structure.mode_shares(assigned, ["label"]).withColumn("share", F.round("share", 6))
 
 
+@query(
+    "mode_levels",
+    t.with_views(t.CURVES_SQL, "long AS (SELECT label, vec_id % 3 AS mode, unnest(range(len(vec))) AS bin, unnest(vec) AS x FROM curves)")
+    + "SELECT label, mode, round(avg(x), 6) AS level, round(avg(x) FILTER (WHERE bin < 16), 6) AS low_level FROM long GROUP BY label, mode",
+)
+def mode_levels(spark, sf_dir):
+    """Mean level of each mode, over all bins and over the lowest sixteen."""
+    assigned = t.curves(spark, sf_dir).withColumn("mode", F.col("vec_id") % 3)
+    every = structure.mode_levels(assigned, ["label"], "mode", "vec")
+    low = structure.mode_levels(assigned, ["label"], "mode", "vec", F.col("bin") < 16).withColumnRenamed("level", "low_level")
+    return every.join(low, ["label", "mode"]).select(
+        "label", "mode", F.round("level", 6).alias("level"), F.round("low_level", 6).alias("low_level")
+    )
+
+
 def _features(spark, sf_dir):
     """First 56 dimensions as features, the last 8 as targets."""
     return t.curves(spark, sf_dir).select(
