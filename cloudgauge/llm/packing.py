@@ -9,6 +9,7 @@ each) are summed up and give every partition its place.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,14 +21,20 @@ from pyspark.sql import functions as F
 
 from cloudgauge.llm.common import CELL_ID, RESPONSE, chunks, key_type, text_or_empty, written
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
+
+
+# a stop or comma before a space that belongs to a run of marks, or may
+IN_A_RUN = re.compile(r"(?:[^\w ]|_)[.,] ")
 
 
 class ChunkTokenizer:
-    """Ids of texts by a tokenizer that never joins across white space.
+    """Ids of texts by a tokenizer that never joins across white space, nor letters or
+    digits with marks.
 
-    A text is cut at spaces and line feeds; the tokenizer sees each distinct chunk once,
-    as long as the bounded store of chunks holds it.
+    A text is cut at spaces and line feeds, and before a stop or comma that ends a word;
+    the tokenizer sees each distinct chunk once, as long as the bounded store of chunks
+    holds it.
     """
 
     def __init__(self, path: str):
@@ -38,12 +45,19 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if not IN_A_RUN.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, four little-endian bytes each."""
         for run in chunks(texts):
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
-            split = [text.replace("\n", " ").split(" ") for text in run]
+            split = [self.cut(text) for text in run]
             new = [c for c in set().union(*split) if c not in self.known]
             for chunk, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[chunk] = np.array(ids.ids, "<u4").tobytes()
@@ -82,6 +96,7 @@ def tokenize_in_place(
                     ],
                     names=["cell_id", "part", "part_start", "n_tokens", "ids"],
                 )
+        own.known.clear()  # the worker goes on to other jobs, which need the memory
 
     slim = receipts.select(F.col(cell_id).alias("cell_id"), text_or_empty(response_content).alias("text"))
     return slim.mapInArrow(run, f"cell_id {key_type(slim, 'cell_id')}, part int, part_start long, n_tokens long, ids binary")
