@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cloudgauge.llm.common import RESPONSE, chunks, strings, text_or_empty
+from cloudgauge.llm.common import RESPONSE, chunks, hand_back_memory, slices, strings, text_or_empty
 
 WORD_BITS = 256  # ranks under one word of the lower bitmap
 PAIR_SHIFT = 20
@@ -210,7 +210,10 @@ def encode_responses(
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(ranks_path, pattern)
         for column in batches:
-            yield id_lists(list(own.encode(strings(column))))
+            for part in slices(column):
+                yield id_lists(list(own.encode(strings(part))))
+        own.known.clear()  # the worker goes on to other jobs, which need the memory
+        hand_back_memory()
 
     return receipts.withColumn(token_ids, encoded(text_or_empty(response_content)))
 
@@ -227,14 +230,10 @@ def decode_responses(
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = rank_table(ranks_path).token
         for column in batches:
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
-            yield pa.array(
-                [
-                    b"".join([token[i] for i in flat.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()])
-                    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-                ],
-                pa.binary(),
-            )
+            for part in slices(column):
+                ends = np.cumsum([0, *part.value_lengths().fill_null(0).to_pylist()]).tolist()
+                flat = part.flatten().to_numpy(zero_copy_only=False)
+                texts = [b"".join([token[i] for i in flat[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.array(texts, pa.binary())
 
     return encoded.withColumn(decoded, bytes_of(F.col(token_ids)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -63,5 +64,19 @@ def chunks(values: list[str], most_chars: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
+def hand_back_memory() -> None:
+    """Return what a worker has freed to the system. Workers are kept for later tasks, and
+    the C library would keep it with them."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(column: pa.Array, rows: int = 1024) -> Iterator[pa.Array]:
+    """A batch in parts, so that what is made of it is handed on before the next part."""
+    for low in range(0, len(column), rows):
+        yield column.slice(low, rows)
+
+
 def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]

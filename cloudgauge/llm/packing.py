@@ -19,9 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudgauge.llm.common import CELL_ID, RESPONSE, chunks, key_type, text_or_empty, written
+from cloudgauge.llm.common import CELL_ID, RESPONSE, chunks, hand_back_memory, key_type, text_or_empty, written
 
 CACHE_ENTRIES = 600_000
+ENCODE_AT_ONCE = 2_000  # what the tokenizer returns for a chunk is large while it lives
 
 
 # a stop or comma before a space that belongs to a run of marks, or may
@@ -59,8 +60,10 @@ class ChunkTokenizer:
                 self.known.clear()
             split = [self.cut(text) for text in run]
             new = [c for c in set().union(*split) if c not in self.known]
-            for chunk, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(ids.ids, "<u4").tobytes()
+            for low in range(0, len(new), ENCODE_AT_ONCE):
+                part = new[low : low + ENCODE_AT_ONCE]
+                for chunk, ids in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.known[chunk] = np.array(ids.ids, "<u4").tobytes()
             for parts in split:
                 yield b"".join(map(self.known.__getitem__, parts))
 
@@ -97,6 +100,7 @@ def tokenize_in_place(
                     names=["cell_id", "part", "part_start", "n_tokens", "ids"],
                 )
         own.known.clear()  # the worker goes on to other jobs, which need the memory
+        hand_back_memory()
 
     slim = receipts.select(F.col(cell_id).alias("cell_id"), text_or_empty(response_content).alias("text"))
     return slim.mapInArrow(run, f"cell_id {key_type(slim, 'cell_id')}, part int, part_start long, n_tokens long, ids binary")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cloudgauge.llm.common import CELL_ID, RESPONSE, text_or_empty
+from cloudgauge.llm.common import CELL_ID, RESPONSE, hand_back_memory, text_or_empty
 from cloudgauge.llm.labelled import Adam, best_logit, held_rows, labelled_sample, sigmoid
 
 PASSAGE_WORDS = 64
@@ -209,5 +209,6 @@ def quality_scores(
             texts = column.to_pylist()
             parts = [model.scores(texts[low : low + 128]) for low in range(0, len(texts), 128)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        hand_back_memory()
 
     return receipts.withColumn(score, scored(text_or_empty(response_content)))

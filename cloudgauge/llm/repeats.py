@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cloudgauge.llm.common import CELL_ID, RESPONSE, discard, release_shuffles, text_or_empty, written
+from cloudgauge.llm.common import CELL_ID, RESPONSE, discard, hand_back_memory, release_shuffles, text_or_empty, written
 from cloudgauge.llm.induced import SEPARATOR, Work, suffix_order
 
 PLACE_BITS = 25
 PIECE = 1 << 24  # bytes of a text hashed at once
 SHARD_BYTES = 6 << 20
+MOST_SHARDS = 20_000  # beyond, shards grow and their arrays become files
 SHARD_MEMORY = 256 << 20  # larger arrays of a shard are files
 WHOLE = 2**31 - 1
 
@@ -194,6 +195,8 @@ def sort_shards(contexts: DataFrame, min_bytes: int, shards: int) -> DataFrame:
                     [pa.array([k[i] for k in keys[part]], pa.int64()) for i in (0, 1)] + [pa.array(found, kind)],
                     names=["anchor", "context", "spans"],
                 )
+        del text, columns, spans, keys, seen
+        hand_back_memory()
 
     schema = "anchor long, context long, spans array<struct<low:int,high:int>>"
     return contexts.repartition(shards, "anchor").mapInArrow(run, schema)
@@ -254,7 +257,7 @@ def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
         "context-kinds",
     )
     size = kinds.agg(F.coalesce(F.sum(F.col("high") - F.col("low") + 1), F.lit(0))).first()[0]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD_BYTES)))
     judged = written(sort_shards(take_contexts(texts, kinds), min_bytes, shards), "sorted-contexts")
     release_shuffles(spark)
     each = judged.select("anchor", "context", F.inline("spans").alias("from", "to"))
