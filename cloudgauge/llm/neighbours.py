@@ -1,9 +1,11 @@
 """Nearest curves by inner product: probed lists, scanned a few dimensions at a time.
 
 Curves are put in lists around centres fitted to a bounded sample, and turned by one
-random rotation. After a turn the rest of an inner product, given the lengths of what is
-left, is as good as a normal variable; so after each block of columns a hypothesis test
-tells which candidates of a list can still reach the best k, and only those go on.
+random rotation. A curve is a multiple of the query and a part across it, and a turn sends
+that part anywhere; so of a curve with a given score the columns seen hold the query's
+share of that score, give or take what is as good as a normal variable. After each block
+of columns this hypothesis is tested for the least score of the best k, and candidates
+that fall short of it do not go on.
 """
 
 from __future__ import annotations
@@ -51,6 +53,22 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def fall_short(least: float, length: np.ndarray, whole: float, q_left: float, dim: int, sigmas: float) -> np.ndarray:
+    """Inner products of the columns seen that curves of these lengths stay above (but for
+    `sigmas`) if they score `least` or more with a query of length `whole`, of which
+    `q_left` is in the columns not seen.
+
+    With cosine c the mean is c times the query's share seen, and the part across, of
+    length sin, adds a coordinate of a random direction in dim - 1 dimensions.
+    """
+    seen = max(0.0, whole**2 - q_left**2)
+    mean, spread = seen / whole, sigmas * np.sqrt(seen) * q_left / whole / np.sqrt(max(1, dim - 1))
+    # what scores more has a larger mean and less spread, from the cosine where both meet
+    lowest = -mean / max(np.hypot(mean, spread), 1e-300)
+    cosine = np.clip(least / np.maximum(whole * length, 1e-300), lowest, 1.0)
+    return length * (cosine * mean - np.sqrt(1 - cosine**2) * spread) - 1e-9 * (1 + whole * length)
+
+
 class Cell:
     """The curves of some lists, turned, with the lengths of what each column block leaves."""
 
@@ -61,13 +79,14 @@ class Cell:
         self.turn = turn
         self.cuts = list(range(block, turn.shape[0], block))
         self.rest = [np.linalg.norm(self.turned[:, c:], axis=1) for c in self.cuts]
+        self.length = np.linalg.norm(self.turned, axis=1)
         names, first = np.unique(lists, return_index=True)
         self.slices = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(lists)], strict=True), strict=True))
 
     def search(self, own: object, query: np.ndarray, probed: list[int], k: int, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of the best k (by score, then id) of the probed lists."""
         turned = query @ self.turn
-        dim = len(turned)
+        whole = np.linalg.norm(turned)
         ahead = [np.linalg.norm(turned[c:]) for c in self.cuts]
         best_rows, best, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
         for name in probed:
@@ -79,7 +98,8 @@ class Cell:
                 partial += self.turned[rows, start:cut] @ turned[start:cut]
                 start = cut
                 if least > -np.inf:
-                    can = partial + sigmas * q_left * left[rows] / np.sqrt(dim - cut) >= least
+                    can = partial >= fall_short(least, self.length[rows], whole, q_left, len(turned), sigmas)
+                    can &= partial + q_left * left[rows] >= least
                     rows, partial = rows[can], partial[can]
                 if not len(rows):
                     break

@@ -118,6 +118,31 @@ def test_recall_and_exact_scores(spark):
     assert len(found) == sum(i % 20 == 0 for i in ids) and hits >= 0.9 * 20 * len(found)
 
 
+def test_recall_of_vectors_in_clusters(spark):
+    """A cluster of cosine 0.75 fills the best k; tighter ones in later lists must still get in."""
+    rng = np.random.default_rng(4)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def around(centre, n, cosine):
+        across = rng.standard_normal((n, 64))
+        across = unit(across - (across @ centre)[:, None] * centre)
+        return cosine * centre + (1 - cosine**2) ** 0.5 * across
+
+    centres = unit(rng.standard_normal((20, 64)))
+    parts = [np.concatenate([around(c, 40, 0.75), around(c, 15, 0.9), around(c, 10, 0.98), c[None]]) for c in centres]
+    vectors = np.concatenate(parts)
+    ids = list(range(len(vectors)))
+    asks = [i for i in ids if i % 66 in (65, 60, 45)]
+    curves = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "id long, vec array<double>")
+    found = {}
+    for r in neighbours.nearest_curves(curves, F.col("id").isin(asks), probe_share=1.0).collect():
+        found.setdefault(r.query_id, set()).add(r.id)
+    hits = sum(len(found[own] & set(brute_nearest(ids, vectors, own, 20)[0])) for own in asks)
+    assert hits >= 0.995 * 20 * len(asks)
+
+
 @pytest.mark.parametrize(("cell_rows", "block"), [(8192, 16), (7, 16), (5, 3)])
 def test_small_and_odd_curves(spark, monkeypatch, cell_rows, block):
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
