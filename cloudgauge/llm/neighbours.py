@@ -80,22 +80,36 @@ class Cell:
         self.cuts = list(range(block, turn.shape[0], block))
         self.rest = [np.linalg.norm(self.turned[:, c:], axis=1) for c in self.cuts]
         self.length = np.linalg.norm(self.turned, axis=1)
+        self.begun = np.ascontiguousarray(self.turned[:, : self.cuts[0] if self.cuts else 0])
         names, first = np.unique(lists, return_index=True)
         self.slices = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(lists)], strict=True), strict=True))
 
+    def runs(self, probed: list[int], first: int = 256, most: int = 4096) -> Iterator[np.ndarray]:
+        """The rows of the lists, nearest lists first, a few lists at a time and then more."""
+        held, size = [], 0
+        for name in probed:
+            low, high = self.slices.get(name, (0, 0))
+            held.append(np.arange(low, high))
+            size += high - low
+            if size >= first:
+                yield np.concatenate(held)
+                held, size, first = [], 0, min(2 * first, most)
+        if size:
+            yield np.concatenate(held)
+
     def search(self, own: object, query: np.ndarray, probed: list[int], k: int, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of the best k (by score, then id) of the probed lists."""
         turned = query @ self.turn
         whole = np.linalg.norm(turned)
         ahead = [np.linalg.norm(turned[c:]) for c in self.cuts]
         best_rows, best, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
-        for name in probed:
-            low, high = self.slices.get(name, (0, 0))
-            rows = np.arange(low, high)
-            rows = rows[self.ids[low:high] != own]
-            partial, start = np.zeros(len(rows)), 0
+        begun = self.begun @ turned[: self.begun.shape[1]]
+        for rows in self.runs(probed):
+            rows = rows[self.ids[rows] != own]
+            partial, start = begun[rows], self.begun.shape[1]
             for cut, left, q_left in zip(self.cuts, self.rest, ahead, strict=True):
-                partial += self.turned[rows, start:cut] @ turned[start:cut]
+                if cut > start:
+                    partial += self.turned[rows, start:cut] @ turned[start:cut]
                 start = cut
                 if least > -np.inf:
                     can = partial >= fall_short(least, self.length[rows], whole, q_left, len(turned), sigmas)
@@ -130,12 +144,15 @@ def nearest_curves(
     vec: str = "vec",
 ) -> DataFrame:
     """The k curves with the largest inner product for every curve that `is_query` marks:
-    query_id, rank (from 1), id, score (double precision, on the vectors as given).
+    query_id, rank (from 1), id, score (double precision, on the vectors as given), and
+    query_key, a hash of the vector that asks.
 
     All curves are candidates but the query's own. Curves that are null, zero, or hold
     null or non-finite components take no part, nor do those of another length than most
     (the smaller one if two are as frequent). Rows with the same id and vector are one
-    curve; ids are numbers. A query looks into the nearest `probe_share` of the lists, and
+    curve, and a query if one of them is marked; ids are numbers. Of an id with several
+    vectors each asks for itself, and has ranks of its own: query_key tells them apart.
+    None of the id's vectors is an answer to it. A query looks into the nearest `probe_share` of the lists, and
     more until they hold over k curves, so it gets all there are if they are fewer. Equal
     scores go by id. Centres are fitted to at most `sample_rows` curves (by hash of the
     id); every curve is in a list. Lists of more than `cell_rows` curves are cut by hash.
@@ -145,13 +162,13 @@ def nearest_curves(
     good = typed.filter(taking_part(F.col("vec")) & F.col("id").isNotNull())
     common = good.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     kind = key_type(typed, "id")
-    schema = f"query_id {kind}, rank int, id {kind}, score double"
+    schema = f"query_id {kind}, rank int, id {kind}, score double, query_key long"
     if common is None:
         return spark.createDataFrame([], schema)
     dim = common["dim"]
-    rows = written(good.filter(F.size("vec") == dim).dropDuplicates(["id", "vec"]), "curves")
+    rows = written(good.filter(F.size("vec") == dim).groupBy("id", "vec").agg(F.max("is_query").alias("is_query")), "curves")
     n = rows.count()
-    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()])
+    sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id", "vec").limit(sample_rows).collect()])
     lists = int(min(most_lists, len(sample), max(1, round(n**0.5))))
     centres, turn = fit_centres(sample, lists, seed), rotation(dim, seed)
 
@@ -190,7 +207,7 @@ def nearest_curves(
             out.append([{"cell": c, "lists": ls} for c, ls in by_cell.items()])
         return pa.array(out, pa.list_(pa.struct([("cell", pa.int64()), ("lists", pa.list_(pa.int32()))])))
 
-    queries = listed.filter("is_query").select("id", "vec").dropDuplicates(["id"])
+    queries = listed.filter("is_query").select("id", "vec")
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     numbers = F.array(*[F.lit(int(b)) for b in blocks]), F.array(*[F.lit(int(c)) for c in cell_of])
     placed = listed.select(
@@ -200,10 +217,11 @@ def nearest_curves(
         "id",
         "vec",
         F.array("list").alias("lists"),
+        F.lit(0).cast("long").alias("query_key"),
     )
     asking = queries.select(
         F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int").alias("part"), "id", "vec", F.explode(probes("vec")).alias("p")
-    ).select("p.cell", "part", F.lit(True).alias("asks"), "id", "vec", "p.lists")
+    ).select("p.cell", "part", F.lit(True).alias("asks"), "id", "vec", "p.lists", F.xxhash64("vec").alias("query_key"))
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(cells * parts, 4096))
     dealt = placed.unionByName(asking).repartition(count, "cell", "part").sortWithinPartitions("cell", "part", "asks")
 
@@ -226,13 +244,13 @@ def nearest_curves(
                 if cell is None:
                     cell, held = Cell(*[np.concatenate(x) for x in zip(*held, strict=True)], turn, column_block), []
                 found = []
-                for own, vector, probed in zip(ids, vectors, part.column(5).to_pylist(), strict=True):
+                for own, vector, probed, key in zip(ids, vectors, part.column(5).to_pylist(), np.asarray(part.column(6)), strict=True):
                     at, score = cell.search(own, vector, probed, k, sigmas)
-                    found.append((np.repeat(own, len(at)), cell.ids[at], score))
+                    found.append((np.repeat(own, len(at)), np.repeat(key, len(at)), cell.ids[at], score))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "id", "score"]
+                    [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "query_key", "id", "score"]
                 )
 
-    best = dealt.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = dealt.mapInArrow(run, f"query_id {kind}, query_key long, id {kind}, score double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score", "query_key")

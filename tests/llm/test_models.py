@@ -143,6 +143,20 @@ def test_recall_of_vectors_in_clusters(spark):
     assert hits >= 0.995 * 20 * len(asks)
 
 
+def test_each_vector_of_an_id_asks(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((60, 8))
+    ids = [7, 7, 7, *range(100, 157)]
+    rows = [(i, v.tolist(), i == 7) for i, v in zip(ids, vectors, strict=True)]
+    rows.append((7, rows[0][1], False))  # marked in one of two equal rows
+    curves = spark.createDataFrame(rows, "id long, vec array<double>, asks boolean")
+    got = {}
+    for r in neighbours.nearest_curves(curves, F.col("asks"), k=5, probe_share=1.0).collect():
+        got.setdefault(r.query_key, {})[r.rank] = r.id
+    want = sorted([ids[3 + i] for i in np.argsort(-(vectors[3:] @ v))[:5]] for v in vectors[:3])
+    assert sorted([mine[rank] for rank in range(1, 6)] for mine in got.values()) == want
+
+
 @pytest.mark.parametrize(("cell_rows", "block"), [(8192, 16), (7, 16), (5, 3)])
 def test_small_and_odd_curves(spark, monkeypatch, cell_rows, block):
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
