@@ -273,6 +273,38 @@ def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
     return out
 
 
+def short_passages(texts: DataFrame, words: int, below: int) -> DataFrame:
+    """(text_id, spans) of the passages of `words` words in fewer than `below` bytes that
+    occur twice or more, from the first letter of the first word to the last of the last.
+    Equal bytes are told by 128 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_id, raw in zip(batch.column(0), batch.column(1), strict=True):
+                raw = raw.as_py()
+                code = np.frombuffer(raw, np.uint8)
+                blank = np.concatenate([[True], (code == 32) | ((code >= 9) & (code <= 13)), [True]])
+                edges = np.flatnonzero(blank[1:] != blank[:-1])
+                start, end = edges[0::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
+                fits = end - start < below
+                start, end = start[fits], end[fits]
+                for low in range(0, len(start), 1 << 16):
+                    a, b = start[low : low + (1 << 16)], end[low : low + (1 << 16)]
+                    hashes = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([text_id.as_py()] * len(a), pa.binary()), pa.array(hashes, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
+                        names=["text_id", "passage", "start", "end"],
+                    )
+
+    rows = written(texts.select("text_id", "text").mapInArrow(run, "text_id binary, passage binary, start int, end int"), "short-passages")
+    twice = rows.groupBy("passage").count().filter("count > 1").select("passage")
+    met = rows.join(twice, "passage").select("text_id", "start", "end").distinct()
+    out = written(met.groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "short-passage-spans")
+    discard(rows)
+    release_shuffles(texts.sparkSession)
+    return out
+
+
 CLEARED = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
 
 
@@ -305,6 +337,7 @@ def remove_repeats(
     receipts: DataFrame,
     min_bytes: int = 400,
     keep: list[str] | None = None,
+    min_words: int | None = None,
     cell_id: str = CELL_ID,
     response_content: str = RESPONSE,
 ) -> DataFrame:
@@ -315,7 +348,8 @@ def remove_repeats(
     Texts are their UTF-8 bytes; strings never cross answers, and all are judged on the
     input, so both places of a repeat lose it. n_spans counts maximal removed runs. Null
     answers are empty and stay so, as do answers shorter than `min_bytes`. Copies of a
-    text, repeated rows included, lose all of it. `keep` lists columns to return besides
+    text, repeated rows included, lose all of it. With `min_words`, strings of so many words
+    (cut at ASCII blanks) go as well where they have fewer bytes. `keep` lists columns to return besides
     (default: cell_id); those called like a result are replaced.
     """
     own = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -326,8 +360,14 @@ def remove_repeats(
     )
     long_enough = rows.filter(F.length("text") >= min_bytes).select("text_id", "text")
     spans = repeated_spans(long_enough, min_bytes)
+    least = min_bytes
+    if min_words is not None:
+        least = min(min_bytes, 2 * min_words - 1)  # a letter a word, and a blank between two
+        short = short_passages(rows.filter(F.length("text") >= least).select("text_id", "text"), min_words, min_bytes)
+        both = spans.union(short).select("text_id", F.explode("spans").alias("s"))
+        spans = both.groupBy("text_id").agg(F.collect_list("s").alias("spans"))
     joined = rows.join(spans, "text_id", "left")
-    result = joined.withColumn("_result", arrow_udf(without_spans, CLEARED)("text", "spans", F.lit(min_bytes)))
+    result = joined.withColumn("_result", arrow_udf(without_spans, CLEARED)("text", "spans", F.lit(least)))
     return result.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], "_result.*")
 
 
