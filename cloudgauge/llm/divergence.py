@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudgauge.llm.common import text_or_empty
+from cloudgauge.session import settle
 
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\u000b\f\r"
@@ -108,21 +109,19 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def language_references(
-    rows: DataFrame, common_words: int = 16, max_word_chars: int = 5, min_share: float = 1 / 256
+    rows: DataFrame, common_words: int = 16, max_word_chars: int = 5
 ) -> DataFrame:
-    """(language, ref_classes, ref_words, ref_word_counts) over all rows with columns
-    language, text, words, n_words.
+    """(language, ref_classes, ref_words, ref_word_counts, mass, n_rows) of every language
+    over all rows with columns language, text, words, n_words.
 
     Common words are the most frequent of at most `max_word_chars` characters, ties by
-    the word. Languages with less than `min_share` of all words get no reference, so there
-    are at most 1 / min_share of them.
+    the word.
     """
     sums = with_classes(rows.select("language", "text", "n_words"), "text").groupBy("language").agg(
         F.sum("n_words").alias("mass"),
+        F.count("*").alias("n_rows"),
         F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
     )
-    all_mass = sums.agg(F.sum("mass").alias("all_mass"))
-    large = sums.crossJoin(F.broadcast(all_mass)).filter(F.col("mass") >= F.col("all_mass") * min_share)
     short = F.filter("words", lambda w: F.length(w) <= max_word_chars)
     counts = rows.select("language", F.explode(short).alias("word")).groupBy("language", "word").count()
     top = Window.partitionBy("language").orderBy(F.desc("count"), "word")
@@ -130,11 +129,25 @@ def language_references(
     words = best.groupBy("language").agg(
         F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("w")
     )
-    return large.join(words, "language", "left").select(
-        "language", "ref_classes", F.col("w.word").alias("ref_words"), F.col("w.count").alias("ref_word_counts"), "mass"
+    return sums.join(words, "language", "left").select(
+        "language", "ref_classes", F.col("w.word").alias("ref_words"), F.col("w.count").alias("ref_word_counts"), "mass", "n_rows"
     )
 
 
+def with_references(rows: DataFrame, references: DataFrame, large_share: float = 1 / 256) -> DataFrame:
+    """The rows with the columns of their language's reference. So many references that
+    they cannot be broadcast are joined by a shuffle, but for those of languages with
+    `large_share` of the rows, of which there are few."""
+    side, small = settle(references)
+    if small:
+        return rows.join(F.broadcast(side), "language")
+    all_rows = side.agg(F.sum("n_rows").alias("all_rows"))
+    side = side.crossJoin(F.broadcast(all_rows)).withColumn("large", F.col("n_rows") >= F.col("all_rows") * large_share).drop("all_rows")
+    large, rest = side.filter("large").drop("large"), side.filter("NOT large").drop("large")
+    others = rows.join(F.broadcast(large.select("language")), "language", "left_anti")
+    return rows.join(F.broadcast(large), "language").unionByName(others.join(rest.hint("merge"), "language"))
+
+
 def word_counts(words: Column, common: Column) -> Column:
     """How often each common word occurs: they are removed one by one, and what is left
     is noted each time."""
@@ -169,8 +182,8 @@ def divergence_rules(
     windows cover more than half of them. Of the rest, an answer is dropped whose
     character classes are further than `max_class_distance` from its language's, or whose
     common words are further than `max_word_distance`; the latter only if the language has
-    so many common words in as many words that `min_common` are expected, and neither for
-    a language without reference. `language` names the vocabulary profile of an answer;
+    so many common words in as many words that `min_common` are expected. Every language is
+    its own reference, however small; an answer that is most of it is close to it. `language` names the vocabulary profile of an answer;
     null is a language of its own. Null answers are empty and fail. Repeated rows count
     and are judged each; other columns are not read.
     """
@@ -181,11 +194,8 @@ def divergence_rules(
     )
     rows = rows.withColumn("words", words_of(F.col("text")))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    references = language_references(rows)
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(WHITE_CHARS)) != "")
-    measured = with_classes(rows, "text")
-    # at most 1 / min_share references of a few dozen numbers and words
-    judged = measured.join(F.broadcast(references), "language", "left")
+    judged = with_classes(with_references(rows, language_references(rows)), "text")
     symbol = list(CLASSES).index("symbol")
     white = list(CLASSES).index("white")
     judged = judged.select(
