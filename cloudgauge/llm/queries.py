@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, credentials, divergence, neighbours, packing, privacy, quality, repeats, simhash, toxicity
+from cloudgauge.llm import bpe, credentials, divergence, negatives, neighbours, packing, privacy, quality, repeats, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,3 +175,38 @@ def op5_ratio_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; every seventh has a wrong label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    curves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), label.alias("descriptor"), F.col("embedding").alias("vec")
+    )
+    return negatives.hard_negatives(curves, F.col("id") % 50 == 0)
+
+
+ORACLES["op11_multi_index"] = """
+with r as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+    select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_dot_product(a.v, b.v)::bigint as score
+    from r a join r b on a.vec_id <> b.vec_id
+    where a.vec_id % 50 = 0
+), p as (
+    select anchor_id, vec_id as positive_id, score as positive_score
+    from s where own = label
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id,
+       (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id))::int as rank,
+       s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and s.own <> s.label
+where 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
