@@ -12,7 +12,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, credentials, divergence, negatives, neighbours, packing, privacy, quality, repeats, simhash, toxicity
+from cloudgauge.llm import archives, bpe, credentials, divergence, negatives, neighbours, packing, privacy, quality, repeats, simhash, toxicity
+from cloudgauge.llm.common import key_type
+from cloudgauge.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,3 +212,38 @@ from p join s on p.anchor_id = s.anchor_id and s.own <> s.label
 where 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
 qualify rank <= 3
 """
+
+
+@query
+def op12_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, and what is read back from the archives."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = scratch_path(spark, "archives")
+    archives.write_archives(pages, folder, cell_id="page_id", response_content="html", target="url")
+    back = archives.resolve_revisits(archives.read_archives(spark, folder))
+    kind = key_type(pages, "page_id")
+    return back.select(
+        F.col("cell_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+ORACLES["op12_segment_reassembly"] = """
+with p as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest from pages
+), b as (
+    select page_id, strlen(html)::bigint as payload_bytes, html,
+           list_aggregate(list_transform(range(32), lambda i:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                      1 + (((('0x' || substr(digest, (1 + 5 * (i // 4))::int, 5))::bigint) >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+           max(page_id) over (partition by html) as stored
+    from p
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = stored then 'response' else 'revisit' end as record_type,
+       case when page_id <> stored then stored end as refers_to
+from b
+"""
