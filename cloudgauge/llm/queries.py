@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import archives, bpe, credentials, divergence, negatives, neighbours, packing, privacy, quality, repeats, simhash, toxicity
+from cloudgauge.llm import archives, bpe, credentials, dialogues, divergence, negatives, neighbours, packing, privacy, quality, repeats, simhash, toxicity
 from cloudgauge.llm.common import key_type
 from cloudgauge.session import scratch_path
 
@@ -247,3 +247,16 @@ select page_id, payload_bytes, payload_digest,
        case when page_id <> stored then stored end as refers_to
 from b
 """
+
+
+@query
+def op13_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    names = {"cell_id": "conv_id", "response_content": "text"}
+    audits, repaired = dialogues.repair_turns(dialogues.damage_turns(turns, **names), **names)
+    found = audits.join(dialogues.dialogue_digests(repaired).withColumnRenamed("cell_id", "digest_id"), F.col("cell_id").eqNullSafe(F.col("digest_id")), "left")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("cell_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
