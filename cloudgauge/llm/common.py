@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,9 +65,34 @@ def chunks(values: list[str], most_chars: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
+class Store:
+    """What a worker has computed for strings, kept from task to task within bounds.
+
+    When it holds more than `most` entries, and at the end of tasks, the `rest` that
+    most runs have asked for stay; what was asked for long ago counts less each time.
+    """
+
+    def __init__(self, most: int = 400_000, rest: int = 150_000):
+        self.entries: dict[str, bytes] = {}
+        self.most, self.rest = most, rest
+        self.times: Counter[str] = Counter()
+
+    def asked_for(self, keys: set[str]) -> None:
+        self.times.update(keys)
+        if len(self.entries) > self.most:
+            self.shrink()
+
+    def shrink(self) -> None:
+        if len(self.entries) > self.rest:
+            kept = self.times.most_common(self.rest)
+            self.entries = {k: self.entries[k] for k, _ in kept}
+            self.times = Counter({k: n // 2 for k, n in kept})
+
+
 def hand_back_memory() -> None:
     """Return what a worker has freed to the system. Workers are kept for later tasks, and
-    the C library would keep it with them."""
+    Arrow's pool and the C library would keep it with them."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

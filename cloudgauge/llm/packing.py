@@ -19,14 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudgauge.llm.common import CELL_ID, RESPONSE, chunks, hand_back_memory, key_type, text_or_empty, written
+from cloudgauge.llm.common import CELL_ID, RESPONSE, Store, chunks, hand_back_memory, key_type, text_or_empty, written
 
-CACHE_ENTRIES = 600_000
 ENCODE_AT_ONCE = 2_000  # what the tokenizer returns for a chunk is large while it lives
-
-
-# a stop or comma before a space that belongs to a run of marks, or may
-IN_A_RUN = re.compile(r"(?:[^\w ]|_)[.,] ")
+STOP = re.compile(r"[.,](?<=[A-Za-z0-9][.,]) ")
 
 
 class ChunkTokenizer:
@@ -35,7 +31,9 @@ class ChunkTokenizer:
 
     A text is cut at spaces and line feeds, and before a stop or comma that ends a word;
     the tokenizer sees each distinct chunk once, as long as the bounded store of chunks
-    holds it.
+    holds it. A word ends so only after an ASCII letter or digit: other characters may
+    become a letter and a mark when the tokenizer composes and lowers them, and marks stay
+    together. Strings of special tokens get what the tokenizer gives them.
     """
 
     def __init__(self, path: str):
@@ -43,29 +41,42 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        # a token that is found in the text as it is, wherever it stands
+        sure = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.single_word)]
+        self.cutter_id, self.cutter = sure[-1] if sure else (None, None)
+        self.known = Store()
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        if not IN_A_RUN.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
+        return STOP.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        """Many chunks in one text, each followed by a special token, which cuts it off."""
+        special = [c for c in new if self.cutter is None or any(name in c for name in self.special)]
+        for chunk in special:
+            self.known.entries[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = [c for c in new if c not in self.known.entries] if special else new
+        for low in range(0, len(plain), ENCODE_AT_ONCE):
+            part = plain[low : low + ENCODE_AT_ONCE]
+            [encoded] = self.tokenizer.encode_batch_fast([self.cutter.join([*part, ""])], add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.cutter_id)).tolist()
+            raw, start = ids.tobytes(), 0
+            for chunk, end in zip(part, ends, strict=True):
+                self.known.entries[chunk] = raw[start:end]
+                start = end + 4
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, four little-endian bytes each."""
         for run in chunks(texts):
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
             split = [self.cut(text) for text in run]
-            new = [c for c in set().union(*split) if c not in self.known]
-            for low in range(0, len(new), ENCODE_AT_ONCE):
-                part = new[low : low + ENCODE_AT_ONCE]
-                for chunk, ids in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(ids.ids, "<u4").tobytes()
+            asked = set().union(*split)
+            self.learn([c for c in asked if c not in self.known.entries])
             for parts in split:
-                yield b"".join(map(self.known.__getitem__, parts))
+                yield b"".join(map(self.known.entries.__getitem__, parts))
+            self.known.asked_for(asked)
 
 
 @lru_cache(maxsize=4)
@@ -99,7 +110,7 @@ def tokenize_in_place(
                     ],
                     names=["cell_id", "part", "part_start", "n_tokens", "ids"],
                 )
-        own.known.clear()  # the worker goes on to other jobs, which need the memory
+        own.known.shrink()
         hand_back_memory()
 
     slim = receipts.select(F.col(cell_id).alias("cell_id"), text_or_empty(response_content).alias("text"))

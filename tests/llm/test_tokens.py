@@ -2,6 +2,7 @@
 
 import base64
 import random
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cloudgauge.llm import bpe, packing
+from cloudgauge.llm import bpe, common, packing
 from tests.llm import edge
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,7 +60,6 @@ def test_encode_and_decode_edges(spark, reference):
 
 def tokens(text):
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
     return [*own.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -102,3 +102,33 @@ def test_chunked_tokens_equal_whole_texts():
     own = packing.ChunkTokenizer(WORDS)
     texts = ["It's... done, isn't it?!  He said: \"yes.\"", "a.b, c., d,. e_. f. \n g.́ h", "x,\ty\r\nz w. ", "3.14, 2.71. '.' , .", "É. ÀÉ, <|endoftext|>. ok", "end.", ". ", ", , . ."]
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [tokens(t)[:-1] for t in texts]
+
+
+def test_every_letter_before_a_stop_or_comma():
+    """Letters that become a letter and a mark keep the stop that follows them."""
+    own, whole = packing.ChunkTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    points = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs", "Co", "Lo")]
+    points += [chr(i) for i in range(0x1_0000) if unicodedata.category(chr(i)) == "Lo" and (i % 17 == 0 or unicodedata.decomposition(chr(i)))]
+    for low in range(0, len(points), 4000):
+        texts = [f"a{c}. x {c}, y {c}.z e\u0301{c}. {c}" for c in points[low : low + 4000]]
+        want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)]
+        assert got == want, [t for t, a, b in zip(texts, got, want, strict=True) if a != b][:5]
+
+
+def test_special_strings_are_special_tokens():
+    texts = ["<|endoftext|>", "a<|endoftext|>. b", "x <|startoftext|>, <|ENDOFTEXT|>. y", "<|endoftext|><|endoftext|> z", "<|endoftext|"]
+    own = packing.ChunkTokenizer(WORDS)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [tokens(t)[:-1] for t in texts]
+    assert tokens(texts[0]) == [49407, 1]
+
+
+def test_store_stays_within_its_bounds():
+    store = common.Store(most=100, rest=40)
+    for run in range(30):
+        asked = {f"often{i}" for i in range(20)} | {f"{run}-{i}" for i in range(30)}
+        store.entries.update((k, b"") for k in asked)
+        store.asked_for(asked)
+        assert len(store.entries) <= 100
+    store.shrink()
+    assert len(store.entries) == 40 and all(f"often{i}" in store.entries for i in range(20))
