@@ -3,7 +3,8 @@ from those of its language.
 
 Everything is a column expression. The references are sums over all answers: shares of
 character classes, and shares of the most common short words, per language. An answer is
-held against the reference of its language by Jensen-Shannon distance (base 2, 0 to 1).
+held against those of the other answers of its language by Jensen-Shannon distance (base 2,
+0 to 1).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudgauge.llm.common import text_or_empty
+from cloudgauge.llm.common import text_or_empty, written
 from cloudgauge.session import settle
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -108,36 +109,23 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(term, F.lit(0.0), lambda acc, x: acc + x)))
 
 
-def language_references(
-    rows: DataFrame, common_words: int = 16, max_word_chars: int = 5
-) -> DataFrame:
-    """(language, ref_classes, ref_words, ref_word_counts, mass, n_rows) of every language
-    over all rows with columns language, text, words, n_words.
-
-    Common words are the most frequent of at most `max_word_chars` characters, ties by
-    the word.
-    """
-    sums = with_classes(rows.select("language", "text", "n_words"), "text").groupBy("language").agg(
-        F.sum("n_words").alias("mass"),
-        F.count("*").alias("n_rows"),
-        F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
-    )
+def common_short_words(rows: DataFrame, common_words: int = 16, max_word_chars: int = 5) -> DataFrame:
+    """(language, n_rows, ref_words) of every language over all rows with columns language
+    and words: its most frequent words of at most `max_word_chars` characters, ties by the word."""
     short = F.filter("words", lambda w: F.length(w) <= max_word_chars)
     counts = rows.select("language", F.explode(short).alias("word")).groupBy("language", "word").count()
     top = Window.partitionBy("language").orderBy(F.desc("count"), "word")
     best = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= common_words)
-    words = best.groupBy("language").agg(
-        F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("w")
-    )
-    return sums.join(words, "language", "left").select(
-        "language", "ref_classes", F.col("w.word").alias("ref_words"), F.col("w.count").alias("ref_word_counts"), "mass", "n_rows"
-    )
+    words = best.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
+    every = rows.groupBy("language").agg(F.count("*").alias("n_rows"))
+    none = F.array().cast("array<string>")
+    return every.join(words, "language", "left").select("language", "n_rows", F.coalesce("w.word", none).alias("ref_words"))
 
 
 def with_references(rows: DataFrame, references: DataFrame, large_share: float = 1 / 256) -> DataFrame:
-    """The rows with the columns of their language's reference. So many references that
-    they cannot be broadcast are joined by a shuffle, but for those of languages with
-    `large_share` of the rows, of which there are few."""
+    """The rows with the columns of their language's reference, which has n_rows. So many
+    references that they cannot be broadcast are joined by a shuffle, but for those of
+    languages with `large_share` of the rows, of which there are few."""
     side, small = settle(references)
     if small:
         return rows.join(F.broadcast(side), "language")
@@ -148,6 +136,14 @@ def with_references(rows: DataFrame, references: DataFrame, large_share: float =
     return rows.join(F.broadcast(large), "language").unionByName(others.join(rest.hint("merge"), "language"))
 
 
+def summed(counts: str, n: int) -> Column:
+    return F.array(*[F.coalesce(F.sum(F.get(F.col(counts), F.lit(i))), F.lit(0)) for i in range(n)])
+
+
+def without(sums: Column, own: Column) -> Column:
+    return F.zip_with(sums, own, lambda a, b: a - F.coalesce(b, F.lit(0)))
+
+
 def word_counts(words: Column, common: Column) -> Column:
     """How often each common word occurs: they are removed one by one, and what is left
     is noted each time."""
@@ -172,6 +168,8 @@ def divergence_rules(
     max_word_distance: float = 0.5,
     min_words: int = 50,
     min_common: int = 20,
+    prior_chars: int = 10_000,
+    common_words: int = 16,
     cell_id: str = "cell_id",
     response_content: str = "response_content",
 ) -> DataFrame:
@@ -180,35 +178,55 @@ def divergence_rules(
 
     An answer fails the base rules with under `min_words` words, or if repeated 3-word
     windows cover more than half of them. Of the rest, an answer is dropped whose
-    character classes are further than `max_class_distance` from its language's, or whose
+    character classes are further than `max_class_distance` from its reference, or whose
     common words are further than `max_word_distance`; the latter only if the language has
-    so many common words in as many words that `min_common` are expected. Every language is
-    its own reference, however small; an answer that is most of it is close to it. `language` names the vocabulary profile of an answer;
-    null is a language of its own. Null answers are empty and fail. Repeated rows count
-    and are judged each; other columns are not read.
+    so many common words in as many words that `min_common` are expected.
+
+    The reference of an answer is what the other answers of its language have, with
+    `prior_chars` characters more that are spread as in the other answers of all languages. So an
+    answer that is alone in its language is held against the others; a distance is null
+    if there is no other answer with a character. `language` names the vocabulary profile of
+    an answer; null is a language of its own. Null answers are empty and fail. Repeated
+    rows count and are judged each; other columns are not read.
     """
     rows = receipts.select(
         F.col(cell_id).alias("cell_id"),
         F.coalesce(F.col(language).cast("string"), F.lit("")).alias("language"),
         text_or_empty(response_content).alias("text"),
-    )
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    ).withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.btrim(line, F.lit(WHITE_CHARS)) != "")
-    judged = with_classes(with_references(rows, language_references(rows)), "text")
-    symbol = list(CLASSES).index("symbol")
-    white = list(CLASSES).index("white")
-    judged = judged.select(
+    symbol, white, n_classes = list(CLASSES).index("symbol"), list(CLASSES).index("white"), len(CLASSES) + 1
+    counted = with_classes(with_references(rows, common_short_words(rows, common_words)), "text").select(
         "cell_id",
-        "n_words",
+        "language",
+        F.size("words").cast("long").alias("n_words"),
         (F.length("text") - F.col("classes")[white]).cast("long").alias("word_chars"),
         F.col("classes")[symbol].alias("n_symbols"),
         bound_once(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_windows(F.col("words"), F.size("words")).alias("n_repeat_words"),
-        jensen_shannon(shares(F.col("classes")), shares(F.col("ref_classes"))).alias("class_distance"),
-        jensen_shannon(shares(word_counts(F.col("words"), F.col("ref_words"))), shares(F.col("ref_word_counts"))).alias("words_apart"),
-        (total(F.col("ref_word_counts")) * F.col("n_words") / F.col("mass")).alias("expected"),
+        "classes",
+        word_counts(F.col("words"), F.col("ref_words")).alias("common"),
+    )
+    # what is counted of a text is counted once
+    narrow = written(counted, "divergence-counts")
+    sums = narrow.groupBy("language").agg(
+        F.sum("n_words").alias("mass"),
+        F.count("*").alias("n_rows"),
+        summed("classes", n_classes).alias("ref_classes"),
+        F.slice(summed("common", common_words), 1, F.max(F.size("common"))).alias("ref_common"),
     )
+    every = narrow.agg(summed("classes", n_classes).alias("all_classes"))
+    met = with_references(narrow, sums).crossJoin(F.broadcast(every))
+    own_language, others = without(F.col("ref_classes"), F.col("classes")), without(F.col("all_classes"), F.col("classes"))
+    met = met.select("*", own_language.alias("_own"), others.alias("_others"), total(others).alias("_n_others"), without(F.col("ref_common"), F.col("common")).alias("_common"))
+    reference = F.zip_with("_own", "_others", lambda a, b: a + prior_chars * b / F.col("_n_others"))
+    mass = F.nullif(F.col("mass") - F.col("n_words"), F.lit(0))
+    judged = met.select(
+        *narrow.columns,
+        F.when(F.col("_n_others") > 0, jensen_shannon(shares(F.col("classes")), shares(reference))).alias("class_distance"),
+        jensen_shannon(shares(F.col("common")), shares(F.col("_common"))).alias("words_apart"),
+        (total(F.col("_common")) * F.col("n_words") / mass).alias("expected"),
+    ).drop("classes", "common", "language")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = judged.withColumn("base_failed", failed).withColumn(
         "word_distance", F.when(F.col("expected") >= min_common, F.col("words_apart"))
