@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cloudgauge.llm.common import RESPONSE, chunks, hand_back_memory, slices, strings, text_or_empty
+from cloudgauge.llm.common import RESPONSE, Store, chunks, hand_back_memory, slices, strings, text_or_empty
 
 WORD_BITS = 256  # ranks under one word of the lower bitmap
 PAIR_SHIFT = 20
-CACHE_ENTRIES = 250_000
 MERGE_BYTES = 1 << 18  # bytes of new pre-tokens that share one queue
 
 
@@ -148,22 +147,23 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.table = rank_table(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Store(most=300_000, rest=120_000)
 
     def learn(self, pieces: list[str]) -> None:
+        known = self.known.entries
         batch: list[tuple[str, bytes]] = []
         size = 0
 
         def flush() -> None:
             for (piece, _), ids in zip(batch, merge_pieces(self.table, [raw for _, raw in batch]), strict=True):
-                self.known[piece] = np.array(ids, "<i4").tobytes()
+                known[piece] = np.array(ids, "<i4").tobytes()
             batch.clear()
 
         for piece in pieces:
             raw = piece.encode()
             whole = self.table.rank_of.get(raw)
             if whole is not None:
-                self.known[piece] = whole.to_bytes(4, "little")
+                known[piece] = whole.to_bytes(4, "little")
                 continue
             batch.append((piece, raw))
             size += len(raw)
@@ -175,12 +175,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, four little-endian bytes each."""
         for run in chunks(texts):
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
             split = [self.split(text) for text in run]
-            self.learn([p for p in set().union(*split) if p not in self.known])
+            asked = set().union(*split)
+            self.learn([p for p in asked if p not in self.known.entries])
             for pieces in split:
-                yield b"".join(map(self.known.__getitem__, pieces))
+                yield b"".join(map(self.known.entries.__getitem__, pieces))
+            self.known.asked_for(asked)
 
 
 @lru_cache(maxsize=4)
@@ -212,7 +212,7 @@ def encode_responses(
         for column in batches:
             for part in slices(column):
                 yield id_lists(list(own.encode(strings(part))))
-        own.known.clear()  # the worker goes on to other jobs, which need the memory
+        own.known.shrink()
         hand_back_memory()
 
     return receipts.withColumn(token_ids, encoded(text_or_empty(response_content)))
