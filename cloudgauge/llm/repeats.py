@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from cloudgauge.llm.common import CELL_ID, RESPONSE, discard, hand_back_memory, release_shuffles, text_or_empty, written
+from cloudgauge.llm.common import CELL_ID, RESPONSE, discard, hand_back_memory, release_shuffles, slices, text_or_empty, written
 from cloudgauge.llm.induced import SEPARATOR, Work, suffix_order
 
 PLACE_BITS = 25
@@ -99,6 +99,7 @@ def anchor_rows(texts: DataFrame, min_bytes: int) -> DataFrame:
                     ids, columns, size = [], [], 0
             if size:
                 yield record(ids, columns)
+        hand_back_memory()
 
     def record(ids: list, columns: list) -> pa.RecordBatch:
         repeated = pa.array([i for i, _ in ids], pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), [n for _, n in ids])))
@@ -225,6 +226,7 @@ def take_contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     ],
                     names=["anchor", "context", "text_id", "low", "many", "bytes"],
                 )
+        hand_back_memory()
 
     listed = wanted.groupBy("text_id").agg(F.collect_list(F.struct("anchor", "context", "low", "high", "many")).alias("parts"))
     schema = "anchor long, context long, text_id binary, low int, many boolean, bytes binary"
@@ -295,6 +297,7 @@ def short_passages(texts: DataFrame, words: int, below: int) -> DataFrame:
                         [pa.array([text_id.as_py()] * len(a), pa.binary()), pa.array(hashes, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
                         names=["text_id", "passage", "start", "end"],
                     )
+        hand_back_memory()
 
     rows = written(texts.select("text_id", "text").mapInArrow(run, "text_id binary, passage binary, start int, end int"), "short-passages")
     twice = rows.groupBy("passage").count().filter("count > 1").select("passage")
@@ -308,6 +311,14 @@ def short_passages(texts: DataFrame, words: int, below: int) -> DataFrame:
 CLEARED = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
 
 
+def cleared(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """`without_spans` of each batch, a few rows at a time."""
+    for texts, *rest in batches:
+        for low in range(0, len(texts), 512):
+            yield without_spans(texts.slice(low, 512), *[column.slice(low, 512) for column in rest])
+    hand_back_memory()
+
+
 def without_spans(texts: pa.Array, spans: pa.Array, least: pa.Array) -> pa.Array:
     rows = []
     for raw, own, min_bytes in zip(texts, spans, least, strict=True):
@@ -367,14 +378,16 @@ def remove_repeats(
         both = spans.union(short).select("text_id", F.explode("spans").alias("s"))
         spans = both.groupBy("text_id").agg(F.collect_list("s").alias("spans"))
     joined = rows.join(spans, "text_id", "left")
-    result = joined.withColumn("_result", arrow_udf(without_spans, CLEARED)("text", "spans", F.lit(least)))
+    result = joined.withColumn("_result", arrow_udf(cleared, CLEARED)("text", "spans", F.lit(least)))
     return result.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], "_result.*")
 
 
 def whole_letters(kept: Column) -> Column:
     """The text of bytes; letters that a cut has left incomplete are dropped."""
 
-    def text_of(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in (part for column in batches for part in slices(column)):
+            yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in part.to_pylist()], pa.string())
+        hand_back_memory()
 
     return arrow_udf(text_of, "string")(kept)

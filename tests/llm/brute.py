@@ -104,6 +104,28 @@ def groups(prints: dict[int, int], max_bits: int) -> dict[int, int]:
     return {d: ids[find(i)] for i, d in enumerate(ids)}
 
 
+def without_passages(texts: dict, min_bytes: int, words: int) -> dict:
+    """What is left of each text (None: all of it) without strings of `min_bytes` bytes and
+    passages of `words` words in fewer bytes that occur twice, by looking each up."""
+    raw = {k: (t or "").encode() for k, t in texts.items()}
+
+    def windows(b):
+        yield from ((i, i + min_bytes) for i in range(len(b) - min_bytes + 1))
+        found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
+        bounds = [(found[i][0], found[i + words - 1][1]) for i in range(len(found) - words + 1)]
+        yield from ((i, j) for i, j in bounds if j - i < min_bytes)
+
+    seen = Counter(b[i:j] for b in raw.values() for i, j in windows(b))
+    out = {}
+    for k, b in raw.items():
+        gone = bytearray(len(b))
+        for i, j in windows(b):
+            if seen[b[i:j]] > 1:
+                gone[i:j] = b"\x01" * (j - i)
+        out[k] = bytes(x for x, g in zip(b, gone, strict=True) if not g) if any(gone) else None
+    return out
+
+
 def without_repeats(texts: dict, min_bytes: int) -> dict:
     """(n_bytes, n_removed, n_spans, kept) of each text, by looking every window up."""
     raw = {k: (t or "").encode() for k, t in texts.items()}
