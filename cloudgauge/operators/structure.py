@@ -1,4 +1,4 @@
-"""Structure of clouds: principal components, Gaussian mixtures, conditional variance.
+"""Structure of clouds: principal components, shares of modes, conditional variance.
 
 Data passes are Spark jobs that return sums (see `moments`); numpy only solves the
 resulting d-by-d problems, inside tasks, one group at a time.
@@ -14,12 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudgauge.functions.hashing import hash_index, hash_key
 from cloudgauge.operators import moments
 from cloudgauge.operators.sampling import hash_permutation
-from cloudgauge.session import ensure_checkpoint_dir
 
 # --- principal components ----------------------------------------------------------------
 
@@ -66,263 +64,7 @@ def pca_curves(
     return sums.groupBy(*names).applyInArrow(solve, schema)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _project(vec: pd.Series, mean: pd.Series, components: pd.Series) -> pd.Series:
-    out = []
-    for v, m, c in zip(vec, mean, components):
-        out.append(np.asarray(c).reshape(-1, len(m)) @ (np.asarray(v) - np.asarray(m)))
-    return pd.Series(out)
-
-
-def project(df: DataFrame, model: DataFrame, by: list[str], vec: str = "vec", out: str = "scores") -> DataFrame:
-    """Scores of rows under their group's components."""
-    m = model.select(*by, F.col("mean").alias("__mean"), F.col("components").alias("__comp"))
-    return df.join(m, by).withColumn(out, _project(vec, "__mean", "__comp")).drop("__mean", "__comp")
-
-
-# --- Gaussian mixtures ----------------------------------------------------------------------
-
-_RIDGE = 1e-6
-
-
-def _log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    d = x.shape[1]
-    chol = np.linalg.cholesky(cov)
-    z = np.linalg.solve(chol, (x - mean).T)
-    return -0.5 * (d * math.log(2 * math.pi) + (z * z).sum(axis=0)) - np.log(np.diag(chol)).sum()
-
-
-def _log_joint(x: np.ndarray, model: dict) -> np.ndarray:
-    cols = [np.log(max(w, 1e-300)) + _log_normal(x, m, c) for w, m, c in zip(model["w"], model["m"], model["c"])]
-    return np.stack(cols, axis=1)
-
-
-def _log_sum(a: np.ndarray) -> np.ndarray:
-    top = a.max(axis=1, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=1, keepdims=True)))[:, 0]
-
-
-def _start_models(mean, cov, seeds: dict[int, np.ndarray], ks: Sequence[int], starts: int) -> list[dict]:
-    """Untrained models for every k and start; `seeds` holds each start's first means."""
-    out = []
-    for k in ks:
-        for s in range(starts if k > 1 else 1):
-            m = np.asarray([mean] if k == 1 else seeds[s][:k])
-            c = np.array([cov + _RIDGE * np.eye(len(mean))] * len(m))
-            out.append({"k": k, "w": np.full(len(m), 1.0 / len(m)), "m": m, "c": c, "ll": -np.inf, "done": False})
-    return out
-
-
-def _expect(x: np.ndarray, models: list[dict]) -> np.ndarray:
-    """One E step of all unfinished models as a flat vector of sums over the rows."""
-    out = [[0.0]]
-    for model in models:
-        if model["done"]:
-            continue
-        joint = _log_joint(x, model)
-        total = _log_sum(joint)
-        r = np.exp(joint - total[:, None])
-        out.append([total.sum()])
-        for j in range(joint.shape[1]):
-            wx = x * r[:, j : j + 1]
-            out += [[r[:, j].sum()], wx.sum(axis=0), (wx.T @ x).ravel()]
-    return np.concatenate([np.ravel(o) for o in out])
-
-
-def _maximise(flat: np.ndarray, models: list[dict], n: float, tol: float) -> list[dict]:
-    """The M step that goes with `_expect`."""
-    out, at = [], 1
-    for model in models:
-        if model["done"]:
-            out.append(model)
-            continue
-        comps, d = model["m"].shape
-        ll, at = flat[at] / n, at + 1
-        w, m, c = [], [], []
-        for _ in range(comps):
-            nj = max(flat[at], 1e-12)
-            mu = flat[at + 1 : at + 1 + d] / nj
-            cov = flat[at + 1 + d : at + 1 + d + d * d].reshape(d, d) / nj - np.outer(mu, mu)
-            at += 1 + d + d * d
-            w.append(nj / n)
-            m.append(mu)
-            c.append((cov + cov.T) / 2 + _RIDGE * np.eye(d))
-        new = {**model, "ll": ll, "done": abs(ll - model["ll"]) < tol}
-        if not new["done"]:
-            new.update(w=np.array(w), m=np.array(m), c=np.array(c))
-        out.append(new)
-    return out
-
-
-def _report(key: tuple, models: list[dict], n: float) -> list[tuple]:
-    """One row per k (its best start), the winner carrying its components."""
-    per_k: dict[int, tuple[float, dict]] = {}
-    for m in models:
-        d, k = m["m"].shape[1], len(m["w"])
-        p = k - 1 + k * d + k * d * (d + 1) / 2
-        bic = -2.0 * m["ll"] * n + p * math.log(n)
-        if m["k"] not in per_k or bic < per_k[m["k"]][0]:
-            per_k[m["k"]] = (bic, m)
-    best = min(per_k, key=lambda k: per_k[k][0])
-    rows = []
-    for k, (bic, m) in per_k.items():
-        order = sorted(range(len(m["w"])), key=lambda j: -m["w"][j]) if k == best else []
-        shares = [float(m["w"][j]) for j in order]
-        means = [m["m"][j].tolist() for j in order]
-        covs = [m["c"][j].ravel().tolist() for j in order]
-        rows.append((*key, k, int(round(n)), float(m["ll"] * n), float(bic), k == best, shares, means, covs))
-    return rows
-
-
-def gmm_select_by_bic(
-    scores: DataFrame,
-    by: list[str],
-    id_col: str,
-    vec: str = "scores",
-    ks: Sequence[int] = (1, 2, 3, 4),
-    starts: int = 3,
-    max_iter: int = 100,
-    tol: float = 1e-3,
-    seed: int = 42,
-    local_rows: int = 20_000,
-    groups_per_batch: int = 200,
-) -> tuple[DataFrame, DataFrame]:
-    """Full-covariance mixtures for every group, number of components and start.
-
-    Groups up to `local_rows` rows are fitted inside one task each, all groups in one job.
-    Larger groups, of which there can be only rows/local_rows, are fitted together: an EM
-    step of all their models is one pass that returns sums, and only their parameters
-    reach the driver, in batches of groups. Returns (BIC table, best components), the
-    components numbered by falling share.
-    """
-    spark = scores.sparkSession
-    names = list(by)
-    ddl = moments.key_ddl(scores, names)
-    schema = (
-        f"{ddl}, k int, n long, log_likelihood double, bic double, best boolean, shares array<double>, "
-        "means array<array<double>>, covs array<array<double>>"
-    )
-    sizes = scores.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    large = [tuple(r)[:-1] for r in sizes.filter(F.col("__n") > local_rows).collect()]
-    data = scores.select(*names, F.col(id_col).alias("__id"), vec)
-    small = data
-    if large:
-        keys = spark.createDataFrame(large, data.select(*names).schema)
-        small = data.join(keys, names, "left_anti")
-    fitted = _fit_local(small, names, vec, ks, starts, max_iter, tol, seed, schema)
-    rows = []
-    for at in range(0, len(large), groups_per_batch):
-        batch = spark.createDataFrame(large[at : at + groups_per_batch], data.select(*names).schema)
-        part = data.join(F.broadcast(batch), names, "left_semi").persist()
-        rows += _fit_large(part, names, vec, ks, starts, max_iter, tol, seed)
-        part.unpersist()
-    if rows:
-        fitted = fitted.unionByName(spark.createDataFrame(rows, schema))
-    # the fit is long and both results come from it
-    ensure_checkpoint_dir(spark)
-    fitted = fitted.checkpoint()
-    comps = fitted.filter("best").select(
-        *names, F.posexplode(F.arrays_zip("shares", "means", "covs")).alias("mode", "c")
-    )
-    bic = fitted.drop("shares", "means", "covs")
-    return bic, comps.select(*names, "mode", F.col("c.shares").alias("share"), F.col("c.means").alias("mean"), F.col("c.covs").alias("cov"))
-
-
-def _seeded(data: DataFrame, starts: int, seed: int) -> DataFrame:
-    """Every row with its hash order under each start."""
-    order = F.array(*[hash_key(seed, F.lit(s), "__id") for s in range(starts)])
-    return data.withColumn("__order", order)
-
-
-def _fit_local(data, names, vec, ks, starts, max_iter, tol, seed, schema) -> DataFrame:
-    top = max(ks)
-
-    def fit(table: pa.Table) -> pa.Table:
-        key = tuple(table[c][0].as_py() for c in names)
-        # hash order also fixes the order of summation
-        table = table.take(pa.array(np.argsort(np.array([o[0] for o in table["__order"].to_pylist()]), kind="stable")))
-        x = moments.vectors(table, vec)
-        order = table["__order"].to_pylist()
-        seeds = {s: x[np.argsort(np.array([o[s] for o in order]), kind="stable")[:top]] for s in range(starts)}
-        mean = x.mean(axis=0)
-        usable = [k for k in ks if k <= len(x)]
-        models = _start_models(mean, (x - mean).T @ (x - mean) / len(x), seeds, usable, starts)
-        for _ in range(max_iter):
-            if all(m["done"] for m in models):
-                break
-            models = _maximise(_expect(x, models), models, len(x), tol)
-        rows = _report(key, models, len(x))
-        cols = list(zip(*rows))
-        kinds = [table.schema.field(c).type for c in names] + [
-            pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(),
-            pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64())),
-        ]
-        heads = [*names, "k", "n", "log_likelihood", "bic", "best", "shares", "means", "covs"]
-        return pa.table({h: pa.array(list(c), t) for h, c, t in zip(heads, cols, kinds)})
-
-    return _seeded(data, starts, seed).groupBy(*names).applyInArrow(fit, schema)
-
-
-def _fit_large(data, names, vec, ks, starts, max_iter, tol, seed) -> list[tuple]:
-    def sums_of(fold) -> dict[tuple, np.ndarray]:
-        rows = moments.sum_vectors(data.select(*names, vec), names, fold).collect()
-        return {tuple(r[n] for n in names): np.asarray(r["sums"]) for r in rows}
-
-    first = sums_of(lambda key, rows: moments.gram(moments.vectors(rows, vec)))
-    top = max(ks)
-    seeds: dict[tuple, dict[int, list]] = {}
-    for s in range(starts):
-        here = Window.partitionBy(*names).orderBy("__h", "__id")
-        picked = (
-            data.withColumn("__h", hash_key(seed, F.lit(s), "__id"))
-            .withColumn("__r", F.row_number().over(here))
-            .filter(F.col("__r") <= top)
-            .orderBy("__r")
-            .collect()
-        )
-        for r in picked:
-            seeds.setdefault(tuple(r[n] for n in names), {}).setdefault(s, []).append(np.asarray(r[vec]))
-    models = {}
-    for key, flat in first.items():
-        n, mean, scatter = moments.unpack_gram(flat)
-        models[key] = _start_models(mean, scatter / n, seeds[key], ks, starts)
-    counts = {key: flat[0] for key, flat in first.items()}
-    for _ in range(max_iter):
-        if all(m["done"] for ms in models.values() for m in ms):
-            break
-        current = models
-        sums = sums_of(lambda key, rows: _expect(moments.vectors(rows, vec), current[key]))
-        models = {key: _maximise(sums[key], ms, counts[key], tol) for key, ms in current.items()}
-    return [row for key, ms in models.items() for row in _report(key, ms, counts[key])]
-
-
-def assign_modes(scores: DataFrame, comps: DataFrame, by: list[str], vec: str = "scores", out: str = "mode") -> DataFrame:
-    """Most likely component of every row under its group's mixture."""
-    packed = comps.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("mode", "share", "mean", "cov"))).alias("__mix")
-    )
-
-    @F.pandas_udf("int")
-    def pick(x: pd.Series, mix: pd.Series) -> pd.Series:
-        cache, picks = {}, np.zeros(len(x), dtype=np.int32)
-        sig = [tuple((c["share"], float(c["mean"][0])) for c in m) for m in mix]
-        for s in set(sig):
-            rows = [i for i, v in enumerate(sig) if v == s]
-            m = mix.iloc[rows[0]]
-            d = len(m[0]["mean"])
-            model = cache.setdefault(
-                s,
-                {
-                    "w": np.array([c["share"] for c in m]),
-                    "m": np.array([np.asarray(c["mean"]) for c in m]),
-                    "c": np.array([np.asarray(c["cov"]).reshape(d, d) for c in m]),
-                },
-            )
-            block = np.stack([np.asarray(x.iloc[i]) for i in rows])
-            picks[rows] = _log_joint(block, model).argmax(axis=1)
-        return pd.Series(picks)
-
-    return scores.join(packed, by).withColumn(out, pick(F.col(vec), F.col("__mix"))).drop("__mix")
+# --- modes ------------------------------------------------------------------------------------
 
 
 def mode_shares(assigned: DataFrame, by: list[str], mode: str = "mode") -> DataFrame:

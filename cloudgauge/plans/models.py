@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import PARAM_NAMES
-from cloudgauge.operators import dispersion, hypothesis, structure
+from cloudgauge.operators import dispersion, hypothesis, mixtures, structure
 from cloudgauge.plans import tables as t
 from cloudgauge.plans.aggregates import COST_SQL, FIRST_OK_SQL, usage_columns
 from cloudgauge.plans.registry import query
@@ -29,11 +29,11 @@ def pca_curves_95(spark, sf_dir):
 def _scores(spark, sf_dir, k=10):
     df = t.curves(spark, sf_dir)
     model = structure.pca_curves(df, ["label"], k=k)
-    return structure.project(df, model, ["label"])
+    return mixtures.project(df, model, ["label"])
 
 
 def _mixture(spark, sf_dir):
-    return structure.gmm_select_by_bic(_scores(spark, sf_dir), ["label"], "vec_id")
+    return mixtures.gmm_select_by_bic(_scores(spark, sf_dir), ["label"], "vec_id")
 
 
 @query("gmm_select_by_bic")
@@ -44,11 +44,91 @@ def gmm_select_by_bic(spark, sf_dir):
 @query("assign_modes")
 def assign_modes(spark, sf_dir):
     scores = _scores(spark, sf_dir)
-    comps = structure.gmm_select_by_bic(scores, ["label"], "vec_id")[1]
-    modes = structure.assign_modes(scores, comps, ["label"])
+    comps = mixtures.gmm_select_by_bic(scores, ["label"], "vec_id")[1]
+    modes = mixtures.assign_modes(scores, comps, ["label"])
     return structure.mode_table(modes.withColumn("arm", F.col("vec_id") % 3), ["label"], ["arm"])
 
 
+# Two columns of every curve, for which densities are short enough to be written as SQL.
+TWO_SQL = "two AS (SELECT vec_id, label, vec[1] AS x0, vec[2] AS x1 FROM curves)"
+EM_STEPS, EM_TOL = 5, 1e-3
+_LOG_JOINT = (
+    "ln(w) - ln(2 * pi()) - ln(c00 * c11 - c01 * c01) / 2 - (c11 * (x0 - m0) * (x0 - m0) - 2 * c01 * (x0 - m0) * (x1 - m1)"
+    " + c00 * (x1 - m1) * (x1 - m1)) / (c00 * c11 - c01 * c01) / 2"
+)
+
+
+def _em_sql() -> str:
+    """The fit of one and two components, from two starts, step by step."""
+    steps = [
+        "g AS (SELECT label, count(*) AS n, avg(x0) AS a0, avg(x1) AS a1, avg(x0 * x0) - avg(x0) * avg(x0) + 1e-6 AS v00, avg(x0 * x1) - avg(x0) * avg(x1) AS v01, avg(x1 * x1) - avg(x1) * avg(x1) + 1e-6 AS v11 FROM two GROUP BY label)",
+        "drawn AS (SELECT *, row_number() OVER (PARTITION BY label, s ORDER BY md5(concat_ws(':', '42', CAST(s AS STRING), CAST(vec_id AS STRING))), vec_id) AS j FROM two, (VALUES (0), (1)) AS st(s) QUALIFY j <= 2)",
+        "p0 AS (SELECT label, n, 1 AS k, 0 AS s, 1 AS j, 1E0 AS w, a0 AS m0, a1 AS m1, v00 AS c00, v01 AS c01, v11 AS c11, CAST('-inf' AS DOUBLE) AS ll, 0 AS n_steps, false AS done, false AS converged FROM g"
+        " UNION ALL SELECT label, n, 2, s, j, 0.5E0, x0, x1, v00, v01, v11, CAST('-inf' AS DOUBLE), 0, false, false FROM drawn JOIN g USING (label))",
+    ]
+    for i in range(EM_STEPS):
+        last = "true" if i == EM_STEPS - 1 else "false"
+        keep = lambda old, new: f"CASE WHEN stops THEN {old} ELSE {new} END AS {old}"
+        new = ", ".join(
+            keep(old, value)
+            for old, value in (
+                ("w", "nj / n"), ("m0", "s0 / nj"), ("m1", "s1 / nj"), ("c00", "s00 / nj - s0 * s0 / nj / nj + 1e-6"),
+                ("c01", "s01 / nj - s0 * s1 / nj / nj"), ("c11", "s11 / nj - s1 * s1 / nj / nj + 1e-6"),
+            )
+        )
+        steps += [
+            f"e{i} AS (SELECT k, s, j, label, vec_id, x0, x1, {_LOG_JOINT} AS lj FROM two JOIN p{i} USING (label) WHERE NOT done)",
+            f"t{i} AS (SELECT *, max(lj) OVER u + ln(sum(exp(lj - mx)) OVER u) AS total FROM (SELECT *, max(lj) OVER (PARTITION BY label, k, s, vec_id) AS mx FROM e{i}) WINDOW u AS (PARTITION BY label, k, s, vec_id))",
+            f"q{i} AS (SELECT label, k, s, j, avg(total) AS ll_new, sum(r) AS nj, sum(r * x0) AS s0, sum(r * x1) AS s1, sum(r * x0 * x0) AS s00, sum(r * x0 * x1) AS s01, sum(r * x1 * x1) AS s11 FROM (SELECT *, exp(lj - total) AS r FROM t{i}) GROUP BY label, k, s, j)",
+            f"r{i} AS (SELECT *, abs(ll_new - ll) < {EM_TOL} AS near, abs(ll_new - ll) < {EM_TOL} OR {last} AS stops FROM p{i} JOIN q{i} USING (label, k, s, j))",
+            f"p{i + 1} AS (SELECT label, n, k, s, j, {new}, ll_new AS ll, n_steps + 1 AS n_steps, stops AS done, near AS converged FROM r{i} UNION ALL SELECT * FROM p{i} WHERE done)",
+        ]
+    steps += [
+        f"rated AS (SELECT DISTINCT label, k, s, n, ll * n AS log_likelihood, -2 * ll * n + (6 * k - 1) * ln(n) AS bic, n_steps, converged FROM p{EM_STEPS})",
+        "firsts AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY bic, s) = 1)",
+    ]
+    return (
+        t.with_views(t.CURVES_SQL, TWO_SQL, *steps)
+        + "SELECT label, k, n, round(log_likelihood, 4) AS log_likelihood, round(bic, 4) AS bic, n_steps, converged,"
+        " row_number() OVER (PARTITION BY label ORDER BY bic, k) = 1 AS best FROM firsts"
+    )
+
+
+def _two_columns(spark, sf_dir):
+    return t.curves(spark, sf_dir).select("vec_id", "label", F.slice("vec", 1, 2).alias("scores"))
+
+
+@query("gmm_two_columns", _em_sql())
+def gmm_two_columns(spark, sf_dir):
+    """One or two components on two columns, with what SQL makes of the same steps."""
+    bic, _ = mixtures.gmm_select_by_bic(_two_columns(spark, sf_dir), ["label"], "vec_id", ks=(1, 2), starts=2, max_iter=EM_STEPS, tol=EM_TOL)
+    return bic.withColumns({c: F.round(c, 4) for c in ("log_likelihood", "bic")})
+
+
+_FIXED_SQL = (
+    "fixed AS (SELECT label, CAST(vec_id % 2 AS INT) AS mode, CASE WHEN vec_id % 2 = 0 THEN 0.6E0 ELSE 0.4E0 END AS w, avg(x0) AS m0, avg(x1) AS m1,"
+    " CASE WHEN vec_id % 2 = 0 THEN 0.01E0 ELSE 0.02E0 END AS c00, 0.002E0 AS c01, 0.015E0 AS c11 FROM two GROUP BY label, vec_id % 2)"
+)
+
+
+@query(
+    "assign_fixed_modes",
+    t.with_views(t.CURVES_SQL, TWO_SQL, _FIXED_SQL)
+    + f"SELECT label, vec_id, arg_max(mode, lj) AS mode, round(ln(sum(exp(lj))), 6) AS log_density FROM (SELECT label, vec_id, mode, {_LOG_JOINT} AS lj FROM two JOIN fixed USING (label)) GROUP BY label, vec_id",
+)
+def assign_fixed_modes(spark, sf_dir):
+    """Modes under a given mixture: two components per label around the means of its halves."""
+    rows = _two_columns(spark, sf_dir)
+    even = F.col("vec_id") % 2 == 0
+    comps = rows.groupBy("label", (F.col("vec_id") % 2).cast("int").alias("mode")).agg(
+        F.max(F.when(even, 0.6).otherwise(0.4)).alias("share"),
+        F.array(F.avg(F.col("scores")[0]), F.avg(F.col("scores")[1])).alias("mean"),
+        F.array(F.max(F.when(even, 0.01).otherwise(0.02)), F.lit(0.002), F.lit(0.002), F.lit(0.015)).alias("cov"),
+    )
+    modes = mixtures.assign_modes(rows, comps, ["label"])
+    return modes.select("label", "vec_id", "mode", F.round("log_density", 6).alias("log_density"))
+
+
 @query(
     "mode_shares",
     "SELECT o_orderpriority AS label, o_orderstatus AS mode, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 6) AS share FROM orders GROUP BY o_orderpriority, o_orderstatus",
@@ -143,8 +223,8 @@ def embedding_regressor(spark, sf_dir):
 def mode_gof(spark, sf_dir):
     """Goodness of fit of every arm's mode counts against the shares of the whole cloud."""
     scores = _scores(spark, sf_dir)
-    comps = structure.gmm_select_by_bic(scores, ["label"], "vec_id")[1]
-    modes = structure.assign_modes(scores, comps, ["label"]).withColumn("arm", F.col("vec_id") % 3)
+    comps = mixtures.gmm_select_by_bic(scores, ["label"], "vec_id")[1]
+    modes = mixtures.assign_modes(scores, comps, ["label"]).withColumn("arm", F.col("vec_id") % 3)
     shares = structure.mode_shares(modes, ["label"]).select("label", "mode", "share")
     cells = structure.mode_table(modes, ["label"], ["arm"]).join(shares, ["label", "mode"])
     return hypothesis.chi_square_gof(cells, ["label", "arm"], "observed", "share")

@@ -18,9 +18,9 @@ import duckdb
 CHECKED_ELSEWHERE = {
     "pca_curves": "test_operators.py",
     "pca_curves_95": "test_operators.py",
-    "gmm_select_by_bic": "test_operators.py",
-    "assign_modes": "test_operators.py",
-    "mode_gof": "test_operators.py",
+    "gmm_select_by_bic": "test_operators.py: test_mixture_has_the_likelihood_it_reports, and SQL in gmm_two_columns",
+    "assign_modes": "test_operators.py: test_mixture_has_the_likelihood_it_reports, and SQL in assign_fixed_modes",
+    "mode_gof": "test_operators.py, and SQL in assign_fixed_modes and chi_square_gof",
     "ridge_cv_r2": "test_operators.py",
     "permutation_null": "test_operators.py",
     "embedding_regressor": "test_operators.py",

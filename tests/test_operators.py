@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import PARAM_NAMES
-from cloudgauge.operators import blocks, cleaning, clouds, dispersion, hypothesis, ranks, render, retrieval, sampling, selection, structure
+from cloudgauge.operators import blocks, cleaning, clouds, dispersion, hypothesis, mixtures, ranks, render, retrieval, sampling, selection, structure
 from cloudgauge.plans import tables
 
 
@@ -270,7 +270,7 @@ def test_components_match_numpy(spark, cloud):
         values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
         assert np.allclose(r["explained"], values[:3])
         assert np.allclose(r["mean"], x.mean(axis=0))
-    scores = structure.project(frame(spark, cloud), model, ["label"]).filter("label = 'hot'").collect()
+    scores = mixtures.project(frame(spark, cloud), model, ["label"]).filter("label = 'hot'").collect()
     s = np.array([r["scores"] for r in scores])
     assert np.allclose(s.mean(axis=0), 0, atol=1e-9)
 
@@ -278,22 +278,44 @@ def test_components_match_numpy(spark, cloud):
 MIXTURE_BIC = {}
 
 
-@pytest.mark.parametrize("local_rows", [20_000, 10])
-def test_mixture_finds_two_groups(spark, local_rows):
+@pytest.mark.parametrize("block_rows", [4096, 10])
+def test_mixture_finds_two_groups(spark, block_rows):
     rng = np.random.default_rng(9)
     rows = [(i, "a", [float(x) for x in rng.normal(size=2) + (8 if i % 4 == 0 else 0)]) for i in range(200)]
     rows += [(1000 + i, "b", [float(x) for x in rng.normal(size=2)]) for i in range(150)]
     df = frame(spark, rows)
-    bic, comps = structure.gmm_select_by_bic(df, ["label"], "id", "vec", ks=(1, 2), starts=2, max_iter=40, local_rows=local_rows)
+    bic, comps = mixtures.gmm_select_by_bic(df, ["label"], "id", "vec", ks=(1, 2), starts=2, max_iter=40, block_rows=block_rows)
     best = {r["label"]: r["k"] for r in bic.collect() if r["best"]}
     assert best == {"a": 2, "b": 1}
-    # both ways take the same steps from the same starts
+    # blocks of any size take the same steps from the same starts
     assert {r["label"]: round(r["bic"], 3) for r in bic.collect() if r["k"] == 2} == pytest.approx(MIXTURE_BIC.setdefault("k2", {r["label"]: round(r["bic"], 3) for r in bic.collect() if r["k"] == 2}), rel=1e-5)
-    modes = structure.assign_modes(df, comps, ["label"], "vec")
+    modes = mixtures.assign_modes(df, comps, ["label"], "vec")
     shares = {(r["label"], r["mode"]): r["share"] for r in structure.mode_shares(modes, ["label"]).collect()}
     assert shares["a", 0] == pytest.approx(0.75, abs=0.02)
 
 
+def test_mixture_has_the_likelihood_it_reports(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "a", (rng.normal(size=3) * [1, 2, 0.5] + 3 * (i % 3)).tolist()) for i in range(240)] + [(900, "lone", [1.0, 2.0, 3.0])]
+    df = frame(spark, rows)
+    bic, comps = mixtures.gmm_select_by_bic(df, ["label"], "id", "vec", starts=2, max_iter=7, tol=1e-4, block_rows=50)
+    best = {r["label"]: r for r in bic.collect() if r["best"]}
+    x = np.array([v for _, label, v in rows if label == "a"])
+    parts = sorted((r for r in comps.collect() if r["label"] == "a"), key=lambda r: r["mode"])
+    assert [r["share"] for r in parts] == sorted((r["share"] for r in parts), reverse=True)
+    density = sum(
+        r["share"] * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - r["mean"], np.linalg.inv(c), x - r["mean"])) / np.sqrt(np.linalg.det(2 * np.pi * c))
+        for r in parts
+        for c in [np.array(r["cov"]).reshape(3, 3)]
+    )
+    assert np.log(density).sum() == pytest.approx(best["a"]["log_likelihood"], rel=1e-9)
+    assert {(r["converged"], r["n_steps"] == 7) for r in bic.collect() if r["label"] == "a" and r["k"] > 1} <= {(True, False), (True, True), (False, True)}
+    assert [r["k"] for r in bic.collect() if r["label"] == "lone"] == [1]  # a k above the number of rows is left out
+    modes = mixtures.assign_modes(df, comps, ["label"], "vec", "own").filter("label = 'a'").collect()
+    assert sum(r["log_density"] for r in modes) == pytest.approx(best["a"]["log_likelihood"], rel=1e-9)
+    assert mixtures.assign_modes(df, comps.filter("false"), ["label"], "vec").count() == 0
+
+
 def test_ridge_matches_a_direct_fit(spark):
     rng = np.random.default_rng(11)
     n = 120
