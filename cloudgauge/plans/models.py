@@ -232,12 +232,21 @@ def mode_gof(spark, sf_dir):
 
 # --- streams ---------------------------------------------------------------------------------------
 
+# rows of the first ten days that arrive after everything else
+HELD_BACK = "seq % 50 = 0 AND ts < TIMESTAMP '2024-01-11 00:00:00'"
+LAST_DAYS = "ts >= TIMESTAMP '2024-01-21 00:00:00'"
 
-def _log_files(spark, sf_dir, path):
-    """The log as a handful of files, in event-time order, for the file source."""
+
+def _delivered(spark, sf_dir, deliveries, start):
+    """The log arrives in parts; after each of them the stream starts again from its
+    checkpoint and takes what has come as one batch."""
+    path = scratch_path(spark, "stream")
     log = t.receipts(spark, sf_dir)
-    log.repartitionByRange(6, "ts").write.parquet(path)
-    return stream.read_log_stream(spark, path, log.schema, max_files=2)
+    for part in deliveries:
+        log.filter(part).write.mode("append").parquet(f"{path}/in")
+        arriving = stream.read_log_stream(spark, f"{path}/in", log.schema, max_files=1_000_000)
+        start(arriving, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(log.schema).parquet(f"{path}/in"), f"{path}/out"
 
 
 @query(
@@ -245,24 +254,42 @@ def _log_files(spark, sf_dir, path):
     t.with_views(FIRST_OK_SQL) + f"SELECT cell_id, seq, model, {', '.join(PARAM_NAMES)} FROM first_ok",
 )
 def stream_compile_receipts(spark, sf_dir):
-    path = scratch_path(spark, "stream-log")
-    log = _log_files(spark, sf_dir, f"{path}/in")
-    stream.stream_compile_receipts(
-        log, f"{path}/out", f"{path}/checkpoint", "cell_id", "seq", keep=["seq", "model"]
-    ).awaitTermination()
-    return stream.read_compiled(spark, f"{path}/out", "cell_id", "seq")
+    """The last days arrive first, and a part of the first ones last."""
+
+    def start(log, out, checkpoint):
+        return stream.stream_compile_receipts(log, out, checkpoint, "cell_id", "seq", keep=["model"])
+
+    parts = [LAST_DAYS, f"NOT ({LAST_DAYS}) AND NOT ({HELD_BACK})", HELD_BACK]
+    _, out = _delivered(spark, sf_dir, parts, start)
+    return stream.read_compiled(spark, out, "cell_id", "seq")
+
+
+def _late_costs(spark, sf_dir):
+    tokens_in, tokens_out = usage_columns()
+
+    def start(log, out, checkpoint):
+        return stream.stream_cost(log, out, checkpoint, "ts", "model", tokens_in, tokens_out, lateness="2 days")
+
+    parts = [f"NOT ({LAST_DAYS}) AND NOT ({HELD_BACK})", LAST_DAYS, HELD_BACK]
+    arrived, out = _delivered(spark, sf_dir, parts, start)
+    return arrived, stream.read_stream_cost(spark, out, "model")
 
 
 @query(
     "stream_cost",
-    t.with_views(COST_SQL)
+    t.with_views(COST_SQL.replace("FROM receipts)", f"FROM receipts WHERE NOT ({HELD_BACK}))"))
     + "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, model, count(*) AS calls, sum(coalesce(ti, 0))::BIGINT AS tokens_in, sum(coalesce(tk, 0))::BIGINT AS tokens_out FROM usage GROUP BY ALL",
 )
 def stream_cost(spark, sf_dir):
-    path = scratch_path(spark, "stream-cost")
-    log = _log_files(spark, sf_dir, f"{path}/in")
-    tokens_in, tokens_out = usage_columns()
-    stream.stream_cost(
-        log, f"{path}/out", f"{path}/checkpoint", "ts", "model", tokens_in, tokens_out, lateness="60 days"
-    ).awaitTermination()
-    return stream.read_stream_cost(spark, f"{path}/out", "model")
+    """What is held back comes when its windows are closed, and does not count."""
+    return _late_costs(spark, sf_dir)[1]
+
+
+@query(
+    "stream_late_rows",
+    t.with_views(t.RECEIPTS_SQL)
+    + f"SELECT model, count(*) AS arrived, count(*) FILTER (WHERE NOT ({HELD_BACK})) AS counted, count(*) FILTER (WHERE {HELD_BACK}) AS late FROM receipts GROUP BY model",
+)
+def stream_late_rows(spark, sf_dir):
+    arrived, costs = _late_costs(spark, sf_dir)
+    return stream.late_rows(arrived, costs, "model")

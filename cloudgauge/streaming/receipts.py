@@ -1,37 +1,34 @@
 """A growing call log, folded as it arrives.
 
 Two standing queries: the first valid answer of every cell, and cost per model and day.
-Both write one folder per micro-batch, named by batch id, so a batch that is run again
-after a failure replaces its own output and nothing else.
+What they know of earlier batches is keyed state in the state store of their checkpoint:
+one record per cell, and one per model and window until the watermark has passed it. A
+batch reads its own rows and the state of their keys, never earlier output. Both write one folder
+per micro-batch, named by batch id, so a batch that is run again after a failure replaces
+its own output and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from cloudgauge.operators.answers import compile_first_ok
-from cloudgauge.operators.retrieval import first_of
+from cloudgauge.functions.params import ANSWER_BOUNDS, PARAM_NAMES
+from cloudgauge.operators.answers import validate_answer
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """What older batches wrote; a rerun batch does not see its own first attempt."""
-    try:
-        return spark.read.parquet(out).filter(F.col("batch") < batch_id).select(*schema.names)
-    except AnalysisException as e:
-        # no folder yet, or only an empty first batch
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+def valid_answers(log: DataFrame, content: str, keep: Sequence[str], params: Sequence[str] = PARAM_NAMES, bounds: dict = ANSWER_BOUNDS) -> DataFrame:
+    """The rows logged as ok whose answer validates: (keep, params)."""
+    ok = validate_answer(log.filter(F.col("status") == "ok"), content, params, bounds).filter(F.col("answer_status") == "ok")
+    return ok.select(*keep, *[F.col("answer")[p].alias(p) for p in params])
 
 
 def stream_compile_receipts(
@@ -44,34 +41,43 @@ def stream_compile_receipts(
     content: str = "response_content",
     keep: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Insert-if-absent by cell: a cell keeps its first valid answer in log order.
+    """A cell keeps its first valid answer in log order.
 
-    A batch inserts the cells that have no earlier answer yet. Should files arrive out of
-    log order, the earlier row is inserted too and `read_compiled` prefers it, so the
-    result does not depend on arrival. `fold` replaces the per-batch compilation.
+    The state of a cell is the answer with the least `order` so far; a batch writes the
+    cells whose record it has changed, and `read_compiled` takes the newest of each. Rows
+    may arrive in any order, also over restarts: an earlier row replaces a later one. Of
+    rows with equal order the one with the least answer counts. `fold` replaces the check
+    of single rows; it returns cell, order and what else is kept.
     """
-    columns = [order, *[k for k in keep if k != order]]
-    compile_batch = fold or (lambda df: compile_first_ok(df, cell, order, content, columns))
-
-    def insert(batch: DataFrame, batch_id: int) -> None:
-        firsts = compile_batch(batch)
-        key = T.StructType([firsts.schema[cell], firsts.schema[order]])
-        done = _earlier(batch.sparkSession, out, batch_id, key).groupBy(cell).agg(F.min(order).alias("__done"))
-        fresh = firsts.join(done, cell, "left").filter(
-            F.col("__done").isNull() | (F.col("__done") > F.col(order))
-        )
-        fresh.drop("__done").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    columns = list(dict.fromkeys([cell, order, *keep]))
+    answers = fold(log) if fold else valid_answers(log, content, columns)
+    rest = [c for c in answers.columns if c not in (cell, order)]
+    firsts = answers.groupBy(cell).agg(F.min(F.struct(order, *rest)).alias("__first")).select(cell, "__first.*")
+    return _batches(firsts, out, checkpoint)
+
+
+def _batches(changed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        log.writeStream.foreachBatch(insert)
+        changed.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _newest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The row of the latest batch for every key."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("__v")).select(*keys, "__v.*")
+
+
 def read_compiled(spark: SparkSession, out: str, cell: str, order: str) -> DataFrame:
-    return first_of(spark.read.parquet(out), [cell], [F.asc(order)]).drop("batch")
+    return _newest(spark, out, [cell])
 
 
 def stream_cost(
@@ -87,8 +93,10 @@ def stream_cost(
 ) -> StreamingQuery:
     """Calls and tokens per model and event-time window.
 
-    Update mode hands every batch the windows it changed; state older than the watermark
-    is dropped. `read_stream_cost` keeps the newest row per window.
+    Update mode hands every batch the windows it changed. A row is late, and left out, if
+    its window ended at or before the largest event time of earlier batches less
+    `lateness`; the state of such windows is dropped. `read_stream_cost` keeps the newest
+    row per window, `late_rows` says how many were left out.
     """
     sums = (
         log.withWatermark(ts, lateness)
@@ -100,21 +108,16 @@ def stream_cost(
         )
         .select(F.col("w.start").alias("window_start"), model, "calls", "tokens_in", "tokens_out")
     )
+    return _batches(sums, out, checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        sums.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def read_stream_cost(spark: SparkSession, out: str, model: str) -> DataFrame:
+    return _newest(spark, out, ["window_start", model])
 
 
-def read_stream_cost(spark: SparkSession, out: str, model: str) -> DataFrame:
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in ("window_start", model, "batch")]
-    newest = F.max_by(F.struct(*values), F.col("batch")).alias("__v")
-    return rows.groupBy("window_start", model).agg(newest).select("window_start", model, "__v.*")
+def late_rows(arrived: DataFrame, costs: DataFrame, model: str) -> DataFrame:
+    """Per model: rows of the log that arrived, were counted, and came too late."""
+    there = arrived.groupBy(model).agg(F.count(F.lit(1)).alias("arrived"))
+    counted = costs.groupBy(model).agg(F.sum("calls").alias("counted"))
+    joined = there.join(counted, model, "left").fillna(0, subset=["counted"])
+    return joined.withColumn("late", F.col("arrived") - F.col("counted"))
