@@ -47,6 +47,34 @@ def scan_positional_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "scan_numbered_csv",
+    t.with_views(
+        t.ENTRIES_SQL,
+        "numbered AS (SELECT *, row_number() OVER (ORDER BY entry_id) - 1 + coalesce(sum(CASE WHEN entry_id % 89 = 2 THEN 1 ELSE 0 END) OVER (ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM entries)",
+    )
+    + """SELECT concat('safe-', CAST(CAST(i AS BIGINT) AS STRING)) AS id, CAST(entry_id AS STRING) AS entry_id,
+  CASE WHEN entry_id % 89 > 1 THEN band3_q END AS band3_q,
+  CASE WHEN entry_id % 89 = 3 THEN concat(instrument, ', ', chr(10), '"second" line') WHEN entry_id % 89 > 1 THEN instrument END AS instrument,
+  entry_id % 89 <= 1 AS bad_width
+FROM numbered""",
+)
+def scan_numbered_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `scan_positional_csv`, with row numbers; some rows have a field of two lines."""
+    path = scratch_path(spark, "entries-csv")
+    quoted = ["concat('\"', instrument, ', \\n\"\"second\"\" line\"')" if f == "instrument" else f for f in _FIELDS]
+    line = (
+        f"CASE WHEN entry_id % 89 = 0 THEN concat_ws(',', {', '.join(_FIELDS[:-2])}) WHEN entry_id % 89 = 1 THEN concat_ws(',', {', '.join(_FIELDS)}, 'extra') "
+        f"WHEN entry_id % 89 = 2 THEN concat(concat_ws(',', {', '.join(_FIELDS)}), '\\n') "
+        f"WHEN entry_id % 89 = 3 THEN concat_ws(',', {', '.join(quoted)}) ELSE concat_ws(',', {', '.join(_FIELDS)}) END AS line"
+    )
+    t.entries(spark, sf_dir).orderBy("entry_id").selectExpr(line).write.text(path)
+    good = ~F.col("bad_width")
+    return files.scan_numbered_csv(spark, path).select(
+        "id", "entry_id", *[F.when(good, F.col(c)).alias(c) for c in ("band3_q", "instrument")], "bad_width"
+    )
+
+
 @query(
     "scan_feature_csv",
     """SELECT entry_id, role, vec_id AS kept_row FROM (

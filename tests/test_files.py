@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +62,43 @@ def test_stream_survives_out_of_order_files_and_reruns(spark, sf_dir):
     want = compile_first_ok(log, "cell_id", "seq", "response_content", ["seq", "model"]).select("cell_id", "seq").collect()
     got = stream.read_compiled(spark, f"{path}/out", "cell_id", "seq").select("cell_id", "seq").collect()
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("split_bytes", [64, 1 << 20])
+def test_row_numbers_are_those_of_a_csv_reader(spark, tmp_path, split_bytes):
+    rng = random.Random(split_bytes)
+    columns = ["a", "b", "c"]
+    want = []
+    number = 0
+    (tmp_path / "in").mkdir()
+    for name in ("one", "three", "two"):
+        rows = []
+        for _ in range(120):
+            kind = rng.randrange(12)
+            field = lambda: rng.choice(["x", "", "5\" wide", 'say "hi"', "comma, here", "é", "two\nlines", '"', "\n\n", "y" * rng.randrange(40)])
+            rows.append([] if kind == 0 else [field() for _ in range(2 if kind == 1 else 4 if kind == 2 else 3)])
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator="\n")
+        for row in rows:
+            if row and rng.random() < 0.2 and not any(c in "".join(row[1:]) for c in '",\n') and row[0] == '5" wide':
+                text.write(",".join(row) + "\n")  # a quote within a field that is not quoted
+            elif row:
+                writer.writerow(row)
+            else:
+                text.write("\n")
+        (tmp_path / "in" / f"{name}.csv").write_bytes(text.getvalue().encode() + (b"bad\xff,y,z\n" if name == "two" else b""))
+        with open(tmp_path / "in" / f"{name}.csv", newline="", encoding="utf-8", errors="replace") as f:
+            for row in csv.reader(f):
+                if row:
+                    want.append((f"safe-{number}", *(row if len(row) == 3 else [None] * 3), len(row) != 3))
+                number += 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = files.scan_numbered_csv(spark, f"{tmp_path}/in", columns)
+        rows = [(r.id, *([None] * 3 if r.bad_width else [r.a, r.b, r.c]), r.bad_width) for r in got.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(rows, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
