@@ -21,6 +21,7 @@ from cloudgauge.session import settled
 
 # Half-width, in standard errors of a sample quantile, of the bracket around the median.
 _BRACKET_SE = 4.0
+_PIVOTS = 32
 
 
 def pack_curve(long: DataFrame, keys: list[str], pos: str = "bin", value: str = "db", out: str = "vec") -> DataFrame:
@@ -117,7 +118,7 @@ def distances_to_cloud(
 
 
 def _empty(a: pa.Table, b: pa.Table, on: list[str], measures: list[str], carry: Sequence[str] = ()) -> pa.Table:
-    kinds = {"n": pa.int64()}
+    kinds = {"n": pa.int64(), "computed": pa.int64()}
     cols = {k: (a if k in a.column_names else b)[k].slice(0, 0) for k in on}
     for c in ("lid", *carry):
         cols[c] = a[c].slice(0, 0)
@@ -185,37 +186,43 @@ def median_to_cloud(
     exclude_self: bool = False,
     left_rows: int = blocks.LEFT_ROWS,
     right_rows: int = blocks.RIGHT_ROWS,
+    computed: str | None = None,
 ) -> DataFrame:
     """Exact median distance of each left row to the right cloud of its key.
 
-    Clouds of one block are settled inside their task. For larger clouds the first block,
-    a hash sample, brackets the median; one pass over all blocks counts what lies below
-    the bracket and keeps only what lies inside; the few rows whose median escapes the
-    bracket are done again with an open bracket. Nothing is approximated.
+    A first look at a hash sample of `right_rows` of the cloud settles rows whose cloud it
+    is, and brackets the median of the others. These then meet the blocks of their cloud.
+    A block is cut into cells around pivots; by the triangle inequality a cell may lie
+    below or above a row's bracket as a whole, and is counted without its distances. Only
+    distances inside the bracket leave the task. The few rows whose median escapes it are
+    done again with an open bracket. Nothing is approximated. `computed` names a column
+    for the number of distances that a row has taken after the first look.
     """
     l = _renamed(left, on, left_id, "vec", "lid")
     r = _renamed(right, on, right_id, "vec", "rid")
-    id_type = left.schema[left_id].dataType.simpleString()
-    final = [*on, F.col("lid").alias(left_id), F.col("n").alias("n_pairs"), F.col("m").alias(out)]
-
-    sizes = blocks.cloud_sizes(r, on, "__n").withColumn("__big", F.col("__n") > right_rows)
-    # one small action on the label column decides whether the second way is planned
-    biggest = sizes.agg(F.max("__n")).first()[0] or 0
-
-    settled = _settled_medians(l, r, on, id_type, exclude_self, left_rows, max(right_rows, 1))
-    if biggest <= right_rows:
-        return settled.select(*final)
-    small = sizes.filter(~F.col("__big")).select(*on)
-    large = sizes.filter("__big").select(*on)
-    parts = [
-        _settled_medians(
-            l.join(small, on, "left_semi"), r.join(small, on, "left_semi"), on, id_type, exclude_self, left_rows, right_rows
-        ),
-        _bracketed_medians(
-            l.join(large, on, "left_semi"), r.join(large, on, "left_semi"), on, id_type, exclude_self, left_rows, right_rows
-        ),
-    ]
-    return parts[0].unionByName(parts[1]).select(*final)
+    base = f"{_ddl(l, on)}, lid {left.schema[left_id].dataType.simpleString()}"
+    sizes = blocks.cloud_sizes(r, on, "__n")
+    sized = r.join(sizes, on) if on else r.join(F.broadcast(sizes))
+    sample = F.pmod(F.xxhash64(F.lit("pilot"), F.col("rid")), F.lit(1 << 20)) * F.col("__n") < F.lit(right_rows << 20)
+    look = blocks.block_product(
+        l, sized.filter(sample), on, "lid", "rid", _first_look(on, exclude_self), f"{base}, n long, m double, a double, b double", left_rows, right_rows * 4
+    )
+    # an edge of each block that the sample was cut into: the widest holds
+    look = settled(look.groupBy(*on, "lid").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.min("a").alias("a"), F.max("b").alias("b")))
+    done = look.filter("m is not null").select(*on, "lid", "n", "m", F.lit(0).cast("long").alias("computed"))
+    beyond = sizes.filter(F.col("__n") > right_rows)
+    of_large = l.join(beyond.select(*on), on, "left_semi") if on else l.join(F.broadcast(beyond)).drop("__n")
+    edges = of_large.join(look.select(*on, "lid", "m", "a", "b"), [*on, "lid"], "left")
+    open_ = edges.filter("m is null").drop("m").fillna({"a": -math.inf, "b": math.inf})
+    large = sized.filter(F.col("__n") > right_rows).drop("__n")
+    counted = _count_inside(open_, large, on, base, exclude_self, left_rows, right_rows)
+    first = settled(_pick_median(counted, on))
+    missed = first.filter("m is null").select(*on, "lid")
+    again = l.join(missed, [*on, "lid"], "left_semi").select("*", F.lit(-math.inf).alias("a"), F.lit(math.inf).alias("b"))
+    last = _pick_median(_count_inside(again, large, on, base, exclude_self, left_rows, right_rows), on)
+    every = done.unionByName(first.filter("m is not null")).unionByName(last)
+    extra = [F.col("computed").alias(computed)] if computed else []
+    return every.select(*on, F.col("lid").alias(left_id), F.col("n").alias("n_pairs"), F.col("m").alias(out), *extra)
 
 
 def _masked(a: pa.Table, b: pa.Table, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -236,31 +243,20 @@ def _row_medians(d: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (d[rows, np.maximum(n - 1, 0) // 2] + d[rows, np.minimum(n // 2, d.shape[1] - 1)]) / 2.0
 
 
-def _settled_medians(l, r, on, id_type, exclude_self, left_rows, right_rows) -> DataFrame:
-    def settle(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not (a.num_rows and b.num_rows):
-            return _empty(a, b, on, ["n", "m"])
-        d, n = _masked(a, b, exclude_self)
-        keep = n > 0
-        return (
-            a.filter(pa.array(keep))
-            .select([*on, "lid"])
-            .append_column("n", pa.array(n[keep]))
-            .append_column("m", pa.array(_row_medians(d, n)[keep]))
-        )
-
-    schema = f"{_ddl(l, on)}, lid {id_type}, n long, m double"
-    # hash cutting may not split a cloud that fits one block
-    return blocks.block_product(l, r, on, "lid", "rid", settle, schema, left_rows, right_rows)
-
+def _first_look(on: list[str], exclude_self: bool):
+    """Per left row, against a sample of its cloud: the median if the sample is all of the
+    cloud, and else a bracket that very likely holds it."""
 
-def _bracketed_medians(l, r, on, id_type, exclude_self, left_rows, right_rows) -> DataFrame:
-    base = f"{_ddl(l, on)}, lid {id_type}"
-
-    def bracket(a: pa.Table, b: pa.Table) -> pa.Table:
+    def look(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
-            return _empty(a, b, on, ["a", "b"])
+            return _empty(a, b, on, ["n", "m", "a", "b"])
         d, n = _masked(a, b, exclude_self)
+        whole = b.num_rows == b["__n"][0].as_py()
+        if whole:
+            keep = n > 0
+            none = pa.nulls(int(keep.sum()), pa.float64())
+            kept, m = a.filter(pa.array(keep)).select([*on, "lid"]), pa.array(_row_medians(d, n)[keep])
+            return kept.append_column("n", pa.array(n[keep])).append_column("m", m).append_column("a", none).append_column("b", none)
         d = np.sort(d, axis=1)
         rows = np.arange(len(d))
         half = _BRACKET_SE * 0.5 / np.sqrt(np.maximum(n, 1))
@@ -268,69 +264,83 @@ def _bracketed_medians(l, r, on, id_type, exclude_self, left_rows, right_rows) -
         hi_at = np.ceil((0.5 + half) * n).astype(int) + 1
         lo = np.where(lo_at >= 0, d[rows, np.clip(lo_at, 0, d.shape[1] - 1)], -np.inf)
         hi = np.where(hi_at < n, d[rows, np.clip(hi_at, 0, d.shape[1] - 1)], np.inf)
-        return (
-            a.select([*on, "lid"]).append_column("a", pa.array(lo)).append_column("b", pa.array(hi))
-        )
+        out = a.select([*on, "lid"]).append_column("n", pa.array(np.maximum(n, 1))).append_column("m", pa.nulls(len(d), pa.float64()))
+        return out.append_column("a", pa.array(lo)).append_column("b", pa.array(hi))
 
-    pilot_share = _pilot(r, on, "rid", right_rows)
-    edges = blocks.block_product(
-        l, pilot_share, on, "lid", "rid", bracket, f"{base}, a double, b double", left_rows, right_rows * 4
-    )
-    edges = edges.groupBy(*on, "lid").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    bracketed = l.join(edges, [*on, "lid"], "left").fillna({"a": -math.inf, "b": math.inf})
-    counted = _count_inside(bracketed, r, on, base, exclude_self, left_rows, right_rows)
-    first = _pick_median(counted, on)
-    missed = first.filter("m is null").select(*on, "lid")
-    open_edges = l.join(missed, [*on, "lid"], "left_semi").select(
-        "*", F.lit(-math.inf).alias("a"), F.lit(math.inf).alias("b")
-    )
-    again = _pick_median(_count_inside(open_edges, r, on, base, exclude_self, left_rows, right_rows), on)
-    return first.filter("m is not null").unionByName(again)
+    return look
 
 
-def _pilot(r: DataFrame, on: list[str], rid: str, rows: int) -> DataFrame:
-    """About `rows` rows of each cloud, taken by hash. Only used to place brackets."""
-    n = blocks.cloud_sizes(r, on, "__n")
-    share = F.pmod(F.xxhash64(F.lit("pilot"), F.col(rid)), F.lit(1 << 20)) * F.col("__n") < F.lit(rows) * (1 << 20)
-    return r.join(n, on).filter(share).drop("__n")
+def _cells(y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(pivots, rows of each cell, least and largest distance to the pivot): every row goes
+    to the nearest of a few rows that lie far from each other."""
+    far, chosen = np.full(len(y), np.inf), [0]
+    apart = np.empty((min(_PIVOTS, len(y)), len(y)))
+    for i in range(len(apart)):
+        apart[i] = blocks.rms_distances(y[chosen[i]][None, :], y)[0]
+        far = np.minimum(far, apart[i])
+        chosen.append(int(far.argmax()))
+    own = apart.argmin(axis=0)
+    members = [np.flatnonzero(own == i) for i in range(len(apart))]
+    kept = [i for i, m in enumerate(members) if len(m)]
+    members = [members[i] for i in kept]
+    reach = [apart[i, m] for i, m in zip(kept, members, strict=True)]
+    return y[[chosen[i] for i in kept]], members, np.array([x.min() for x in reach]), np.array([x.max() for x in reach])
 
 
 def _count_inside(l, r, on, base, exclude_self, left_rows, right_rows) -> DataFrame:
-    """Per left row and block: how many distances exist and lie below the bracket (row
-    with d null), and the distinct distances inside it with their counts."""
+    """Per left row and block: how many distances exist, lie below the bracket and were
+    computed (row with d null), and the distinct distances inside it with their counts."""
 
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
-            return _empty(a, b, on, ["d", "c", "below", "n"])
-        d, n = _masked(a, b, exclude_self)
-        lo = a["a"].to_numpy()[:, None]
-        hi = a["b"].to_numpy()[:, None]
-        real = np.isfinite(d)
-        inside = real & (d >= lo) & (d <= hi)
-        below = (real & (d < lo)).sum(axis=1)
-        at, dist, cnt = [np.arange(len(d))], [np.full(len(d), np.nan)], [np.zeros(len(d), dtype=np.int64)]
-        for i in range(len(d)):
-            values, times = np.unique(d[i, inside[i]], return_counts=True)
-            at.append(np.full(len(values), i))
-            dist.append(values)
-            cnt.append(times)
-        rows = np.concatenate(at)
-        head = np.arange(len(rows)) < len(d)
-        dist = np.concatenate(dist)
+            return _empty(a, b, on, ["d", "c", "below", "n", "computed"])
+        x, y = blocks.matrix(a, "vec"), blocks.matrix(b, "vec")
+        lo, hi = a["a"].to_numpy(), a["b"].to_numpy()
+        n, own = np.full(len(x), len(y), dtype=np.int64), np.full(len(x), -1)
+        if exclude_self:
+            own = blocks.self_positions(a["lid"], b["rid"])
+            n -= own >= 0
+        pivots, members, near, far = _cells(y)
+        to_pivot = blocks.rms_distances(x, pivots)
+        slack = 1e-9 * (to_pivot + far)
+        under = to_pivot + far + slack < lo[:, None]
+        over = np.maximum(to_pivot - far, near - to_pivot) - slack > hi[:, None]
+        below, work = np.zeros(len(x)), np.zeros(len(x), np.int64)
+        at, dist, times = [np.arange(len(x))], [np.full(len(x), np.nan)], [np.zeros(len(x))]
+        for c, cell in enumerate(members):
+            place = np.full(len(y), -1)
+            place[cell] = np.arange(len(cell))
+            mine = np.where(own >= 0, place[own], -1)
+            whole = (under[:, c] | over[:, c]) & (mine < 0)
+            below[whole & under[:, c]] += len(cell)
+            rows = np.flatnonzero(~whole)
+            if not len(rows):
+                continue
+            d = blocks.rms_distances(x[rows], y[cell])
+            work[rows] += len(cell)
+            here = np.flatnonzero(mine[rows] >= 0)
+            d[here, mine[rows][here]] = np.inf
+            below[rows] += (d < lo[rows, None]).sum(axis=1)
+            inside = (d >= lo[rows, None]) & (d <= hi[rows, None]) & np.isfinite(d)
+            which, column = np.nonzero(inside)
+            at.append(rows[which])
+            dist.append(d[which, column])
+            times.append(np.ones(len(which)))
+        at, dist, times = np.concatenate(at), np.concatenate(dist), np.concatenate(times)
+        head = np.arange(len(at)) < len(x)
         return (
             a.select([*on, "lid"])
-            .take(pa.array(rows))
+            .take(pa.array(at))
             .append_column("d", pa.array(dist, mask=head))
-            .append_column("c", pa.array(np.concatenate(cnt).astype(np.float64)))
-            .append_column("below", pa.array(np.where(head, below[rows], 0).astype(np.float64)))
-            .append_column("n", pa.array(np.where(head, n[rows], 0)))
+            .append_column("c", pa.array(times))
+            .append_column("below", pa.array(np.where(head, below[at], 0.0)))
+            .append_column("n", pa.array(np.where(head, n[at], 0)))
+            .append_column("computed", pa.array(np.where(head, work[at], 0)))
         )
 
-    schema = f"{base}, d double, c double, below double, n long"
+    schema = f"{base}, d double, c double, below double, n long, computed long"
     parts = blocks.block_product(l, r, on, "lid", "rid", count, schema, left_rows, right_rows)
-    return parts.groupBy(*on, "lid", "d").agg(
-        F.sum("c").alias("c"), F.sum("below").alias("below"), F.sum("n").alias("n")
-    )
+    return parts.groupBy(*on, "lid", "d").agg(*[F.sum(c).alias(c) for c in ("c", "below", "n", "computed")])
 
 
 def _pick_median(counted: DataFrame, on: list[str]) -> DataFrame:
@@ -344,7 +354,9 @@ def _pick_median(counted: DataFrame, on: list[str]) -> DataFrame:
         return F.max(F.when(here & (start <= p) & (p < F.col("cum")), F.col("d")))
 
     return w.groupBy(*on, "lid").agg(
-        F.max("n").alias("n"), ((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2.0).alias("m")
+        F.max("n").alias("n"),
+        ((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2.0).alias("m"),
+        F.sum("computed").alias("computed"),
     )
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from cloudgauge.functions import pvalues
 from cloudgauge.operators.ranks import (
     average_ranks,
+    before_slices,
     median_by,
     running_counts,
     value_frequencies,
@@ -276,11 +277,8 @@ def bh_fdr(tests: DataFrame, p: str = "p_value", alpha: float = 0.05, by: Sequen
     ranked = running_counts(freq, by, p, ["c"])
     raw = ranked.select(*by, p, (F.col(p) * F.col("c_total") / (F.col("c_below") + F.col("c"))).alias("__raw"))
     cut = value_slices(raw, by, p)
-    # falling order: a frame that grows is cheap, one that shrinks is redone for every row
-    later = Window.partitionBy(*by).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
-    floors = cut.groupBy(*by, "__slice").agg(F.min("__raw").alias("__m")).select(
-        *by, "__slice", F.min("__m").over(later).alias("__floor")
-    )
+    least = cut.groupBy(*by, "__slice").agg(F.min("__raw").alias("__m"))
+    floors = before_slices(least, by, "__slice", {"__floor": ("min", "__m")}, falling=True).drop("__m")
     inside = Window.partitionBy(*by, "__slice").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     q = F.least(F.min("__raw").over(inside), F.coalesce("__floor", F.lit(1.0)), F.lit(1.0))
     per_p = cut.join(floors, [*by, "__slice"]).select(*by, p, q.alias("q_value"))

@@ -14,9 +14,45 @@ SLICES_PER_OCTAVE = 1 << 14
 FINE_SLICES = 256
 
 
+COARSE_BITS = 13  # slices of a coarse range
+
+
+def before_slices(per: DataFrame, by: list[str], slice_col: str, values: dict[str, tuple[str, str]], falling: bool = False) -> DataFrame:
+    """`per` (one row per group and slice) with columns of what lies before each slice, or
+    after it with `falling`: `values` maps a name to ("sum" or "min", column). Nothing
+    before is null.
+
+    Done in two levels: coarse ranges of 2^13 slices first, of which a group has few, then the slices of
+    each range. So no task orders all slices of the table, even if it is one group.
+    """
+    wide = f"__coarse_{slice_col}"
+    at = per.withColumn(wide, F.shiftright(F.col(slice_col).cast("long"), COARSE_BITS))
+    fold = {"sum": F.sum, "min": F.min}
+    towards = F.desc if falling else F.asc
+
+    def earlier(keys: list[str], order: str) -> Window:
+        window = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        return window.orderBy(towards(order)).rowsBetween(Window.unboundedPreceding, -1)
+
+    ranges = at.groupBy(*by, wide).agg(*[fold[kind](c).alias(f"__r_{n}") for n, (kind, c) in values.items()])
+    ranges = ranges.select(*by, wide, *[fold[kind](f"__r_{n}").over(earlier(by, wide)).alias(f"__w_{n}") for n, (kind, _) in values.items()])
+    inner = at.select("*", *[fold[kind](c).over(earlier([*by, wide], slice_col)).alias(f"__i_{n}") for n, (kind, c) in values.items()])
+    joined = inner.join(ranges, [*by, wide])
+    zero = F.lit(0)
+    both = {
+        "sum": lambda n: F.coalesce(F.col(f"__w_{n}"), zero) + F.coalesce(F.col(f"__i_{n}"), zero),
+        "min": lambda n: F.least(f"__w_{n}", f"__i_{n}"),
+    }
+    return joined.select(*per.columns, *[both[kind](n).alias(n) for n, (kind, _) in values.items()])
+
+
 def _slice_offsets(df: DataFrame, by: list[str], slice_col: str, sums: dict[str, Column]) -> DataFrame:
     """Per (by, slice): each sum over all earlier slices, and over the whole group."""
     per = df.groupBy(*by, slice_col).agg(*[c.alias(f"__s_{n}") for n, c in sums.items()])
+    if not by:
+        offsets = before_slices(per, by, slice_col, {f"__off_{n}": ("sum", f"__s_{n}") for n in sums})
+        whole = per.agg(*[F.sum(f"__s_{n}").alias(f"__all_{n}") for n in sums])
+        return offsets.join(F.broadcast(whole)).select(slice_col, *[f"__off_{n}" for n in sums], *[f"__all_{n}" for n in sums])
     group = Window.partitionBy(*by)
     before = group.orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     return per.select(

@@ -80,6 +80,26 @@ def cloud_centrality(spark, sf_dir):
     return got.withColumn("centrality", F.round("centrality", 6))
 
 
+_KNOTS_SQL = (
+    "knots AS (SELECT vec_id, label, list_transform(vec, lambda x, i: x / 10 + CASE WHEN i % 5 = vec_id % 5 + 1 OR (i % 5 = 0 AND vec_id % 5 = 4) THEN 1E0 ELSE 0E0 END) AS vec FROM curves)",
+    "kk AS (SELECT a.vec_id, a.label, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(a.vec)) AS d FROM knots a JOIN knots b ON a.label = b.label AND a.vec_id <> b.vec_id)",
+)
+
+
+@query(
+    "centrality_in_blocks",
+    t.with_views(t.CURVES_SQL, *_KNOTS_SQL)
+    + "SELECT vec_id, label, count(*) AS n_pairs, round(median(d), 6) AS centrality FROM kk GROUP BY vec_id, label",
+)
+def centrality_in_blocks(spark, sf_dir):
+    """Each curve against the others of its label, which lie around five knots, in blocks
+    that are small for clouds of any size."""
+    knot = lambda x, i: x / 10 + F.when(i % 5 == F.col("vec_id") % 5, 1.0).otherwise(0.0)
+    df = t.curves(spark, sf_dir).withColumn("vec", F.transform("vec", knot))
+    got = clouds.leave_one_out_centrality(df, ["label"], "vec_id", left_rows=64, right_rows=32)
+    return got.withColumn("centrality", F.round("centrality", 6))
+
+
 _TAIL_LABELS = "tails AS (SELECT label FROM curves GROUP BY label HAVING count(*) < (SELECT count(*) / count(DISTINCT label) FROM curves))"
 
 

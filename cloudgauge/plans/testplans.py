@@ -260,6 +260,22 @@ def bh_fdr(spark, sf_dir):
     return got.select("event_id", F.round("p_value", 9).alias("p_value"), F.round("q_value", 9).alias("q_value"), "survives")
 
 
+@query(
+    "bh_fdr_small",
+    """WITH p AS (SELECT event_id, (1 + event_id % 7 / 8E0) / 2E0 * pow(2E0, -(event_id * 31 % 997)) AS p_value FROM events),
+r AS (SELECT *, p_value * count(*) OVER () / count(*) OVER (ORDER BY p_value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw, row_number() OVER (ORDER BY p_value, event_id) AS rk FROM p),
+q AS (SELECT *, least(1, min(raw) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM r)
+SELECT event_id, round(-log10(p_value), 6) AS minus_log_p, round(-log10(q_value), 6) AS minus_log_q, q_value <= 0.05 AS survives FROM q""",
+)
+def bh_fdr_small(spark, sf_dir):
+    """P-values from 1 down to 1e-300: a thousand octaves of slices, all in one family."""
+    p = F.expr("(1 + event_id % 7 / 8.0D) / 2.0D * pow(2.0D, -(event_id * 31 % 997))").alias("p_value")
+    got = hypothesis.bh_fdr(t.table(spark, sf_dir, "events").select("event_id", p))
+    return got.select(
+        "event_id", F.round(-F.log10("p_value"), 6).alias("minus_log_p"), F.round(-F.log10("q_value"), 6).alias("minus_log_q"), "survives"
+    )
+
+
 @query(
     "consolidate_tests",
     t.with_views(

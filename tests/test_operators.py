@@ -255,6 +255,24 @@ def test_outlier_rejection_guards(spark):
     assert {r["label"]: r["count"] for r in kept} == {"few": 2, "flat": 5, "out": 8}
 
 
+def test_medians_of_clustered_clouds_leave_pairs_uncomputed(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, "many", (rng.normal(size=6) * 0.05 + 4 * (i % 5)).tolist()) for i in range(500)]
+    rows += [(1000 + i, "few", rng.normal(size=6).tolist()) for i in range(9)] + [(2000, "lone", [0.0] * 6)]
+    df = frame(spark, rows)
+    got = clouds.median_to_cloud(df, df, ["label"], "id", "id", exclude_self=True, left_rows=64, right_rows=100, computed="computed").collect()
+    by = {r["id"]: r for r in got}
+    assert len(by) == len(got) == 509
+    for label in ("many", "few"):
+        ids = [i for i, name, _ in rows if name == label]
+        x = np.array([v for _, name, v in rows if name == label])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).mean(axis=2))
+        for k, i in enumerate(ids):
+            assert by[i]["centrality"] == pytest.approx(np.median(np.delete(d[k], k)), rel=1e-12) and by[i]["n_pairs"] == len(ids) - 1
+    share = sum(r["computed"] for r in got if r["label"] == "many") / (500 * 499)
+    assert share < 0.7 and all(r["computed"] == 0 for r in got if r["label"] == "few")
+
+
 def test_funnel_counts_add_up(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, "x"), (5, "b")], "id int, label string")
     rules = [("empty", F.col("label") == ""), ("blocked", F.col("label") == "x"), ("never", F.lit(False))]
