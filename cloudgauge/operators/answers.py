@@ -203,16 +203,27 @@ def fill_template(
 # --- probes -------------------------------------------------------------------------------
 
 
-BITMAP_BITS = 24
-BITMAP_TASKS = 16
+BITS_PER_HEAD = 16
+PROBES = 3  # bits of one head; about 0.5 % of other windows meet all of them
+FILTER_BYTES = 32 << 20
+FILTER_TASKS = 16
+_LADDER: list[np.ndarray] = []
+
+
+def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, kept for the texts to come."""
+    if not _LADDER or len(_LADDER[0]) <= n:
+        size, base = max(1 << 12, 1 << (n + 1).bit_length()), 0x9E3779B97F4A7C15
+        one = np.ones(1, np.uint64)  # a plain 1 would turn the powers into floats
+        _LADDER[:] = [np.cumprod(np.concatenate([one, np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64))]
+    return _LADDER[0], _LADDER[1]
 
 
 def window_hashes(text: str, lengths: Sequence[int]) -> np.ndarray:
     """64-bit hashes of all windows of the given lengths (in characters) of a text."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n, base = len(points), 0x9E3779B97F4A7C15
-    powers = np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
-    inverse = np.cumprod(np.concatenate([[1], np.full(max(n - 1, 0), pow(base, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+    n = len(points)
+    powers, inverse = _ladder(n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * inverse[:n], dtype=np.uint64)])
     out = []
     for size in lengths:
@@ -223,34 +234,48 @@ def window_hashes(text: str, lengths: Sequence[int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def probe_verbatim(responses: DataFrame, id_col: str, text: str, passages: DataFrame, passage: str, width: int = 60) -> DataFrame:
-    """Does the response hold the first `width` characters of one of the passages?
+def filter_shape(n_heads: int, most_bytes: int = FILTER_BYTES) -> tuple[int, int]:
+    """(log2 of the bits of a filter, number of filters): 16 to 32 bits a head, cut by hash
+    into filters of at most `most_bytes` bytes."""
+    bits = max(1 << 12, 1 << (max(1, n_heads) * BITS_PER_HEAD - 1).bit_length())
+    most = 1 << ((8 * most_bytes).bit_length() - 1)
+    return min(bits, most).bit_length() - 1, max(1, bits // most)
 
-    Windows of a response are hashed where it lies and looked up in a bitmap of the
-    passages' hashes, two megabytes whatever their number; only windows that pass are
-    joined with the passages, and the text is compared in the end. Blank passages count
-    for nothing, shorter ones with their whole text.
-    """
-    heads = (
-        passages.filter(F.trim(passage) != "").select(F.substring(passage, 1, width).alias("__head")).distinct()
-    )
 
-    @F.pandas_udf("long")
-    def own_hash(column: pd.Series) -> pd.Series:
-        return pd.Series([int(window_hashes(t, [len(t)]).view(np.int64)[0]) for t in column], dtype="int64")
+def _places(value: np.ndarray, log_bits: int) -> Iterator[np.ndarray]:
+    """The bits that belong to a hash, one array a probe."""
+    mixed = value
+    for _ in range(PROBES):
+        yield mixed >> np.uint64(64 - log_bits)
+        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
 
-    heads = settled(heads.select("__head", F.length("__head").alias("__len"), own_hash("__head").alias("__hash")))
-    # no more lengths than `width`
-    lengths = sorted(r[0] for r in heads.select("__len").distinct().collect())
 
-    def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
-        for batch in batches:
-            bits[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+def passes_filter(value: np.ndarray, bits: np.ndarray, log_bits: int) -> np.ndarray:
+    ok = np.ones(len(value), bool)
+    for at in _places(value, log_bits):
+        ok &= ((bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+    return ok
+
+
+def filter_of(hashes: Iterator[np.ndarray], log_bits: int) -> np.ndarray:
+    bits = np.zeros(1 << log_bits, bool)
+    for value in hashes:
+        for at in _places(value, log_bits):
+            bits[at] = True
+    return np.packbits(bits)
 
-    packed = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
-    for row in heads.select("__hash").repartition(BITMAP_TASKS, "__hash").mapInArrow(bitmap, "bits binary").toLocalIterator():
+
+def _part_of(value: np.ndarray, parts: int) -> np.ndarray:
+    return (value % np.uint64(parts)).astype(np.int64)
+
+
+def _windows_by_broadcast(responses: DataFrame, text: str, heads: DataFrame, lengths: list[int], log_bits: int) -> DataFrame:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filter_of((np.asarray(b.column(0)).view(np.uint64) for b in batches), log_bits)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    packed = np.zeros(1 << log_bits - 3, np.uint8)
+    for row in heads.select("__hash").repartition(FILTER_TASKS, "__hash").mapInArrow(build, "bits binary").toLocalIterator():
         packed |= np.frombuffer(row["bits"], np.uint8)
     shared = responses.sparkSession.sparkContext.broadcast(packed)
 
@@ -259,12 +284,83 @@ def probe_verbatim(responses: DataFrame, id_col: str, text: str, passages: DataF
         bits, out = shared.value, []
         for t in column:
             value = window_hashes(t or "", lengths)
-            at = value >> np.uint64(64 - BITMAP_BITS)
-            held = (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
-            out.append(np.unique(value[held.astype(bool)]).view(np.int64))
+            out.append(np.unique(value[passes_filter(value, bits, log_bits)]).view(np.int64))
         return pd.Series(out)
 
-    windows = responses.select(id_col, text, F.explode(passing(F.col(text))).alias("__hash"))
+    return responses.select("*", F.explode(passing(F.col(text))).alias("__hash"))
+
+
+def _windows_by_part(responses: DataFrame, id_col: str, text: str, heads: DataFrame, lengths: list[int], log_bits: int, parts: int) -> DataFrame:
+    """The same with several filters: a text travels once to each of them."""
+    spark = responses.sparkSession
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+    id_type = responses.schema[id_col].dataType.simpleString()
+
+    def build(table: pa.Table) -> pa.Table:
+        bits = filter_of(iter([table["__hash"].to_numpy().view(np.uint64)]), log_bits)
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    part = F.pmod(F.conv(F.hex("__hash"), 16, 10).cast("decimal(20,0)"), F.lit(parts)).cast("int")
+    filters = heads.select(part.alias("part"), "__hash").groupBy("part").applyInArrow(build, "part int, bits binary")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = filters.withColumn("salt", every(salts)).select("part", "salt", F.lit(None).cast(id_type).alias(id_col), F.lit(None).cast("string").alias(text), "bits")
+    asked = responses.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).withColumn("part", every(parts))
+    asked = asked.select("part", "salt", id_col, text, F.lit(None).cast("binary").alias("bits"))
+    dealt = sent.unionByName(asked).repartition(max(parts * salts, 1), "part", "salt").sortWithinPartitions("part", "salt", F.col("bits").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, None
+        for batch in batches:
+            ids, texts, found = [], [], []
+            for i, (p, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if (p, s) != now:
+                    now, bits = (p, s), None
+                if (raw := batch.column(4)[i].as_py()) is not None:
+                    bits = np.frombuffer(raw, np.uint8)
+                elif bits is not None:  # a part without heads has no filter
+                    own = batch.column(3)[i].as_py()
+                    value = window_hashes(own or "", lengths)
+                    value = value[_part_of(value, parts) == p]
+                    value = np.unique(value[passes_filter(value, bits, log_bits)])
+                    ids += [i] * len(value)
+                    found.append(value.view(np.int64))
+            at = pa.array(ids, pa.int64())
+            hashes = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array(hashes)], names=[id_col, text, "__hash"])
+
+    return dealt.mapInArrow(run, f"`{id_col}` {id_type}, `{text}` string, __hash long")
+
+
+def probe_verbatim(
+    responses: DataFrame, id_col: str, text: str, passages: DataFrame, passage: str, width: int = 60, filter_bytes: int = FILTER_BYTES
+) -> DataFrame:
+    """Does the response hold the first `width` characters of one of the passages?
+
+    Windows of a response are hashed where it lies and looked up in a filter of the
+    passages' hashes, sized by their number, so that about one other window in 200 passes; only
+    windows that pass are joined with the passages, and the text is compared in the end.
+    A filter has at most `filter_bytes` bytes: more passages than fit are cut by hash, and
+    the texts go to one filter after another. Blank passages count for nothing, shorter
+    ones with their whole text.
+    """
+    heads = (
+        passages.filter(F.trim(passage) != "").select(F.substring(passage, 1, width).alias("__head")).distinct()
+    )
+
+    @F.pandas_udf("long")
+    def own_hash(column: pd.Series) -> pd.Series:
+        return pd.Series([int(window_hashes(t, [len(t)]).view(np.int64)[0]) for t in column], dtype="int64")
+
+    heads = settled(heads.select("__head", F.length("__head").alias("__len"), own_hash("__head").alias("__hash")))
+    # no more lengths than `width`
+    sizes = heads.groupBy("__len").count().collect()
+    lengths = sorted(r[0] for r in sizes)
+    log_bits, parts = filter_shape(sum(r[1] for r in sizes), filter_bytes)
+    slim = responses.select(id_col, text)
+    if parts == 1:
+        windows = _windows_by_broadcast(slim, text, heads, lengths, log_bits)
+    else:
+        windows = _windows_by_part(slim, id_col, text, heads, lengths, log_bits, parts)
     found = (
         windows.join(heads, "__hash")
         .filter(F.contains(F.col(text), F.col("__head")))

@@ -233,10 +233,13 @@ def sink_locked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.with_views(t.RECEIPTS_SQL) + "SELECT status, count(*) AS n, max(seq) AS last_seq FROM receipts GROUP BY status",
 )
 def sink_append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends to one log, read back."""
+    """Two batches appended to one log, one of them twice, and rows of an append that was
+    given up before it counted."""
     path = scratch_path(spark, "append-log")
     log = t.receipts(spark, sf_dir).select("seq", "cell_id", "status")
-    locks.sink_append_log(log.filter("status = 'ok'"), path)
-    locks.sink_append_log(log.filter("status <> 'ok'"), path)
-    back = files.scan_json_lines(spark, path, log.schema)
+    locks.sink_append_log(log.filter("status = 'ok'"), path, "ok")
+    locks.sink_append_log(log.filter("status <> 'ok'"), path, "rest")
+    locks.sink_append_log(log.filter("status = 'ok'"), path, "ok")
+    log.write.json(f"{path}/data/attempt=given-up")
+    back = locks.scan_append_log(spark, path, log.schema)
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class FingerprintMismatch(RuntimeError):
@@ -74,6 +79,40 @@ def sink_locked_table(df: DataFrame, path: str, manifest_path: str, name: str) -
     return spark.read.parquet(manifest_path).filter(F.col("name") == name)
 
 
-def sink_append_log(df: DataFrame, path: str) -> None:
-    """Append log rows as JSON lines; concurrent writers add files, never touch others'."""
-    df.write.mode("append").json(path)
+def sink_append_log(df: DataFrame, path: str, batch: str) -> bool:
+    """Append log rows as JSON lines, once per `batch`: False if that batch is there already.
+
+    Rows are staged in a folder of this attempt; then one small file, which can be created
+    only once, names the attempt that counts. An append that is killed before leaves rows
+    that no reader sees, and a batch that is sent again, also by two drivers at a time,
+    stays one copy. Concurrent writers of other batches do not meet. `scan_append_log` reads the log.
+    """
+    fs, commit = _file_system(df.sparkSession, f"{path}/commits/{quote(batch, safe='')}")
+    if fs.exists(commit):
+        return False
+    attempt = uuid.uuid4().hex
+    df.write.json(f"{path}/data/attempt={attempt}")
+    try:
+        out = fs.create(commit, False)
+    except Py4JJavaError as e:
+        if fs.exists(commit):  # another driver was first
+            return False
+        raise e
+    out.write(bytearray((attempt + "\n").encode()))
+    out.close()
+    return True
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def scan_append_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of the appended batches that are committed; no log yet is an empty table."""
+    fs, commits = _file_system(spark, f"{path}/commits")
+    if not fs.exists(commits):
+        return spark.createDataFrame([], schema)
+    counted = spark.read.text(f"{path}/commits").select(F.col("value").alias("attempt")).filter("attempt <> ''")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])).json(f"{path}/data")
+    return rows.join(counted, "attempt", "left_semi").drop("attempt")

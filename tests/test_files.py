@@ -102,3 +102,19 @@ def test_row_numbers_are_those_of_a_csv_reader(spark, tmp_path, split_bytes):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(rows, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+
+
+def test_appends_count_once(spark, tmp_path, monkeypatch):
+    path, df = f"{tmp_path}/log", spark.range(5).withColumnRenamed("id", "seq")
+    assert locks.scan_append_log(spark, path, df.schema).count() == 0
+    assert locks.sink_append_log(df, path, "a/1")
+    assert not locks.sink_append_log(df, path, "a/1")
+    assert locks.sink_append_log(df.filter("false"), path, "nothing")
+    with monkeypatch.context() as m:  # killed between the rows and the record
+        m.setattr(locks, "quote", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            locks.sink_append_log(df, path, "b")
+    df.write.json(f"{path}/data/attempt=killed")
+    assert sorted(r.seq for r in locks.scan_append_log(spark, path, df.schema).collect()) == [0, 1, 2, 3, 4]
+    assert locks.sink_append_log(df.withColumn("seq", df.seq + 10), path, "b")
+    assert locks.scan_append_log(spark, path, df.schema).count() == 10

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import PARAM_NAMES
-from cloudgauge.operators import blocks, cleaning, clouds, dispersion, hypothesis, mixtures, ranks, render, retrieval, sampling, selection, structure
+from cloudgauge.operators import answers, blocks, cleaning, clouds, dispersion, hypothesis, mixtures, ranks, render, retrieval, sampling, selection, structure
 from cloudgauge.plans import tables
 
 
@@ -388,3 +388,37 @@ def test_regressor_recovers_a_linear_map(spark):
     for r in got:
         assert np.allclose(r["prediction"], y[r["id"]], atol=1e-4)
         assert r["seed_spread"] < 1e-4
+
+
+def test_verbatim_probe_with_one_filter_and_several(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefgh é𝔘"))
+    make = lambda n: "".join(rng.choice(letters, n))
+    passages = [make(int(n)) for n in rng.integers(5, 90, 400)] + ["   ", ""]
+    texts = [(i, make(300) + (passages[i % 400][:60] if i % 3 == 0 else "") + make(20)) for i in range(120)] + [(500, None), (501, "I cannot recall"), (502, passages[7])]
+    responses = spark.createDataFrame(texts, "id long, text string")
+    side = spark.createDataFrame([(p,) for p in passages], "p string")
+    heads = [p[:60] for p in passages if p.strip()]
+    want = {i: any(h in (t or "") for h in heads) for i, t in texts}
+    for most in (answers.FILTER_BYTES, 512):
+        got = answers.probe_verbatim(responses, "id", "text", side, "p", filter_bytes=most).collect()
+        assert {r["id"]: r["verbatim"] == "verbatim_recall" for r in got} == want and len(got) == len(texts)
+    assert answers.filter_shape(402, 512)[1] > 1 and answers.filter_shape(10_000_000) == (28, 1)
+
+
+def test_few_other_windows_pass_the_filter():
+    rng = np.random.default_rng(5)
+    log_bits, _ = answers.filter_shape(1_000_000)
+    inside, other = rng.integers(0, 1 << 63, (2, 1_000_000), dtype=np.uint64) * np.uint64(2)
+    bits = answers.filter_of(iter([inside]), log_bits)
+    assert answers.passes_filter(inside, bits, log_bits).all()
+    assert answers.passes_filter(other, bits, log_bits).mean() < 0.01
+
+
+def test_hash_of_a_window_does_not_depend_on_its_place():
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdé𝔘 "), 5000))
+    for size in (1, 5, 6, 7, 60):
+        hashes = answers.window_hashes(text, [size])
+        assert all(hashes[at] == answers.window_hashes(text[at : at + size], [size])[0] for at in (0, 1, 77, 4000, 5000 - size))
+        assert len(set(hashes.tolist())) == len({text[i : i + size] for i in range(5000 - size + 1)})
