@@ -6,7 +6,9 @@ import ctypes
 import gc
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,10 +85,15 @@ class Store:
             self.shrink()
 
     def shrink(self) -> None:
-        if len(self.entries) > self.rest:
-            kept = self.times.most_common(self.rest)
-            self.entries = {k: self.entries[k] for k, _ in kept}
-            self.times = Counter({k: n // 2 for k, n in kept})
+        if len(self.entries) <= self.rest:
+            return
+        times = np.fromiter(self.times.values(), np.int64, len(self.times))
+        least = int(np.partition(times, -self.rest)[-self.rest])
+        room = self.rest - int((times > least).sum())  # for entries that were asked for just as often as the last
+        kept = {k: n for k, n in self.times.items() if n > least}
+        kept.update(islice(((k, n) for k, n in self.times.items() if n == least), room))
+        self.entries = {k: self.entries[k] for k in kept}
+        self.times = Counter({k: n // 2 for k, n in kept.items()})
 
 
 def hand_back_memory() -> None:

@@ -41,32 +41,31 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
-        # a token that is found in the text as it is, wherever it stands
-        sure = [(i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.single_word)]
-        self.cutter_id, self.cutter = sure[-1] if sure else (None, None)
-        self.known = Store()
+        # a rare mark that is one token, to tell the chunks of a text apart
+        marks = ((m, self.tokenizer.encode(m, add_special_tokens=False).ids) for m in "¬§¶†‡¤«»~")
+        self.mark, self.mark_id = next(((m, ids[0]) for m, ids in marks if len(ids) == 1), (None, None))
+        self.known = Store(most=600_000, rest=150_000)
 
     @staticmethod
     def cut(text: str) -> list[str]:
         return STOP.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
 
     def learn(self, new: list[str]) -> None:
-        """Many chunks in one text, each followed by a special token, which cuts it off."""
-        special = [c for c in new if self.cutter is None or any(name in c for name in self.special)]
-        for chunk in special:
-            self.known.entries[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = [c for c in new if c not in self.known.entries] if special else new
-        for low in range(0, len(plain), ENCODE_AT_ONCE):
-            part = plain[low : low + ENCODE_AT_ONCE]
-            [encoded] = self.tokenizer.encode_batch_fast([self.cutter.join([*part, ""])], add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            ends = (4 * np.flatnonzero(ids == self.cutter_id)).tolist()
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(part, ends, strict=True):
-                self.known.entries[chunk] = raw[start:end]
-                start = end + 4
+        """Many chunks as one text, with a mark after each. Should a chunk hold the mark
+        itself, there are too many of them, and these chunks are encoded one by one."""
+        for low in range(0, len(new), ENCODE_AT_ONCE):
+            part = new[low : low + ENCODE_AT_ONCE]
+            ends = []
+            if self.mark is not None:
+                joined = f" {self.mark} ".join([*part, ""])
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                ends = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            if len(ends) == len(part):
+                raw, starts = ids.tobytes(), [0, *[e + 4 for e in ends]]
+                self.known.entries.update((c, raw[i:j]) for c, i, j in zip(part, starts, ends, strict=False))
+            else:
+                each = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                self.known.entries.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, each, strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, four little-endian bytes each."""
