@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -39,7 +40,8 @@ def main() -> None:
     from cloudgauge.plans import QUERIES
     from cloudgauge.session import local_session
 
-    spark = local_session(cores=cpus, partitions=cpus, app="cloudgauge-bench")
+    scratch = tempfile.TemporaryDirectory(prefix="cloudgauge-bench-")
+    spark = local_session(cores=cpus, partitions=cpus, app="cloudgauge-bench", scratch=scratch.name)
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     # one small job first, so that the first query does not pay for starting the workers
@@ -54,6 +56,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": took, "sf": sf}))
     spark.stop()
+    scratch.cleanup()
 
 
 if __name__ == "__main__":

@@ -173,6 +173,29 @@ def chi_square_gof(
     )
 
 
+def chi_square_counts(
+    observed: DataFrame, shares: DataFrame, by: list[str], category: str, count: str, share: str, min_n: int = 20, min_expected: float = 1.0
+) -> DataFrame:
+    """The same test from the counts that are not zero (one row per group and category)
+    and the shares (one row per category, all of them, adding up to 1): categories are
+    joined, and those a group has not seen enter through the sum of what is expected."""
+    seen = observed.join(shares.select(category, share), category)
+    total = seen.groupBy(*by).agg(F.sum(count).alias("n"))
+    joined = seen.join(total, by).withColumn("__e", F.col(share) * F.col("n"))
+    gap = F.col(count) - F.col("__e")
+    agg = joined.groupBy(*by).agg(
+        F.max("n").alias("n"), F.sum(gap * gap / F.nullif(F.col("__e"), F.lit(0.0))).alias("__x"), F.sum("__e").alias("__seen")
+    )
+    # the shares as a whole are one row
+    whole = shares.agg(F.count(F.lit(1)).alias("k"), F.min(share).alias("__least"))
+    agg = agg.join(F.broadcast(whole)).withColumn("min_expected", F.col("__least") * F.col("n"))
+    usable = (F.col("n") >= min_n) & (F.col("min_expected") >= min_expected)
+    unseen = F.greatest(F.col("n") - F.col("__seen"), F.lit(0.0))
+    return agg.select(*by, "n", "k", "min_expected", F.when(usable, F.col("__x") + unseen).alias("chi2")).withColumn(
+        "p_value", pvalues.chi2_sf(F.col("chi2"), F.col("k").cast("int") - 1)
+    )
+
+
 # --- bootstrap -------------------------------------------------------------------------
 
 

@@ -202,7 +202,10 @@ def embedding_regressor(
         return (full.T @ full).ravel()
 
     sums = moments.sum_vectors(drawn, ["__seed"], cross).collect()
-    dx = predict.select(F.size(x)).first()[0]
+    width = train.select(F.size(x)).first()
+    if width is None:
+        raise ValueError("no rows to train on")
+    dx = width[0]
     fits = []
     for r in sorted(sums, key=lambda r: r["__seed"]):
         d = int(round(math.sqrt(len(r["sums"]))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cloudgauge.functions.params import PARAM_NAMES
@@ -26,6 +28,36 @@ def pca_curves_95(spark, sf_dir):
     return got.select("label", "n", F.size("ratio").alias("n_components"))
 
 
+@query(
+    "pca_two_columns",
+    t.with_views(
+        t.CURVES_SQL,
+        "c2 AS (SELECT label, vec[1] AS x, vec[2] AS y FROM curves)",
+        "cov AS (SELECT label, count(*) AS n, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM c2 GROUP BY label)",
+        "val AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM cov)",
+        "pairs AS (SELECT label, n, 0 AS component, l1 AS l, l1 + l2 AS total, b, l1 - a AS d FROM val UNION ALL SELECT label, n, 1, l2, l1 + l2, b, l2 - a FROM val)",
+        "unit AS (SELECT *, b / sqrt(b * b + d * d) AS u, d / sqrt(b * b + d * d) AS v FROM pairs)",
+    )
+    + "SELECT label, n, component, round(l, 6) AS explained, round(l / total, 6) AS variance_share,"
+    " round(CASE WHEN abs(u) >= abs(v) THEN abs(u) ELSE u * sign(v) END, 5) AS loading_x, round(CASE WHEN abs(u) >= abs(v) THEN v * sign(u) ELSE abs(v) END, 5) AS loading_y FROM unit",
+)
+def pca_two_columns(spark, sf_dir):
+    """Components of two columns, whose values and directions have a closed form."""
+    rows = t.curves(spark, sf_dir).withColumn("vec", F.slice("vec", 1, 2))
+    got = structure.pca_curves(rows, ["label"], k=2)
+    each = got.select("label", "n", F.posexplode("ratio").alias("component", "share"), "explained", "components")
+    load = lambda i: F.get("components", 2 * F.col("component") + i)
+    return each.select(
+        "label",
+        "n",
+        "component",
+        F.round(F.get("explained", F.col("component")), 6).alias("explained"),
+        F.round("share", 6).alias("variance_share"),
+        F.round(load(0), 5).alias("loading_x"),
+        F.round(load(1), 5).alias("loading_y"),
+    )
+
+
 def _scores(spark, sf_dir, k=10):
     df = t.curves(spark, sf_dir)
     model = structure.pca_curves(df, ["label"], k=k)
@@ -173,25 +205,50 @@ def permutation_null(spark, sf_dir):
     return structure.permutation_null(_features(spark, sf_dir), ["label"], "vec_id", "x", "y").select("label", "n", "r2")
 
 
+# A ridge from one column to another: every step of the operator is short enough for SQL.
+_RIDGE_SQL = (
+    "folded AS (SELECT label, CAST('0x' || substr(md5(concat_ws(':', '42:fold', CAST(vec_id AS STRING))), 1, 8) AS BIGINT) % 5 AS f, vec[1] AS x, vec[2] AS y FROM curves)",
+    "folds AS (SELECT DISTINCT label, f FROM folded)",
+    "trained AS (SELECT o.label, o.f, count(*) AS nt, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS vx, avg(x * y) - avg(x) * avg(y) AS vxy FROM folds o JOIN folded r ON r.label = o.label AND r.f <> o.f GROUP BY o.label, o.f)",
+    "fitted AS (SELECT label, f, mx, my, nt * vxy / (vx * (nt + 10)) AS b FROM trained)",
+    "errors AS (SELECT label, count(*) AS n, sum((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS sse FROM folded JOIN fitted USING (label, f) GROUP BY label)",
+    "spreads AS (SELECT label, var_pop(y) * count(*) AS sst FROM folded GROUP BY label)",
+    "explained AS (SELECT label, n, greatest(-1, 1 - sse / sst) AS r2 FROM errors JOIN spreads USING (label))",
+)
+
+
+def _one_column_r2(spark, sf_dir):
+    rows = t.curves(spark, sf_dir).select("vec_id", "label", F.slice("vec", 1, 1).alias("x"), F.slice("vec", 2, 1).alias("y"))
+    return structure.ridge_cv_r2(rows, ["label"], "vec_id", "x", "y").select("label", "n", "r2")
+
+
+@query("ridge_one_column", t.with_views(t.CURVES_SQL, *_RIDGE_SQL) + "SELECT label, n, round(r2, 6) AS r2 FROM explained")
+def ridge_one_column(spark, sf_dir):
+    """The second column of every curve from the first, out of fold."""
+    return _one_column_r2(spark, sf_dir).withColumn("r2", F.round("r2", 6))
+
+
 @query(
     "residual_dispersion",
     t.with_views(
         t.CURVES_SQL,
+        *_RIDGE_SQL,
         "long AS (SELECT vec_id, label, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM curves)",
         "m AS (SELECT label, i, avg(x) AS m FROM long GROUP BY label, i)",
         "d AS (SELECT vec_id, label, sqrt(avg((x - m) * (x - m))) AS d FROM long JOIN m USING (label, i) GROUP BY vec_id, label)",
-        "g AS (SELECT label, avg(d) AS raw, (CAST(label AS INTEGER) - 2) / 10E0 AS r2 FROM d GROUP BY label)",
+        "g AS (SELECT label, avg(d) AS raw FROM d GROUP BY label)",
     )
-    + "SELECT label, round(raw, 6) AS raw, round(raw * sqrt(least(greatest(1 - r2, 0), 1)), 6) AS residual FROM g",
+    + "SELECT label, round(raw, 6) AS raw, round(r2, 6) AS r2, round(raw * sqrt(least(greatest(1 - r2, 0), 1)), 6) AS residual FROM g JOIN explained USING (label)",
 )
 def residual_dispersion(spark, sf_dir):
-    """With shares of explained variance from -0.2 to 0.7, one per label."""
+    """What is left of each label's dispersion by the share that a fitted ridge explains."""
     raw = dispersion.dispersion_to_centroid(t.curves(spark, sf_dir), ["label"])
-    r2 = (F.col("label").cast("int") - 2) / 10.0
-    return raw.select(
+    joined = raw.join(_one_column_r2(spark, sf_dir).select("label", "r2"), "label")
+    return joined.select(
         "label",
         F.round("dispersion", 6).alias("raw"),
-        F.round(structure.residual_dispersion(F.col("dispersion"), r2), 6).alias("residual"),
+        F.round("r2", 6).alias("r2"),
+        F.round(structure.residual_dispersion(F.col("dispersion"), F.col("r2")), 6).alias("residual"),
     )
 
 
@@ -219,6 +276,28 @@ def embedding_regressor(spark, sf_dir):
     return got.select("vec_id", "label", "prediction", F.size("prediction").alias("n_targets"), "seed_spread")
 
 
+_POISSON = [sum(math.exp(-1.0) / math.factorial(j) for j in range(i + 1)) for i in range(12)]
+
+
+@query(
+    "embedding_regressor_one_column",
+    t.with_views(
+        t.CURVES_SQL,
+        "rows2 AS (SELECT vec_id, label, vec[1] AS x, vec[2] AS y FROM curves)",
+        "drawn AS (SELECT s, x, y, CAST('0x' || substr(md5(concat_ws(':', 'boot', CAST(s AS STRING), CAST(vec_id AS STRING))), 1, 8) AS BIGINT) / 4294967296E0 AS u FROM rows2, (VALUES (0), (1), (2)) v(s) WHERE vec_id % 7 >= 3)",
+        f"weighted AS (SELECT s, x, y, {' + '.join(f'CASE WHEN u > {c!r} THEN 1 ELSE 0 END' for c in _POISSON)} AS w FROM drawn)",
+        "means AS (SELECT s, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM weighted GROUP BY s)",
+        "fits AS (SELECT s, mx, my, sum(w * (x - mx) * (y - my)) / (sum(w * (x - mx) * (x - mx)) + 1) AS b FROM weighted JOIN means USING (s) GROUP BY s, mx, my)",
+    )
+    + "SELECT vec_id, round(avg(my + b * (x - mx)), 6) AS prediction, round(stddev_pop(my + b * (x - mx)), 6) AS seed_spread FROM rows2, fits WHERE vec_id % 7 < 3 GROUP BY vec_id",
+)
+def embedding_regressor_one_column(spark, sf_dir):
+    """From one column to another, so that SQL can make the same replicates and fits."""
+    rows = t.curves(spark, sf_dir).select("vec_id", F.slice("vec", 1, 1).alias("x"), F.slice("vec", 2, 1).alias("y"))
+    got = structure.embedding_regressor(rows.filter("vec_id % 7 >= 3"), rows.filter("vec_id % 7 < 3").select("vec_id", "x"), "vec_id", "x", "y")
+    return got.select("vec_id", F.round(F.col("prediction")[0], 6).alias("prediction"), F.round("seed_spread", 6).alias("seed_spread"))
+
+
 @query("mode_gof")
 def mode_gof(spark, sf_dir):
     """Goodness of fit of every arm's mode counts against the shares of the whole cloud."""

@@ -92,20 +92,51 @@ def render_table_job(spark, sf_dir):
 
 @query(
     "render_checks",
-    t.with_views(t.SETTINGS_SQL) + "SELECT descriptor, count(*) AS n_curves, 0 AS n_violations FROM settings GROUP BY descriptor",
+    t.with_views(t.SETTINGS_SQL)
+    + """SELECT name, descriptor, count(*) AS n_curves, 0 AS n_violations
+FROM settings, (VALUES ('flat'), ('peak'), ('low_shelf'), ('high_shelf'), ('cancellation'), ('grid')) v(name) GROUP BY name, descriptor""",
 )
 def render_checks(spark, sf_dir):
-    """Data check on every rendered row: the curve of the negated gains must cancel it."""
+    """The six analytic checks of the renderer on every row's settings: without gains the
+    curve is flat; one filter alone, with the row's gain (within 6 dB) at the frequency of
+    the check, has that gain where it should and none far from there; negated gains cancel;
+    the grid has its ends and its length."""
     rows = t.settings(spark, sf_dir).select("id", "descriptor", *PARAM_NAMES)
-    pair = render.curve_vector()
-    both = rows.withColumn("__up", pair).withColumns({g: -F.col(g) for g in GAINS}).withColumn("__down", pair)
-    points = both.select("descriptor", "id", F.inline(F.arrays_zip("__up", "__down")))
-    bad = ~(F.abs(F.col("__up") + F.col("__down")) < 0.05)
-    # both curves of a row sit in one partition, so the per-row fold needs no shuffle of points
-    per_row = points.groupBy("descriptor", "id").agg(F.bool_or(F.coalesce(bad, F.lit(True))).alias("bad"))
-    return per_row.groupBy("descriptor").agg(
-        F.count(F.lit(1)).alias("n_curves"), F.count_if("bad").alias("n_violations")
+    hz = render.grid_hz()
+    near = lambda f: min(range(len(hz)), key=lambda i: abs(hz[i] - f)) + 1
+    curve = render.curve_vector()
+    silent = {g: F.lit(0.0) for g in GAINS}
+
+    def only(gain: str, **fixed: float) -> dict:
+        scaled = F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col(gain)))
+        return {**silent, **{k: F.lit(v) for k, v in fixed.items()}, gain: scaled}
+
+    def at(place: int, want, tolerance: float):  # noqa: ANN001, ANN202
+        return F.abs(F.element_at("__c", place) - want) < tolerance
+
+    none = F.lit(0.0)
+    checks = {
+        "flat": (silent, F.forall("__c", lambda x: F.abs(x) < 0.01)),
+        "peak": (only("band2_gain", band2_freq=1000.0, band2_q=1.0), at(near(1000.0), F.col("band2_gain"), 0.05) & at(1, none, 0.1) & at(len(hz), none, 0.1)),
+        "low_shelf": (only("low_shelf_gain", low_shelf_freq=100.0), at(1, F.col("low_shelf_gain"), 0.3) & at(near(10000.0), none, 0.1)),
+        "high_shelf": (only("high_shelf_gain", high_shelf_freq=10000.0), at(len(hz), F.col("high_shelf_gain"), 0.5) & at(near(100.0), none, 0.1)),
+    }
+    found = []
+    for name, (changed, fine) in checks.items():
+        drawn = rows.withColumns(changed).withColumn("__c", curve)
+        found.append(drawn.select(F.lit(name).alias("name"), "descriptor", fine.alias("fine")))
+    both = rows.withColumn("__up", curve).withColumns({g: -F.col(g) for g in GAINS}).withColumn("__down", curve)
+    cancel = F.forall(F.zip_with("__up", "__down", lambda a, b: F.abs(a + b)), lambda x: x < 0.05)
+    found.append(both.select(F.lit("cancellation").alias("name"), "descriptor", cancel.alias("fine")))
+    ends = render.frequency_grid(spark).agg(
+        ((F.abs(F.min("freq_hz") / render.GRID_LOW_HZ - 1) < 1e-9) & (F.abs(F.max("freq_hz") / render.GRID_HIGH_HZ - 1) < 1e-9) & (F.count_distinct("freq_hz") == render.GRID_POINTS)).alias("fine")
     )
+    found.append(rows.select("descriptor").join(F.broadcast(ends)).select(F.lit("grid").alias("name"), "descriptor", "fine"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    bad = F.count_if(~F.coalesce("fine", F.lit(False)))
+    return every.groupBy("name", "descriptor").agg(F.count(F.lit(1)).alias("n_curves"), bad.alias("n_violations"))
 
 
 @query(

@@ -151,19 +151,10 @@ gof AS (SELECT *, {chi2_p_sql('chi2', '(k - 1)')} AS p FROM chi)"""
 def gof(spark, sf_dir):
     orders = t.table(spark, sf_dir, "orders")
     counts = orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("observed"))
-    # the shares of the priority codes as one array row, unfolded for every status
-    priorities = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("c"))
-    shares = priorities.agg(F.collect_list(F.struct("o_orderpriority", "c")).alias("__p"), F.sum("c").alias("__n"))
-    cells = (
-        orders.select("o_orderstatus")
-        .distinct()
-        .join(F.broadcast(shares))
-        .select("o_orderstatus", "__n", F.inline("__p"))
-        .withColumn("share", F.col("c") / F.col("__n"))
-        .join(counts, ["o_orderstatus", "o_orderpriority"], "left")
-        .fillna(0, subset=["observed"])
-    )
-    return hypothesis.chi_square_gof(cells, ["o_orderstatus"], "observed", "share")
+    total = orders.agg(F.count(F.lit(1)).alias("__n"))
+    priorities = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(total))
+    shares = priorities.select("o_orderpriority", (F.col("c") / F.col("__n")).alias("share"))
+    return hypothesis.chi_square_counts(counts, shares, ["o_orderstatus"], "o_orderpriority", "observed", "share")
 
 
 @query(
@@ -199,15 +190,10 @@ def chi_square_gof_many(spark, sf_dir):
         "l_returnflag", F.expr("l_partkey * 2 + CASE WHEN l_linenumber > 2 THEN 1 ELSE 0 END").alias("cell")
     )
     counts = lines.groupBy("l_returnflag", "cell").agg(F.count(F.lit(1)).alias("observed"))
-    per_cell = counts.groupBy("cell").agg(F.sum("observed").alias("c"), F.map_from_entries(F.collect_list(F.struct("l_returnflag", "observed"))).alias("by_flag"))
-    # a return flag is one of a few letters; the cells are never put into one row
-    flags = counts.groupBy("l_returnflag").agg(F.sum("observed").alias("flag_n"))
-    known = flags.agg(F.collect_set("l_returnflag").alias("flags"), F.sum("flag_n").alias("all"))
-    cells = per_cell.join(F.broadcast(known)).select(
-        F.explode("flags").alias("l_returnflag"), "by_flag", (F.col("c") / F.col("all")).alias("share")
-    )
-    cells = cells.withColumn("observed", F.coalesce(F.expr("by_flag[l_returnflag]"), F.lit(0)))
-    got = hypothesis.chi_square_gof(cells, ["l_returnflag"], "observed", "share", min_expected=0.0)
+    total = lines.agg(F.count(F.lit(1)).alias("all"))
+    per_cell = counts.groupBy("cell").agg(F.sum("observed").alias("c")).join(F.broadcast(total))
+    shares = per_cell.select("cell", (F.col("c") / F.col("all")).alias("share"))
+    got = hypothesis.chi_square_counts(counts, shares, ["l_returnflag"], "cell", "observed", "share", min_expected=0.0)
     return _p_cols(got).select("l_returnflag", "n", "k", F.round("chi2", 6).alias("chi2"), "p_value")
 
 

@@ -17,9 +17,11 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_FALLBACK: list[str] = []
 
 
-def local_session(cores: int | str = 8, partitions: int = 8, app: str = "cloudgauge") -> SparkSession:
+def local_session(cores: int | str = 8, partitions: int = 8, app: str = "cloudgauge", scratch: str | None = None) -> SparkSession:
+    """A session on this machine; `scratch` names the folder for intermediate tables."""
+    builder = SparkSession.builder if scratch is None else SparkSession.builder.config(CHECKPOINT_KEY, scratch)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -11,8 +11,9 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, partitions=4, app="cloudgauge-tests")
+def spark(tmp_path_factory):
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    session = local_session(cores=8, partitions=4, app="cloudgauge-tests", scratch=scratch)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

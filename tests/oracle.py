@@ -16,14 +16,14 @@ import duckdb
 
 # queries without SQL, and the test that holds their operator against another computation
 CHECKED_ELSEWHERE = {
-    "pca_curves": "test_operators.py",
+    "pca_curves": "test_operators.py, and SQL in pca_two_columns",
     "pca_curves_95": "test_operators.py",
     "gmm_select_by_bic": "test_operators.py: test_mixture_has_the_likelihood_it_reports, and SQL in gmm_two_columns",
     "assign_modes": "test_operators.py: test_mixture_has_the_likelihood_it_reports, and SQL in assign_fixed_modes",
     "mode_gof": "test_operators.py, and SQL in assign_fixed_modes and chi_square_gof",
-    "ridge_cv_r2": "test_operators.py",
+    "ridge_cv_r2": "test_operators.py, and SQL in ridge_one_column",
     "permutation_null": "test_operators.py",
-    "embedding_regressor": "test_operators.py",
+    "embedding_regressor": "test_operators.py, and SQL in embedding_regressor_one_column",
     "bootstrap_ci_median_large": "test_operators.py: test_bootstrap_has_the_distribution_of_resampling",
 }
 

@@ -422,3 +422,9 @@ def test_hash_of_a_window_does_not_depend_on_its_place():
         hashes = answers.window_hashes(text, [size])
         assert all(hashes[at] == answers.window_hashes(text[at : at + size], [size])[0] for at in (0, 1, 77, 4000, 5000 - size))
         assert len(set(hashes.tolist())) == len({text[i : i + size] for i in range(5000 - size + 1)})
+
+
+def test_regressor_on_an_empty_predict_table(spark):
+    df = spark.createDataFrame([(i, [float(i)], [2.0 * i]) for i in range(9)], "id long, x array<double>, y array<double>")
+    got = structure.embedding_regressor(df, df.select("id", "x").filter("false"), "id", "x", "y")
+    assert got.columns == ["id", "prediction", "seed_spread"] and got.count() == 0
