@@ -117,10 +117,9 @@ def test_answers_agree_with_a_strict_reader(spark):
             assert row["answer"].asDict() == want
 
 
-@pytest.mark.parametrize("bits", [24, 3])
-def test_probe_finds_heads_of_any_length(spark, monkeypatch, bits):
-    """Also with a bitmap of eight bits, which lets nearly every window pass."""
-    monkeypatch.setattr(answers, "BITMAP_BITS", bits)
+@pytest.mark.parametrize("filter_bytes", [answers.FILTER_BYTES, 64])
+def test_probe_finds_heads_of_any_length(spark, filter_bytes):
+    """Also with eight filters of 512 bits."""
     rng = np.random.default_rng(3)
     words = ["alpha", "beta", "gamma", "delta"]
     texts = [" ".join(rng.choice(words, 40)) for _ in range(30)]
@@ -128,7 +127,7 @@ def test_probe_finds_heads_of_any_length(spark, monkeypatch, bits):
     passages = [t[7:90] for t in texts[:5]] + ["short", "  ", "gamma delta", "𝔘nd gut süß", "x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     refs = spark.createDataFrame([(p,) for p in passages], "passage string")
-    joined = answers.probe_verbatim(docs, "id", "text", refs, "passage").select("id", "verbatim").collect()
+    joined = answers.probe_verbatim(docs, "id", "text", refs, "passage", filter_bytes=filter_bytes).select("id", "verbatim").collect()
     assert len(joined) == len(texts)
     for r in joined:
         hit = any(p[:60] in texts[r["id"]] for p in passages if p.strip())
