@@ -262,15 +262,18 @@ def repeated_spans(texts: DataFrame, min_bytes: int) -> DataFrame:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD_BYTES)))
     judged = written(sort_shards(take_contexts(texts, kinds), min_bytes, shards), "sorted-contexts")
     release_shuffles(spark)
-    each = judged.select("anchor", "context", F.inline("spans").alias("from", "to"))
-    from_mixed = mixed.join(each, ["anchor", "context"]).select(
-        "text_id", (F.col("low") + F.col("from")).alias("start"), (F.col("low") + F.col("to")).alias("end")
+    # a text may hold one context in very many places, so it is met once and not once a place
+    places = mixed.groupBy("text_id", "anchor", "context").agg(F.collect_list("low").alias("lows"))
+    shifted = lambda low: F.transform("spans", lambda s: F.struct((low + s["low"]).alias("start"), (low + s["high"]).alias("end")))
+    from_mixed = places.join(judged.filter(F.size("spans") > 0), ["anchor", "context"]).select(
+        "text_id", F.flatten(F.transform("lows", shifted)).alias("spans")
     )
-    from_uniform = found.filter("uniform").select("text_id", F.col("low").alias("start"), F.col("high").alias("end"))
+    one = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end"))).alias("spans")
+    from_uniform = found.filter("uniform").select("text_id", one(F.col("low"), F.col("high")))
     copied = texts.groupBy("text_id").agg(F.count("*").alias("n")).filter("n > 1")
-    whole = copied.select("text_id", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"))
-    spans = from_mixed.union(from_uniform).union(whole).distinct()
-    out = written(spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    whole = copied.select("text_id", one(F.lit(0), F.lit(WHOLE)))
+    spans = from_mixed.union(from_uniform).union(whole)
+    out = written(spans.groupBy("text_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "repeated-spans")
     release_shuffles(spark)
     return out
 
