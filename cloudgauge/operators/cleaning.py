@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from cloudgauge.functions import text
 from cloudgauge.functions.params import FREQS, GAINS, PARAM_NAMES, RAW_GAIN_LIMIT
+from cloudgauge.session import settled
 
 Rule = tuple[str, Column]
 
 # Label-count classes, lower bound first.
 COUNT_BUCKETS = [(20, ">=20"), (10, "10-19"), (5, "5-9"), (2, "2-4"), (1, "singleton")]
 
+PROFILE_CELLS = 1 << 18  # hash cells of all profiled columns
+SUMMARY_ITEMS = 4096  # values a task's summary keeps track of
+CANDIDATES = 64
+
 
 def parse_numeric_block(df: DataFrame, cols: Sequence[str], ok: str = "parse_ok") -> DataFrame:
     """Text columns to doubles in place, with a flag that all of them parsed.
@@ -196,26 +201,57 @@ def duplicate_report(df: DataFrame, key: Sequence[Column]) -> DataFrame:
     )
 
 
+def _as_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value) of the given columns as trimmed text, `<blank>` for empty."""
+    shown = [F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("<blank>")).alias(c) for c in cols]
+    return df.select(*shown).unpivot([], list(cols), "column_name", "value")
+
+
+def top_values(df: DataFrame, cols: Sequence[str], top: int = 8, cells: int = PROFILE_CELLS) -> DataFrame:
+    """Per column the `top` most frequent values and their exact counts (column_name, value,
+    n, rank); ties go to the smaller value.
+
+    A mergeable summary per task names candidates. A second pass counts these exactly and
+    all other rows by hash cell, `cells` over all columns: no value is more frequent than
+    its cell, so only cells that reach the last of the best candidates are open, and only
+    values of open cells are counted one by one in a third pass, which is empty where
+    nothing is open. What is shuffled are the summaries, the cells and the values of open
+    cells; of a column that is near unique that may be every value. The input is read once
+    a pass: settle it first if it is costly.
+    """
+    per_column = max(1024, cells // len(cols))
+    values = _as_text(df, cols).withColumn("cell", F.pmod(F.xxhash64("value"), F.lit(per_column)))
+    tracked = max(CANDIDATES, 2 * top)
+    guess = values.groupBy("column_name").agg(F.expr(f"approx_top_k(value, {tracked}, {max(SUMMARY_ITEMS, tracked)})").alias("best"))
+    # at most `tracked` values a column
+    candidates = guess.select("column_name", F.explode("best.item").alias("value"), F.lit(True).alias("named"))
+    told = values.join(F.broadcast(candidates), ["column_name", "value"], "left")
+    named = F.when(F.col("named"), F.col("value")).alias("value")
+    # at most `cells` + `tracked` rows a column
+    counted = settled(told.groupBy("column_name", "cell", named).agg(F.count(F.lit(1)).alias("n")))
+    known = counted.filter(F.col("value").isNotNull()).select("column_name", "value", "n")
+    # the count of the last of the best candidates, null if there are fewer
+    nth = F.try_element_at(F.sort_array(F.collect_list("n"), asc=False), F.lit(top))
+    bar = known.groupBy("column_name").agg(nth.alias("bar"))
+    rest = counted.filter(F.col("value").isNull()).join(F.broadcast(bar), "column_name", "left")
+    open_cells = rest.filter(F.coalesce(F.col("n") >= F.col("bar"), F.lit(True))).select("column_name", "cell")
+    others = told.filter(F.col("named").isNull()).join(F.broadcast(open_cells), ["column_name", "cell"], "left_semi")
+    found = known.unionByName(others.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact number of distinct values per column (column_name, n_distinct), blanks as one."""
+    return _as_text(df, cols).groupBy("column_name").agg(F.count_distinct("value").alias("n_distinct"))
+
+
 def metadata_profile(df: DataFrame, cols: Sequence[str], top: int = 8) -> DataFrame:
     """Per column the distinct count and the most frequent values (`<blank>` for empty).
 
     Ties go to the smaller value.
     """
-    as_text = df.select(
-        *[
-            F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("<blank>")).alias(c)
-            for c in cols
-        ]
-    )
-    counts = (
-        as_text.unpivot([], list(cols), "column_name", "value")
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return best.join(F.broadcast(distinct), "column_name")
+    return top_values(df, cols, top).join(F.broadcast(distinct_counts(df, cols)), "column_name")
 
 
 def top_k(df: DataFrame, value: str, key: str, k: int) -> DataFrame:

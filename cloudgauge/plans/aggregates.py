@@ -82,6 +82,21 @@ def metadata_profile(spark, sf_dir):
     return cleaning.metadata_profile(t.entries(spark, sf_dir), _META)
 
 
+_MANY = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
+@query(
+    "top_values",
+    "WITH c AS (SELECT column_name, value, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, coalesce(nullif(trim(CAST({c} AS VARCHAR)), ''), '<blank>') AS value FROM lineitem" for c in _MANY)
+    + """) GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS rank FROM c) WHERE rank <= 8""",
+)
+def top_values(spark, sf_dir):
+    """Columns of few, many and nearly as many values as rows."""
+    return cleaning.top_values(t.table(spark, sf_dir, "lineitem"), _MANY)
+
+
 @query(
     "top_k",
     "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 30",

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
-from urllib.parse import quote
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CHUNK = 8 << 20
+# Schemes of Hadoop paths, and what Arrow calls the same stores.
+STREAMED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+
 
 class FingerprintMismatch(RuntimeError):
     pass
@@ -34,18 +43,49 @@ def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
-    """SHA-256 of each file by its name, or by its folder's. For files that fit one row;
-    lock big data as tables."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -2 if folders else -1).alias("name"),
-            F.upper(F.sha2("content", 256)).alias("sha256"),
-        )
+    """SHA-256 of each file by its name, or by its folder's, as the file is stored.
+
+    Files of any size: the listing is dealt to tasks by size, and a task reads its files in
+    chunks of `CHUNK` bytes. Where tasks cannot open the store themselves (its scheme is not
+    in `STREAMED`), Spark's reader fetches the content, and a file must fit one row.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    if _file_system(spark, path)[0].getScheme() in STREAMED:
+        # only the listing is read here, not the content
+        hashed = listed.select("path").mapInArrow(_streamed, "path string, sha256 string")
+    else:
+        hashed = listed.select("path", F.upper(F.sha2("content", 256)).alias("sha256"))
+    # the scan passes over empty files, the listing that it goes by does not
+    names = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in listed.inputFiles()]
+    every = spark.createDataFrame(names, "path string").join(hashed, "path", "left")
+    return every.select(
+        F.element_at(F.split("path", "/"), -2 if folders else -1).alias("name"),
+        F.coalesce("sha256", F.upper(F.sha2(F.lit(b""), 256))).alias("sha256"),
     )
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = [streamed_sha256(where) for where in batch.column("path").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(digests, pa.string())], names=["path", "sha256"])
+
+
+def streamed_sha256(where: str) -> str:
+    """Upper-case SHA-256 of the file at a Hadoop path (`scheme:/...`, not escaped)."""
+    scheme, _, rest = where.partition(":")
+    host, path = "", rest
+    if rest.startswith("//"):
+        host, _, path = rest[2:].partition("/")
+        path = f"/{path}"
+    store, inner = FileSystem.from_uri(f"{STREAMED[scheme]}://{host}{quote(path)}")
+    digest = hashlib.sha256()
+    # stored bytes, also of names that end like compressed files
+    with store.open_input_stream(inner, compression=None) as stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest().upper()
+
+
 def verify_fingerprint(actual: DataFrame, manifest: DataFrame, key: str, value: str) -> DataFrame:
     """Every manifest entry against what is there: `ok`, `mismatch` or `missing`."""
     a = actual.select(key, F.col(value).alias("actual"))

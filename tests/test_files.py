@@ -41,6 +41,29 @@ def test_file_fingerprint(spark):
     assert row["sha256"] == hashlib.sha256(b"hello\n").hexdigest().upper()
 
 
+def test_file_fingerprints_are_those_of_stored_bytes(spark, tmp_path):
+    import gzip
+    import hashlib
+    import random
+
+    large = random.Random(5).randbytes(1 << 20) * 20  # more than two chunks
+    contents = {"large.bin": large, "empty": b"", "a b%20c+ü.txt": b"x\r\n\xff", "packed.gz": gzip.compress(b"y" * 1000)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["name"]: r["sha256"] for r in locks.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {n: hashlib.sha256(c).hexdigest().upper() for n, c in contents.items()}
+
+
+def test_file_fingerprints_read_content_only_in_chunks(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"x" * 3000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # what one row may hold
+    try:
+        assert locks.file_fingerprints(spark, str(tmp_path)).count() == 1
+        assert len(locks.file_fingerprints(spark, str(tmp_path)).first()["sha256"]) == 64
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_stream_survives_out_of_order_files_and_reruns(spark, sf_dir):
     path = scratch_path(spark, "stream-test")
     log = tables.receipts(spark, sf_dir)
