@@ -84,6 +84,40 @@ def test_trees_add_what_looks_like_the_strict_spans(spark):
     assert all([s.kind for s in r.pii_spans] == ["card"] for r in orders)
 
 
+def account(body: str) -> str:
+    """An account number of country DE with right check digits, in fours."""
+    digits = 98 - int(body + "131400") % 97
+    bare = f"DE{digits:02d}{body}"
+    return " ".join(bare[i : i + 4] for i in range(0, len(bare), 4))
+
+
+def test_written_out_addresses_and_mistyped_accounts_are_found(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    texts = [f"write to {a}{rng.choice(('', '.' + b))}@{c}.org today" for a, b, c in zip(names, names[1:], names[2:], strict=False)]
+    texts += [f"we met at {a}. Then {b} came" for a, b in zip(names, names[1:], strict=False)]  # no addresses
+    texts += [f"my iban {account(str(10**17 + rng.randrange(10**17)))} please" for _ in range(200)]
+    spelled = [f"write to {a} [at] {b} [dot] org today" for a, b in zip(names[:20], names[20:40], strict=True)]
+    good = [account(str(10**17 + rng.randrange(10**17))) for _ in range(8)]
+    wrong = [f"my iban {a[:-1]}{(int(a[-1]) + 1) % 10} please" for a in good]
+    got = {r.cell_id: [(s.kind, s.start, s.end) for s in r.pii_spans] for r in privacy.pii_spans(as_receipts(spark, texts + spelled + wrong)).collect()}
+    sentences = range(len(names) - 2, 2 * len(names) - 3)
+    assert not any(got[i] for i in sentences)
+    at = range(len(texts), len(texts) + len(spelled))
+    assert all(("contact", 9, len((texts + spelled)[i]) - 6) in got[i] for i in at)
+    first = len(texts) + len(spelled)
+    assert all(any(k == "account" and a == 8 for k, a, _ in got[i]) for i in range(first, first + len(wrong)))
+    assert all(any(k in ("account", "card") for k, _, _ in got[i]) for i in range(sentences.stop, len(texts)))
+
+
+def test_calibration_counts_the_held_out_fold(spark):
+    rows = [(i % 5, 0, 0, 0, 1, i % 2, 0, 0, 0, 0, 10, 10 * (i % 2)) for i in range(40)]
+    cells = spark.createDataFrame(rows, ["fold", *privacy.FEATURES, "n", "positive"])
+    got = privacy.calibration(cells, privacy.fit_trees(cells)).collect()
+    assert sum(r.n for r in got) == 80 and sum(r.known for r in got) == 40
+    assert all(r.generator == "contact" and r.chosen == (r.n if r.known else 0) for r in got)
+
+
 def test_expression_and_numpy_agree_on_scores(spark):
     rng = np.random.default_rng(5)
     cells = [tuple(int(rng.integers(0, most + 1)) for most in privacy.FEATURES.values()) for _ in range(200)]
